@@ -103,8 +103,18 @@ def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float
 
 def global_quantiles(df: DataFrame, col: str, probs: dict[str, float]) -> dict[str, Column]:
     """Global quantiles as scalar subqueries, usable inside any expression (no join, no action)."""
-    one = quantiles(df, [], col, probs)
-    return {name: one.select(name).scalar() for name in probs}
+    one = quantiles(df, [], col, probs).select(F.struct(*probs).alias("q")).scalar()
+    return {name: one.getField(name) for name in probs}
+
+
+def quantiles_of_columns(df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> dict[str, dict[str, Column]]:
+    """Global quantiles of several columns from one pass; ``result[col][name]`` is a scalar subquery."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in cols
+    ])).alias("m")).select("m.*")
+    table = quantiles(long, ["metric"], "x", probs)
+    lookup = table.select(F.map_from_entries(F.collect_list(F.struct("metric", F.struct(*probs))))).scalar()
+    return {c: {name: lookup.getItem(c).getField(name) for name in probs} for c in cols}
 
 
 def take_by_hash(df: DataFrame, n: int, seed, keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallgene.functions.ranks import global_quantiles
+from tallgene.functions.ranks import global_quantiles, quantiles_of_columns
 
 CONTROL = "Control"
 # Single-cell assays accepted by the "scTab" criteria.
@@ -140,10 +140,11 @@ def filter_outliers(cell_stats, scale: float = 1.5) -> DataFrame:
     logged = cell_stats.withColumns({
         "log_total": F.log1p("total_counts"), "log_genes": F.log1p("n_genes"), "log_mito": F.log1p("pct_mito"),
     })
+    qs = quantiles_of_columns(logged, ["log_total", "log_genes", "log_mito"], {"q1": 0.25, "q3": 0.75})
     conds = []
-    for c in ("log_total", "log_genes", "log_mito"):
-        low, high = iqr_bounds(logged, c, scale)
-        conds.append((F.col(c) >= low) & (F.col(c) <= high))
+    for c, q in qs.items():
+        iqr = q["q3"] - q["q1"]
+        conds.append((F.col(c) >= q["q1"] - F.lit(scale) * iqr) & (F.col(c) <= q["q3"] + F.lit(scale) * iqr))
     return logged.where(all_of(conds))
 
 

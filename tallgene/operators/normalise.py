@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from tallgene.functions.rand import hash_uniform
 from tallgene.functions.ranks import global_quantiles, quantiles, take_by_hash
 
-CELL = Window.partitionBy("cell_id")
+def by_cell():
+    return Window.partitionBy("cell_id")
 
 
 def normalize_total(expr, target_sum=None, exclude_highly_expressed=False, max_fraction=0.05) -> DataFrame:
     """nrm_total: scale every cell to ``target_sum`` (None = median of the cell totals)."""
     counted = expr
     if exclude_highly_expressed:
-        share = expr.withColumn("_s", F.col("value") / F.sum("value").over(CELL))
+        share = expr.withColumn("_s", F.col("value") / F.sum("value").over(by_cell()))
         dominant = share.where(F.col("_s") > max_fraction).select("gene").distinct()
         flagged = expr.join(dominant.withColumn("_hi", F.lit(True)), "gene", "left")
         counted = flagged.withColumn("_c", F.when(F.col("_hi"), F.lit(0.0)).otherwise(F.col("value"))).drop("_hi")
@@ -33,7 +34,7 @@ def normalize_total(expr, target_sum=None, exclude_highly_expressed=False, max_f
         target = global_quantiles(totals, "_t", {"median": 0.5})["median"]
     else:
         target = F.lit(float(target_sum))
-    total = F.sum("_c").over(CELL)
+    total = F.sum("_c").over(by_cell())
     return counted.withColumn("_t", total).select(
         "cell_id", "gene",
         F.when(F.col("_t") == 0, F.col("value")).otherwise(F.col("value") / F.col("_t") * target).alias("value"),
@@ -70,7 +71,7 @@ def median_normalize_sample(expr, medians) -> DataFrame:
 def log_normalize_sample(expr, normalized_sum: float = 10000.0) -> DataFrame:
     """nrm_log_sample: log1p(x / (sum + 1) * s); the +1 is part of the definition."""
     return expr.withColumn(
-        "value", F.log1p(F.col("value") / (F.sum("value").over(CELL) + 1) * F.lit(float(normalized_sum)))
+        "value", F.log1p(F.col("value") / (F.sum("value").over(by_cell()) + 1) * F.lit(float(normalized_sum)))
     )
 
 
@@ -86,7 +87,7 @@ def tpm(expr, lengths, min_value=None, min_share=None) -> DataFrame:
     """nrm_tpm: length-scaled rates summing to 1e6 per cell; optional filter on genes seen in enough cells."""
     nonzero = expr.where(F.col("value") != 0)
     rates = nonzero.join(lengths, "gene").withColumn("_r", F.col("value") / F.col("length_kb"))
-    out = rates.select("cell_id", "gene", (F.col("_r") / F.sum("_r").over(CELL) * 1e6).alias("value"))
+    out = rates.select("cell_id", "gene", (F.col("_r") / F.sum("_r").over(by_cell()) * 1e6).alias("value"))
     if min_value is None:
         return out
     n_cells = nonzero.select(F.count_distinct("cell_id")).scalar()
@@ -106,7 +107,7 @@ def _edges(count: int):
 
 def bin_percentile(expr, num_bins: int) -> DataFrame:
     """nrm_bin_percentile: bins between the cell's own quantiles; bin = edges <= value, clipped to 1..n."""
-    edges = F.percentile("value", _edges(num_bins + 1)).over(CELL)
+    edges = F.percentile("value", _edges(num_bins + 1)).over(by_cell())
     rank = F.size(F.filter("_e", lambda e: e <= F.col("value")))
     return expr.withColumn("_e", edges).withColumn(
         "value", F.least(F.greatest(rank, F.lit(1)), F.lit(num_bins)).cast("bigint")
@@ -115,7 +116,7 @@ def bin_percentile(expr, num_bins: int) -> DataFrame:
 
 def bin_value(expr, num_bins: int, seed=0) -> DataFrame:
     """nrm_bin_value: as above with num_bins edges; a value on repeated edges draws a bin between both sides."""
-    edges = F.percentile("value", _edges(num_bins)).over(CELL)
+    edges = F.percentile("value", _edges(num_bins)).over(by_cell())
     left = F.size(F.filter("_e", lambda e: e <= F.col("value")))
     right = F.size(F.filter("_e", lambda e: e < F.col("value")))
     draw = hash_uniform(seed, "cell_id", "gene")
