@@ -84,7 +84,7 @@ def gene_map_ambiguity(source) -> DataFrame:
     """jn_gene_map_ambiguity: number of names with 1, 2, 3.. entries, and overlaps of the three name sets."""
     entries = gene_map_entries(source)
     lengths = entries.groupBy("name").agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("n_names"))
-    sets = entries.groupBy("name").agg(F.bit_or(F.shiftleft(F.lit(1), F.col("prio"))).alias("mask"))
+    sets = entries.groupBy("name").agg(F.bit_or(F.expr("shiftleft(1, prio)")).alias("mask"))
     overlaps = sets.groupBy("mask").agg(F.count("*").alias("n_names"))
     return lengths.select(F.lit("entries").alias("kind"), F.col("k").cast("bigint").alias("key"), "n_names").unionByName(
         overlaps.select(F.lit("sets").alias("kind"), F.col("mask").cast("bigint").alias("key"), "n_names"))

@@ -300,7 +300,7 @@ def crosstab_sorted(obs, row: str, col: str) -> DataFrame:
 
 def crosstab_wide(df, row: str, col: str, values: list) -> DataFrame:
     """agg_crosstab2: contingency of two columns, one output column per listed value."""
-    return df.groupBy(row).pivot(col, values).agg(F.count("*")).fillna(0)
+    return df.groupBy(row).pivot(col, values).agg(F.count(F.lit(1))).fillna(0)
 
 
 def split_balance(obs, split="split", label="cell_type", dataset="dataset") -> DataFrame:

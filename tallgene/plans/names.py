@@ -64,15 +64,15 @@ def nomenclature(t):
     )
 
 
-NOMEN = """WITH src AS (SELECT p_partkey AS row, p_name || '/' || p_size AS symbol,
+NOMEN = """WITH src AS (SELECT p_partkey AS rw, p_name || '/' || p_size AS symbol,
     CASE WHEN p_partkey % 3 = 0 THEN p_name || '/' || (p_size % 7) || '|' || p_brand END AS al,
     CASE WHEN p_partkey % 4 = 0 THEN p_type || '|' || p_name || '/1' END AS pr FROM part),
-  ent AS (SELECT symbol AS name, symbol, row, 0 AS prio, 0 AS at FROM src
-    UNION ALL SELECT unnest(string_split(al, '|')), symbol, row, 1, generate_subscripts(string_split(al, '|'), 1) FROM src WHERE al IS NOT NULL
-    UNION ALL SELECT unnest(string_split(pr, '|')), symbol, row, 2, generate_subscripts(string_split(pr, '|'), 1) FROM src WHERE pr IS NOT NULL)"""
+  ent AS (SELECT symbol AS name, symbol, rw, 0 AS prio, 0 AS ps FROM src
+    UNION ALL SELECT unnest(string_split(al, '|')), symbol, rw, 1, generate_subscripts(string_split(al, '|'), 1) FROM src WHERE al IS NOT NULL
+    UNION ALL SELECT unnest(string_split(pr, '|')), symbol, rw, 2, generate_subscripts(string_split(pr, '|'), 1) FROM src WHERE pr IS NOT NULL)"""
 
 
-@query("jn_gene_map_build", NOMEN + """SELECT name, arg_min(symbol, (row, prio, at)) AS symbol FROM ent GROUP BY 1""")
+@query("jn_gene_map_build", NOMEN + """SELECT name, arg_min(symbol, (rw, prio, ps)) AS symbol FROM ent GROUP BY 1""")
 def _(t):
     return hz.build_gene_map(nomenclature(t))
 
