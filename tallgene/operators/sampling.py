@@ -131,13 +131,16 @@ def split_simulation(obs, weights, seed=42, seen2_train=0.85, col="perturbation"
 
 
 def split_by_coverage(obs, dataset="dataset", label="cell_type") -> DataFrame:
-    """spl_by_dataset_coverage: greedy over datasets in order; dev if its types are known to train but not all to dev.
+    """spl_by_dataset_coverage: greedy over datasets, fewest types and cells first; dev if its types are
+    known to train but not all to dev.
 
     The distributed part reduces all cells to one row per dataset; the greedy pass folds over that
     short ordered list (datasets, a few hundred) inside one expression.
     """
-    types = obs.groupBy(dataset).agg(F.sort_array(F.collect_set(label)).alias("types"))
-    lst = types.agg(F.array_sort(F.collect_list(F.struct(F.col(dataset).alias("d"), "types"))).alias("l"))
+    counts = obs.groupBy(dataset, label).agg(F.count("*").alias("n"))
+    types = counts.groupBy(dataset).agg(F.sort_array(F.collect_set(label)).alias("types"), F.sum("n").alias("n"))
+    entry = F.struct(F.size("types").alias("k"), "n", F.col(dataset).alias("d"), "types")
+    lst = types.agg(F.array_sort(F.collect_list(entry)).alias("l"))
     empty = F.array().cast("array<string>")
     start = F.struct(empty.alias("train"), empty.alias("dev"),
                      F.array().cast("array<struct<d:string,split:string>>").alias("out"))
