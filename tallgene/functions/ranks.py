@@ -45,39 +45,37 @@ def hash_ranks(df: DataFrame, by: Sequence[str], seed, keys: Sequence[str], out:
     )
 
 
-def value_ranks(df: DataFrame, by: Sequence[str], col: str, aggs: Sequence[Column] = ()) -> DataFrame:
+def value_ranks(df: DataFrame, by: Sequence[str], col: str, sums: dict[str, Column] | None = None) -> DataFrame:
     """One row per distinct (group, value): ``n`` rows, ``n_before`` rows with a smaller value, ``n_total``.
 
-    Values are pre-aggregated map-side, so repeated values (counts) collapse before any sort.
-    Extra aggregates may be carried through ``aggs``.
+    Values are pre-aggregated map-side, so repeated values (counts) collapse before any sort. Every
+    column named in ``sums`` is summed per value and gets the same ``_before`` running total.
     """
     by = list(by)
-    freq = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("n"), *aggs)
+    sums = sums or {}
+    parts = ["n", *sums]
+    freq = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(
+        F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     if by:
         ext = freq.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.sum("n").alias("n_total"))
         freq = freq.join(ext, by)
     else:
-        freq = (
-            freq.withColumn("_lo", freq.select(F.min(col)).scalar())
-            .withColumn("_hi", freq.select(F.max(col)).scalar())
-            .withColumn("n_total", freq.select(F.sum("n")).scalar())
-        )
+        ext = freq.select(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"), F.sum("n").alias("n")).alias("e")).scalar()
+        freq = freq.withColumns({"_lo": ext.getField("lo"), "_hi": ext.getField("hi"), "n_total": ext.getField("n")})
     share = (F.col(col) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     freq = freq.withColumn(
         "_vb",
         F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * VALUE_BUCKETS), F.lit(VALUE_BUCKETS - 1)))
         .otherwise(F.lit(0)).cast("int"),
     )
-    sizes = freq.groupBy(*by, "_vb").agg(F.sum("n").alias("_n"))
-    offsets = sizes.select(
-        *by, "_vb",
-        F.coalesce(F.sum("_n").over(_over(by, "_vb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-    )
+    buckets = freq.groupBy(*by, "_vb").agg(*[F.sum(k).alias(f"_b_{k}") for k in parts])
+    earlier = _over(by, "_vb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = buckets.select(*by, "_vb", *[F.coalesce(F.sum(f"_b_{k}").over(earlier), F.lit(0)).alias(f"_off_{k}") for k in parts])
     inner = Window.partitionBy(*by, "_vb").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
     return (
         freq.join(offsets, [*by, "_vb"])
-        .withColumn("n_before", F.coalesce(F.sum("n").over(inner), F.lit(0)) + F.col("_off"))
-        .drop("_lo", "_hi", "_vb", "_off")
+        .withColumns({f"{k}_before": F.coalesce(F.sum(k).over(inner), F.lit(0)) + F.col(f"_off_{k}") for k in parts})
+        .drop("_lo", "_hi", "_vb", *[f"_off_{k}" for k in parts])
     )
 
 
