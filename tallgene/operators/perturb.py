@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallgene.functions.lineage import stable
 from tallgene.functions.rand import hash_int, hash_uniform
-from tallgene.functions.ranks import hash_ranks
+from tallgene.functions.ranks import hash_ranks, quantiles
 from tallgene.operators.stats import AVERAGE, plain_group_means
 
 CONTROL = "Control"
@@ -135,34 +136,31 @@ def top_gene_deltas(preds, top_genes, control) -> DataFrame:
     long = sub.select("perturbation", "gene", F.explode(F.array(
         F.struct(F.lit("predicted").alias("kind"), (F.col("predicted") - base).alias("x")),
         F.struct(F.lit("label").alias("kind"), (F.col("label") - base).alias("x")))).alias("v")).select("perturbation", "gene", "v.*")
-    from tallgene.functions.ranks import quantiles
-
     keys = ["perturbation", "gene", "kind"]
     box = quantiles(long, keys, "x", {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0})
     return long.groupBy(*keys).agg(F.avg("x").alias("mean")).join(box, keys)
 
 
-def profile_arrays(grid, value: str, name: str = "perturbation") -> DataFrame:
-    """One row per group with its dense profile in gene order (length bounded by the gene list)."""
-    return grid.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("gene", F.col(value).alias("v")))).alias("i")).select(
-        name, F.col("i.gene").alias("genes"), F.col("i.v").alias("v"))
+def profile_arrays(grid, *values: str, name: str = "perturbation") -> DataFrame:
+    """One row per group with dense profiles in gene order (length bounded by the gene list)."""
+    items = F.array_sort(F.collect_list(F.struct("gene", *values))).alias("i")
+    return grid.groupBy(name).agg(items).select(name, F.col("i.gene").alias("genes"), *[F.col(f"i.{v}").alias(v) for v in values])
 
 
 def discrimination_scores(grouped, block: int = BLOCK) -> DataFrame:
     """prt_discrimination: 1 - (number of truths closer in L1 than the own truth) / P, target genes left out.
 
     Profiles are cut into blocks of ``block`` perturbations; each pair of blocks is one small dense
-    product in numpy that returns a count per prediction. No pair of perturbations becomes a row.
+    product in numpy that returns a count per prediction. No pair of perturbations becomes a row. The
+    profiles (one row per perturbation) are checkpointed, because every block pair reads them.
     """
-    preds = profile_arrays(grouped, "predicted")
-    truths = profile_arrays(grouped, "label").select("perturbation", F.col("v").alias("t"))
-    both = hash_ranks(preds.join(truths, "perturbation"), [], 0, ["perturbation"], "_rn")
+    both = hash_ranks(stable(profile_arrays(grouped, "predicted", "label")), [], 0, ["perturbation"], "_rn")
     both = both.withColumn("b", F.floor((F.col("_rn") - 1) / block).cast("int")).drop("_rn")
     n = both.select(F.count("*")).scalar()
     last = both.select(F.max("b")).scalar()
     others = F.explode(F.sequence(F.lit(0), last))
-    left = both.select("perturbation", "genes", F.col("v").alias("pred"), F.col("t").alias("own"), F.col("b").alias("pb"), others.alias("tb"))
-    right = both.select(F.col("perturbation").alias("other"), F.col("t").alias("truth"), F.col("b").alias("tb"), others.alias("pb"))
+    left = both.select("perturbation", "genes", F.col("predicted").alias("pred"), F.col("label").alias("own"), F.col("b").alias("pb"), others.alias("tb"))
+    right = both.select(F.col("perturbation").alias("other"), F.col("label").alias("truth"), F.col("b").alias("tb"), others.alias("pb"))
 
     def count_closer(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         truth, names = np.vstack(q["truth"].to_list()), q["other"].to_numpy()

@@ -97,7 +97,7 @@ class Tables:
             F.concat_ws("-", _s("l_orderkey"), _s("l_linenumber")).alias("sample_id"),
             F.concat(F.lit("S"), _s("l_suppkey")).alias("gene"),
             F.when(ln % 4 == 0, F.lit(0.0)).otherwise(F.col("l_quantity")).alias("label"),
-            F.when(F.col("l_discount") < 0.015, F.lit(0.0)).otherwise(F.col("l_extendedprice") / 2000).alias("predicted"),
+            F.when(F.col("l_discount") < 0.015, F.lit(0.0)).otherwise(F.col("l_extendedprice") / 1700).alias("predicted"),
             F.round(F.col("l_discount") * 100 - 5).alias("logit_zero"),
         )
 
@@ -107,7 +107,7 @@ class Tables:
         a, n, rr = F.col("l_discount") * 10, F.col("l_tax") * 12, F.col("l_quantity") / 50
         best = F.when((a >= n) & (a >= rr), "A").when(n >= rr, "N").otherwise("R")
         return self.lineitem.select(
-            F.concat_ws("-", _s("l_orderkey"), _s("l_linenumber"), _s("l_partkey")).alias("sample_id"),
+            F.concat_ws("-", _s("l_orderkey"), _s("l_linenumber"), _s("l_partkey"), _s("l_suppkey")).alias("sample_id"),
             F.col("l_returnflag").alias("label"), best.alias("predicted"),
             a.alias("logit_a"), n.alias("logit_n"), rr.alias("logit_r"),
         )
@@ -163,9 +163,9 @@ _VIEWS = {
         o_orderstatus AS batch, o_orderpriority AS cell_type FROM orders""",
     "pred": """SELECT l_orderkey || '-' || l_linenumber AS sample_id, 'S' || l_suppkey AS gene,
         CASE WHEN l_linenumber % 4 = 0 THEN 0.0::DOUBLE ELSE l_quantity END AS label,
-        CASE WHEN l_discount < 0.015 THEN 0.0::DOUBLE ELSE l_extendedprice / 2000 END AS predicted,
+        CASE WHEN l_discount < 0.015 THEN 0.0::DOUBLE ELSE l_extendedprice / 1700 END AS predicted,
         round(l_discount * 100 - 5) AS logit_zero FROM lineitem""",
-    "cpred": """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS sample_id, l_returnflag AS label,
+    "cpred": """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS sample_id, l_returnflag AS label,
         CASE WHEN l_discount * 10 >= l_tax * 12 AND l_discount * 10 >= l_quantity / 50 THEN 'A'
              WHEN l_tax * 12 >= l_quantity / 50 THEN 'N' ELSE 'R' END AS predicted,
         l_discount * 10 AS logit_a, l_tax * 12 AS logit_n, l_quantity / 50 AS logit_r FROM lineitem""",
