@@ -1,29 +1,428 @@
-"""Sequence, variant and label operators (survey section 2.10)."""
+"""Sequence, variant and label operators (survey section 2.10).
+
+A chromosome is never one row: it is stored as tiles ``(chrom, tile, start, seq)`` of a fixed width.
+Intervals are half-open and zero-based.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgene.functions.rand import hash_int, hash_uniform
+from tallgene.functions.ranks import hash_ranks
+from tallgene.operators.windows import islands
+
+# Ambiguity letters that stand for more than one base.
+AMBIGUOUS = "URYKMSWBHVD"
+# Symbols of a site, in matrix column order.
+SYMBOLS = ("A", "G", "T", "C", "N", "DEL", "AI", "GI", "TI", "CI", "NI")
+
+
+def _c(col) -> Column:
+    return F.col(col) if isinstance(col, str) else col
+
+
+# letters -----------------------------------------------------------------------------------------
+
+def cleanup(col) -> Column:
+    """seq_cleanup: ambiguity letters become N."""
+    return F.translate(_c(col), AMBIGUOUS, "N" * len(AMBIGUOUS))
+
+
+def collapse_n(col) -> Column:
+    """seq_collapse_n: runs of N or of # shrink to one."""
+    return F.regexp_replace(F.regexp_replace(F.trim(_c(col)), "N+", "N"), "#+", "#")
+
+
+def complement(col) -> Column:
+    return F.translate(F.regexp_replace(_c(col), "[^ACGT]", "N"), "ACGT", "TGCA")
+
+
+def reverse_complement(col) -> Column:
+    """seq_revcomp: reversed complement, unknown letters become N."""
+    return F.reverse(complement(col))
+
+
+def has_variant(col) -> Column:
+    """seq_split_variant: true if a letter outside ACGTN occurs."""
+    return _c(col).rlike("[^ACGTN]")
+
+
+def mismatch_share(ref, other) -> Column:
+    """seq_mismatch: share of differing positions over the shared length, relative to the reference's length."""
+    a, b = _c(ref), _c(other)
+    n = F.least(F.length(a), F.length(b))
+    diff = F.zip_with(F.split(F.substring(a, F.lit(1), n), ""), F.split(F.substring(b, F.lit(1), n), ""), lambda x, y: (x != y).cast("int"))
+    return F.aggregate(diff, F.lit(0), lambda s, x: s + x) / F.length(a)
+
+
+def center_token(tokens, threshold: int = 500) -> Column:
+    """seq_center_token: first index at which the running length passes the threshold, else -1."""
+    start = F.struct(F.lit(0).alias("len"), F.lit(0).alias("i"), F.lit(-1).alias("at"))
+
+    def step(acc, t):
+        length = acc["len"] + F.length(t)
+        hit = (acc["at"] < 0) & (length > threshold)
+        return F.struct(length.alias("len"), (acc["i"] + 1).alias("i"), F.when(hit, acc["i"]).otherwise(acc["at"]).alias("at"))
+
+    return F.aggregate(_c(tokens), start, step)["at"]
+
+
+def augment_pairs(pairs) -> DataFrame:
+    """seq_augment_pair: for pairs in contact, the seven orientations of seq1 + seq2."""
+    a, b = F.col("seq1"), F.col("seq2")
+    ar, br, arc, brc = F.reverse(a), F.reverse(b), reverse_complement(a), reverse_complement(b)
+    versions = F.array(*[F.concat(x, y) for x, y in ((a, b), (ar, b), (a, br), (ar, br), (arc, b), (a, brc), (arc, brc))])
+    others = [c for c in pairs.columns if c not in ("seq1", "seq2")]
+    return pairs.where(F.col("contact") == 1).select(*others, F.posexplode(versions).alias("version", "seq"))
+
+
+# chunks and tiles ----------------------------------------------------------------------------------
 
 def chunk_fixed(seqs, size: int, drop_n: bool = True, reverse: bool = False) -> DataFrame:
     """seq_chunk_fixed: non-overlapping chunks, last one short, all-N chunks dropped, optional reverse complement."""
-    count = F.ceil(F.length("seq") / F.lit(size)).cast("int")
-    rows = seqs.where(F.length("seq") > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), count - 1)))
-    piece = F.substring(F.col("seq"), F.col("chunk") * size + 1, F.lit(size))
-    out = rows.withColumns({"seq": piece, "chunk": F.col("chunk").cast("bigint")})
+    # one linear pass per sequence; substring by position would scan from the start for every chunk
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
+    others = [c for c in seqs.columns if c != "seq"]
+    out = seqs.select(*others, F.posexplode(pieces).alias("chunk", "seq")).withColumn("chunk", F.col("chunk").cast("bigint"))
     if reverse:
         out = out.withColumn("rc", reverse_complement("seq"))
     return out.where(~F.col("seq").rlike("^N+$")) if drop_n else out
 
 
-def reverse_complement(col) -> Column:
-    """seq_revcomp: reversed complement, unknown letters become N."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.translate(F.reverse(F.regexp_replace(c, "[^ACGT]", "N")), "ACGT", "TGCA")
+def chunk_random(seqs, low: int, high: int, multiplier: int, seed=42) -> DataFrame:
+    """seq_chunk_random: consecutive chunks with hashed lengths in low..high times a multiplier, all-N dropped."""
+    most = F.ceil(F.length("seq") / F.lit(low * multiplier)).cast("int")
+    rows = seqs.where(F.length("seq") > 0).select("chrom", F.length("seq").alias("len"), F.posexplode(F.sequence(F.lit(0), most - 1)).alias("k", "_"))
+    size = (F.lit(low) + F.floor(hash_uniform(seed, "chrom", "k") * (high - low + 1))) * multiplier
+    w = Window.partitionBy("chrom").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = rows.withColumn("size", size).withColumn("start", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("start") < F.col("len"))
+    piece = F.substring(F.col("seq"), (F.col("start") + 1).cast("int"), F.col("size").cast("int"))
+    return cuts.join(seqs, "chrom").select("chrom", "k", "start", piece.alias("seq")).where(~F.col("seq").rlike("^N+$"))
 
 
 def to_tiles(seqs, width: int) -> DataFrame:
     """Sequences as fixed-width tiles (chrom, tile, start, seq)."""
     tiles = chunk_fixed(seqs, width, drop_n=False)
     return tiles.select("chrom", F.col("chunk").alias("tile"), (F.col("chunk") * width).alias("start"), "seq")
+
+
+def tile_lengths(tiles) -> DataFrame:
+    return tiles.groupBy("chrom").agg(F.max(F.col("start") + F.length("seq")).alias("len"))
+
+
+def extract(tiles, intervals, width: int) -> DataFrame:
+    """Sequence of every interval (chrom, start, end, id...): covered tiles meet by an equi join on (chrom, tile)."""
+    keys = intervals.columns
+    cover = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)))
+    spread = intervals.where(F.col("end") > F.col("start")).withColumn("tile", cover)
+    joined = spread.join(tiles.select("chrom", "tile", F.col("start").alias("_ts"), "seq"), ["chrom", "tile"])
+    lo = F.greatest(F.col("start") - F.col("_ts"), F.lit(0))
+    hi = F.least(F.col("end") - F.col("_ts"), F.length("seq"))
+    piece = F.substring(F.col("seq"), (lo + 1).cast("int"), (hi - lo).cast("int"))
+    parts = joined.where(hi > lo).select(*keys, F.struct("tile", piece.alias("s")).alias("p"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "")
+    return parts.groupBy(*keys).agg(text.alias("seq"))
+
+
+def n_free_intervals(tiles, cutoff: int, flank: int) -> DataFrame:
+    """Pieces left after cutting at N runs of at least ``cutoff``, each with ``flank`` letters of the run."""
+    sizes = tile_lengths(tiles)
+    if flank > cutoff:
+        return sizes.select("chrom", F.lit(0).cast("bigint").alias("start"), F.col("len").alias("end"))
+    runs = islands(tiles, "N", cutoff).select("chrom", F.col("start").alias("n0"), F.col("end").alias("n1"))
+    w = Window.partitionBy("chrom").orderBy("n0")
+    before = F.coalesce(F.lag("n1").over(w) - flank, F.lit(0))
+    marked = runs.join(sizes, "chrom").withColumns({"start": before, "last": F.lead("n0").over(w).isNull()})
+    heads = marked.where(F.col("n0") > 0).select("chrom", "start", (F.col("n0") + flank).alias("end"))
+    tails = marked.where(F.col("last") & (F.col("n1") < F.col("len"))).select("chrom", (F.col("n1") - flank).alias("start"), F.col("len").alias("end"))
+    whole = sizes.join(runs.select("chrom"), "chrom", "left_anti").select("chrom", F.lit(0).cast("bigint").alias("start"), F.col("len").alias("end"))
+    return heads.unionByName(tails).unionByName(whole)
+
+
+def remove_n_islands(tiles, width: int, cutoff: int, flank: int) -> DataFrame:
+    """seq_remove_n_islands."""
+    return extract(tiles, n_free_intervals(tiles, cutoff, flank), width)
+
+
+def domain_intervals(domains, sizes, resolution: int | None = None) -> DataFrame:
+    """seq_cut_intervals: sorted domains plus head and tail pieces; with a resolution, bounds floored and no ends added."""
+    if resolution:
+        return domains.select("chrom", *[(F.floor(F.col(c) / resolution) * resolution).alias(c) for c in ("start", "end")])
+    ends = domains.groupBy("chrom").agg(F.min("start").alias("a"), F.max_by("end", "start").alias("b")).join(sizes, "chrom")
+    head = ends.where(F.col("a") != 0).select("chrom", F.lit(0).cast("bigint").alias("start"), F.col("a").alias("end"))
+    tail = ends.where(F.col("b") != F.col("len")).select("chrom", F.col("b").alias("start"), F.col("len").alias("end"))
+    return domains.select("chrom", "start", "end").unionByName(head).unionByName(tail)
+
+
+def window_about(intervals, total: int) -> DataFrame:
+    """Interval of a fixed length about the centre of another."""
+    center = F.floor((F.col("start") + F.col("end")) / 2) - total // 2
+    return intervals.withColumn("start", center).withColumn("end", F.col("start") + total)
+
+
+def promoter_windows(sites, up: int = 200, down: int = 40) -> DataFrame:
+    """Strand-aware window: up letters before and down letters after the interval in reading direction."""
+    plus = F.col("strand") == "+"
+    return sites.withColumns({
+        "start": F.greatest(F.lit(0), F.col("start") - F.when(plus, up).otherwise(down)),
+        "end": F.col("end") + F.when(plus, down).otherwise(up),
+    })
+
+
+def extract_stranded(tiles, intervals, width: int) -> DataFrame:
+    """seq_extract_window: sequence of every interval, reverse complement on the minus strand."""
+    return extract(tiles, intervals, width).withColumn(
+        "seq", F.when(F.col("strand") == "-", reverse_complement("seq")).otherwise(F.col("seq")))
+
+
+def match_merge(extracted, labelled) -> DataFrame:
+    """seq_match_merge: rows whose sequence equals a labelled sequence; the join compares short hashes first."""
+    a = extracted.withColumn("_h", F.xxhash64("seq"))
+    b = labelled.select(F.col("seq").alias("_seq"), *[c for c in labelled.columns if c != "seq"]).withColumn("_h", F.xxhash64("_seq"))
+    return a.join(b, "_h").where(F.col("seq") == F.col("_seq")).drop("_h", "_seq")
+
+
+def draw_counts(rows, observed, key: str, seed=42) -> DataFrame:
+    """Number of substitutions per row: a hashed draw of an observed count plus N(0, 0.3) noise, rounded, at least 0."""
+    pool = hash_ranks(observed.select(key, "k"), [], f"{seed}o", [key], "_rn").select("_rn", F.col("k").alias("_k"))
+    n = observed.select(F.count("*")).scalar()
+    u1, u2 = hash_uniform(f"{seed}u", key), hash_uniform(f"{seed}v", key)
+    noise = 0.3 * F.sqrt(-2 * F.ln(1 - u1)) * F.cos(2 * 3.141592653589793 * u2)
+    drawn = rows.withColumn("_rn", F.pmod(hash_int(f"{seed}d", key), n) + 1).join(pool, "_rn")
+    return drawn.withColumn("n_sub", F.greatest(F.lit(0), F.bround(F.col("_k") + noise, 0).cast("int"))).drop("_rn", "_k")
+
+
+def distinct_positions(n: Column, k: Column, seed, key: str) -> Column:
+    """k distinct positions of 0..n-1, each subset equally likely, from k draws (Floyd's method)."""
+    def step(acc, j):
+        t = F.floor(hash_uniform(f"{seed}p", key, j) * (j + 1)).cast("int")
+        return F.concat(acc, F.array(F.when(F.array_contains(acc, t), j).otherwise(t)))
+
+    none = F.array().cast("array<int>")
+    return F.when(k > 0, F.aggregate(F.sequence(n - k, n - 1), none, step)).otherwise(none)
+
+
+def random_substitute(rows, letters: str, key: str, seed=42) -> DataFrame:
+    """seq_random_substitute: ``n_sub`` hashed positions take hashed letters."""
+    n = F.length("seq")
+    rows = rows.withColumn("_at", distinct_positions(n, F.least(F.col("n_sub"), n), seed, key))
+
+    def letter(p):
+        i = F.floor(hash_uniform(f"{seed}l", key, p) * len(letters)).cast("int")
+        return F.substring(F.lit(letters), i + 1, F.lit(1))
+
+    new = F.aggregate("_at", F.col("seq"), lambda s, p: F.overlay(s, letter(p), p + 1, F.lit(1)))
+    return rows.withColumn("seq", new).drop("_at")
+
+
+# variants ------------------------------------------------------------------------------------------
+
+def parse_freq(col) -> Column:
+    """var_parse_freq: mean over sources of ``SRC:p0,p1|..`` as an array, ``.`` counts as zero."""
+    sources = F.transform(F.split(_c(col), "\\|"), lambda s: F.transform(
+        F.split(F.element_at(F.split(s, ":"), -1), ","), lambda p: F.when(p == ".", F.lit(0.0)).otherwise(p.try_cast("double"))))
+    zero = F.lit(0.0)
+    start = F.struct(F.array().cast("array<double>").alias("s"), F.lit(0).alias("n"))
+
+    def add(acc, x):
+        both = F.zip_with(acc["s"], x, lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero))
+        return F.struct(both.alias("s"), (acc["n"] + 1).alias("n"))
+
+    return F.aggregate(sources, start, add, lambda acc: F.transform(acc["s"], lambda v: v / acc["n"]))
+
+
+def fix_reference(alleles, probs, cutoff: float = 0.0) -> Column:
+    """var_ref_fix: a reference at or under the cutoff takes all probability; alleles at or under it drop out."""
+    p = _c(probs)
+    fixed = F.when(p[0] <= cutoff, F.transform(p, lambda x, i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))).otherwise(p)
+    pairs = F.zip_with(_c(alleles), fixed, lambda a, q: F.struct(a.alias("allele"), q.alias("prob")))
+    return F.filter(pairs, lambda x: x["prob"] > cutoff)
+
+
+def variant_sites(variants) -> DataFrame:
+    """Symbols and probabilities at every position a variant touches, summed and scaled to one per site.
+
+    ``variants`` has chrom, pos, ref and alleles array<struct<allele, prob>> (reference first).
+    """
+    one = variants.select("chrom", "pos", "ref", F.explode("alleles").alias("a")).select("chrom", "pos", "ref", "a.allele", "a.prob")
+    la, lr = F.length("allele"), F.length("ref")
+    kept = F.when(la > lr, lr - 1).otherwise(la)
+    prefix = F.when(kept > 0, F.transform(F.sequence(F.lit(0), kept - 1), lambda i: F.struct(i.alias("o"), F.substring(F.col("allele"), i + 1, F.lit(1)).alias("s"))))
+    deleted = F.when(la < lr, F.transform(F.sequence(la, lr - 1), lambda i: F.struct(i.alias("o"), F.lit("DEL").alias("s"))))
+    inserted = F.when(la > lr, F.array(F.struct((lr - 1).alias("o"), F.concat(F.substring(F.col("allele"), lr, F.lit(1)), F.lit("I")).alias("s"))))
+    none = F.array().cast("array<struct<o:int,s:string>>")
+    steps = F.concat(F.coalesce(prefix, none), F.coalesce(deleted, none), F.coalesce(inserted, none))
+    rows = one.select("chrom", "pos", "prob", F.explode(steps).alias("x")).select("chrom", (F.col("pos") + F.col("x.o")).alias("pos"), F.col("x.s").alias("symbol"), "prob")
+    sums = rows.groupBy("chrom", "pos", "symbol").agg(F.sum("prob").alias("prob"))
+    return scale_sites(sums)
+
+
+def scale_sites(sites) -> DataFrame:
+    """Probabilities scaled to one per site, with the flag "not a single certain symbol"."""
+    site = Window.partitionBy("chrom", "pos")
+    scaled = sites.withColumn("prob", F.col("prob") / F.sum("prob").over(site))
+    return scaled.withColumn("is_variant", F.max("prob").over(site) != 1)
+
+
+def reference_bases(tiles) -> DataFrame:
+    """One row per position: (chrom, pos, base)."""
+    return tiles.select("chrom", "start", F.posexplode(F.split("seq", "")).alias("i", "base")).select(
+        "chrom", (F.col("start") + F.col("i")).alias("pos"), "base")
+
+
+def site_matrix(tiles, variants) -> DataFrame:
+    """var_site_matrix: variant sites plus certain reference symbols at every other position."""
+    touched = variant_sites(variants)
+    bases = reference_bases(tiles).join(touched.select("chrom", "pos"), ["chrom", "pos"], "left_anti")
+    certain = bases.select("chrom", "pos", F.col("base").alias("symbol"), F.lit(1.0).alias("prob"), F.lit(False).alias("is_variant"))
+    return touched.unionByName(certain)
+
+
+def overlapping_variants(variants) -> DataFrame:
+    """Report of records that start inside an earlier record of the chromosome."""
+    w = Window.partitionBy("chrom").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return variants.withColumn("_to", F.max(F.col("pos") + F.length("ref")).over(w)).where(F.col("pos") < F.col("_to")).drop("_to")
+
+
+def revcomp_matrix(sites, tiles) -> DataFrame:
+    """var_revcomp_matrix: complement symbols, insertion mass moves to the next position, positions are mirrored.
+
+    Neighbours meet by equi joins on (chrom, pos), so a long chromosome is not one window.
+    """
+    sizes = tile_lengths(tiles)
+    is_ins = F.col("symbol").rlike("^.I$")
+    ins = sites.where(is_ins).groupBy("chrom", "pos").agg(F.sum("prob").alias("s")).join(sizes, "chrom").where(F.col("pos") < F.col("len") - 1)
+    own, prev = ins.select("chrom", "pos", F.col("s").alias("s0")), ins.select("chrom", (F.col("pos") + 1).alias("pos"), F.col("s").alias("s1"))
+    base = sites.where(~is_ins).join(own, ["chrom", "pos"], "left").join(prev, ["chrom", "pos"], "left")
+    left = F.when(F.col("s0") == 1, F.col("prob")).otherwise(F.col("prob") / (1 - F.coalesce("s0", F.lit(0.0))))
+    swapped = F.when(F.length("symbol") == 1, complement("symbol")).otherwise(F.col("symbol"))
+    kept = base.select("chrom", "pos", swapped.alias("symbol"), (left * (1 - F.coalesce("s1", F.lit(0.0)))).alias("prob"))
+    moved = prev.join(reference_bases(tiles), ["chrom", "pos"]).select(
+        "chrom", "pos", F.concat(complement("base"), F.lit("I")).alias("symbol"), F.col("s1").alias("prob"))
+    mirrored = kept.unionByName(moved).join(sizes, "chrom").select("chrom", (F.col("len") - 1 - F.col("pos")).alias("pos"), "symbol", "prob")
+    return scale_sites(mirrored.where(F.col("prob") != 0))
+
+
+def draw_allele_pairs(sites, replacement: bool = False, seed=42) -> DataFrame:
+    """Two alleles per variant site by probability, as a sorted pair ``a_b`` (a site has at most 11 symbols)."""
+    variant = sites.where("is_variant").groupBy("chrom", "pos").agg(
+        F.array_sort(F.collect_list(F.struct("symbol", "prob"))).alias("a")).where(F.size("a") > 1)
+
+    def pick(items: Column, u: Column) -> Column:
+        total = F.aggregate(items, F.lit(0.0), lambda s, x: s + x["prob"])
+        start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("string").alias("s"))
+
+        def step(acc, x):
+            c = acc["c"] + x["prob"]
+            return F.struct(c.alias("c"), F.when(acc["s"].isNull() & (u * total < c), x["symbol"]).otherwise(acc["s"]).alias("s"))
+
+        found = F.aggregate(items, start, step)["s"]
+        return F.coalesce(found, F.element_at(items, -1)["symbol"])
+
+    one = variant.withColumn("s1", pick(F.col("a"), hash_uniform(f"{seed}a", "chrom", "pos")))
+    rest = F.col("a") if replacement else F.filter("a", lambda x: x["symbol"] != F.col("s1"))
+    two = one.withColumn("_rest", rest).withColumn("s2", pick(F.col("_rest"), hash_uniform(f"{seed}b", "chrom", "pos")))
+    return two.select("chrom", "pos", F.array_join(F.array_sort(F.array("s1", "s2")), "_").alias("pair"))
+
+
+def sample_sites(tiles, sites, lexicon, width: int, replacement: bool = False, seed=42) -> DataFrame:
+    """var_sample_sites: tiles with one character per variant site for its drawn pair; other letters stay.
+
+    Only variant sites become rows; a tile's string is spliced from the pieces between its sites.
+    """
+    single = sites.where(~F.col("is_variant")).join(
+        lexicon.where(F.length("pair") > 1).select(F.col("pair").alias("symbol"), "letter"), "symbol").select("chrom", "pos", "letter")
+    pairs = draw_allele_pairs(sites, replacement, seed).join(lexicon, "pair").select("chrom", "pos", "letter").unionByName(single)
+    per = pairs.withColumn("tile", F.floor(F.col("pos") / width)).groupBy("chrom", "tile").agg(
+        F.array_sort(F.collect_list(F.struct((F.col("pos") % width).cast("int").alias("o"), "letter"))).alias("v"))
+    start = F.struct(F.lit("").alias("s"), F.lit(0).alias("at"))
+
+    def step(acc, x):
+        return F.struct(F.concat(acc["s"], F.substring(F.col("seq"), acc["at"] + 1, x["o"] - acc["at"]), x["letter"]).alias("s"),
+                        (x["o"] + 1).alias("at"))
+
+    done = F.aggregate("v", start, step)
+    spliced = F.concat(done["s"], F.substring(F.col("seq"), done["at"] + 1, F.length("seq")))
+    return tiles.join(per, ["chrom", "tile"], "left").withColumn("seq", F.coalesce(spliced, "seq")).select("chrom", "tile", "start", "seq")
+
+
+# labels --------------------------------------------------------------------------------------------
+
+def insulation_labels(chunks, table) -> DataFrame:
+    """lab_insulation: chunk with the label of its start, null labels and all-N chunks dropped, two decimals."""
+    scored = table.where(F.col("score").isNotNull()).select("chrom", "start", F.round("score", 2).alias("label"))
+    return chunks.where(~F.col("seq").rlike("^N+$")).join(scored, ["chrom", "start"])
+
+
+def _contact_label(oe: Column, binarize: bool) -> Column:
+    value = F.coalesce(oe, F.lit(0.0))
+    return (value != 0).cast("double") if binarize else F.round(value, 2)
+
+
+def contact_fixed(chunks, contacts, stride: int = 1, binarize: bool = True) -> DataFrame:
+    """lab_contact_fixed: chunk i with chunk i + stride and their contact; pairs made only of N drop out."""
+    a = chunks.select("chrom", F.col("chunk").alias("bin1"), F.col("seq").alias("seq1"))
+    b = chunks.select("chrom", (F.col("chunk") - stride).alias("bin1"), F.col("seq").alias("seq2"))
+    pairs = a.join(b, ["chrom", "bin1"]).where(~F.concat("seq1", "seq2").rlike("^N+$")).withColumn("bin2", F.col("bin1") + stride)
+    out = pairs.join(contacts, ["chrom", "bin1", "bin2"], "left")
+    return out.select("chrom", "bin1", "bin2", "seq1", "seq2", _contact_label(F.col("oe"), binarize).alias("label"))
+
+
+def contact_complete(tiles, contacts, sizes, resolution: int, stride: int, width: int, binarize: bool = True) -> DataFrame:
+    """The merged form: one piece from chunk i to the end of chunk i + stride."""
+    last = F.floor((F.col("len") - resolution * stride - 1) / resolution)
+    spans = sizes.where(F.col("len") > resolution * stride).select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("bin1"))
+    spans = spans.withColumns({"start": F.col("bin1") * resolution, "end": (F.col("bin1") + stride + 1) * resolution, "bin2": F.col("bin1") + stride})
+    out = extract(tiles, spans, width).where(~F.col("seq").rlike("^N+$")).join(contacts, ["chrom", "bin1", "bin2"], "left")
+    return out.select("chrom", "bin1", "bin2", "seq", _contact_label(F.col("oe"), binarize).alias("label"))
+
+
+def contact_sequential(chunks, contacts, k: int) -> DataFrame:
+    """lab_contact_sequential: full windows of k bins with any contact between bins; labels of the upper triangle, row by row."""
+    win = F.floor(F.col("bin1") / k)
+    inner = contacts.where((F.col("bin1") < F.col("bin2")) & (win == F.floor(F.col("bin2") / k)) & (F.col("oe") != 0))
+    filled = inner.groupBy("chrom", win.alias("window")).agg(F.map_from_entries(F.collect_list(F.struct(
+        ((F.col("bin1") % k) * k + F.col("bin2") % k).cast("int").alias("key"), "oe"))).alias("m"))
+    cells = F.array(*[F.lit(i * k + j) for i in range(k) for j in range(i + 1, k)])
+    labels = F.transform(cells, lambda c: F.round(F.coalesce(F.element_at(F.col("m"), c), F.lit(0.0)), 2))
+    wins = filled.withColumn("labels", labels).drop("m")
+    windows = chunks.withColumn("window", F.floor(F.col("chunk") / k)).join(wins.select("chrom", "window"), ["chrom", "window"], "left_semi")
+    seqs = windows.groupBy("chrom", "window").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("chunk", "seq"))), lambda x: x["seq"]).alias("seqs")).where(F.size("seqs") == k)
+    return seqs.join(wins, ["chrom", "window"])
+
+
+def contact_random(chunks, contacts, sizes, resolution: int, k: int, ratio: float = 1.0, shift: int = 0, binarize: bool = True, seed=0) -> DataFrame:
+    """lab_contact_random: samples of k distinct non-N bins with the contacts of all their pairs in draw order.
+
+    Bins are numbered per chromosome in hash order; a sample draws k numbers and meets bins and contacts by equi joins.
+    """
+    full = chunks.where(~F.col("seq").rlike("^N+$") & (F.length("seq") == resolution)).select("chrom", "chunk")
+    numbered = hash_ranks(full, ["chrom"], f"{seed}n", ["chunk"], "_rn")
+    pool = full.groupBy("chrom").agg(F.count("*").cast("int").alias("_b")).where(F.col("_b") >= k)
+    n = F.floor(F.floor(F.col("len") / (resolution * k)) * F.lit(ratio)).cast("int")
+    samples = sizes.join(pool, "chrom").withColumn("_n", n).where("_n > 0").withColumn("sample", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    samples = samples.withColumn("_key", F.concat_ws("/", "chrom", "sample"))
+    drawn = samples.select("chrom", "sample", F.posexplode(distinct_positions(F.col("_b"), F.lit(k), seed, "_key")).alias("pos", "_i"))
+    bins = drawn.withColumn("_rn", F.col("_i").cast("bigint") + 1).join(numbered, ["chrom", "_rn"]).select("chrom", "sample", "pos", F.col("chunk").alias("bin"))
+    rows = bins.groupBy("chrom", "sample").agg(F.array_sort(F.collect_list(F.struct("pos", "bin"))).alias("b"))
+    order = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(k) for j in range(i + 1, k)])
+    pairs = rows.select("chrom", "sample", "b", F.explode(order).alias("o")).select(
+        "chrom", "sample", F.col("o.i").alias("i"), F.col("o.j").alias("j"), F.get("b", F.col("o.i"))["bin"].alias("a"), F.get("b", F.col("o.j"))["bin"].alias("c"))
+    keyed = pairs.withColumns({"bin1": F.least("a", "c") + shift, "bin2": F.greatest("a", "c") + shift})
+    out = keyed.join(contacts, ["chrom", "bin1", "bin2"], "left")
+    return out.select("chrom", "sample", "i", "j", F.col("a").alias("bin_i"), F.col("c").alias("bin_j"), _contact_label(F.col("oe"), binarize).alias("label"))
+
+
+def measured_hits(hits, labels) -> DataFrame:
+    """lab_mpra_join: alignment hits with measured labels; left = lower end, right = upper end + 1."""
+    out = hits.join(labels, "seq_id", "left")
+    return out.withColumns({"start": F.least("sstart", "send"), "end": F.greatest("sstart", "send") + 1})
+
+
+def combined_labels(rows, col: str, names: list[str], wanted: list[str], sep: str = ",") -> DataFrame:
+    """lab_multi_combined: one joined label string to the requested label columns."""
+    parts = F.split(F.col(col), f"\\Q{sep}\\E")
+    return rows.select(*[c for c in rows.columns if c != col], *[F.get(parts, F.lit(names.index(w))).alias(w) for w in wanted])

@@ -4,7 +4,7 @@ import importlib
 
 from tallgene.plans.registry import ORACLES, QUERIES
 
-SECTIONS = ["cells", "values", "names", "aggregates", "orders", "sets", "samples", "perturbations", "evaluation", "arrays", "training"]
+SECTIONS = ["cells", "values", "names", "aggregates", "orders", "sets", "samples", "perturbations", "evaluation", "arrays", "training", "genome"]
 
 for _name in SECTIONS:
     importlib.import_module(f"tallgene.plans.{_name}")

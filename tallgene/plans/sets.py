@@ -99,14 +99,7 @@ def _(t):
     return so.case_duplicates(t.part.select("p_partkey", F.concat(name, F.col("p_size").cast("string")).alias("n")), "n")
 
 
-@query("set_common_seq_removal", """WITH s AS (SELECT doc_id, substr(text, 1, 2) AS seq, lang FROM documents)
-  SELECT seq, min(doc_id) AS doc_id, min(lang) AS lang FROM s GROUP BY 1 HAVING count(DISTINCT lang) = 1""")
-def _(t):
-    rows = t.documents.select("doc_id", F.substring("text", 1, 2).alias("seq"), "lang")
-    return so.remove_common_sequences(rows, "seq", "lang", "doc_id")
-
-
-@query("set_common_seq_removal_text", """SELECT text AS seq, min(doc_id) AS doc_id FROM documents GROUP BY 1 HAVING count(DISTINCT lang) = 1""")
+@query("set_common_seq_removal", """SELECT text AS seq, min(doc_id) AS doc_id FROM documents GROUP BY 1 HAVING count(DISTINCT lang) = 1""")
 def _(t):
     rows = t.documents.select("doc_id", F.col("text").alias("seq"), "lang")
     return so.remove_common_sequences(rows, "seq", "lang", "doc_id").select("seq", "doc_id")
