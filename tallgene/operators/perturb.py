@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallgene.functions.blocks import block_meetings
 from tallgene.functions.lineage import stable
 from tallgene.functions.rand import hash_int, hash_uniform
 from tallgene.functions.ranks import hash_ranks, quantiles
@@ -154,26 +155,20 @@ def discrimination_scores(grouped, block: int = BLOCK) -> DataFrame:
     product in numpy that returns a count per prediction. No pair of perturbations becomes a row. The
     profiles (one row per perturbation) are checkpointed, because every block pair reads them.
     """
-    both = hash_ranks(stable(profile_arrays(grouped, "predicted", "label")), [], 0, ["perturbation"], "_rn")
-    both = both.withColumn("b", F.floor((F.col("_rn") - 1) / block).cast("int")).drop("_rn")
-    n = both.select(F.count("*")).scalar()
-    last = both.select(F.max("b")).scalar()
-    others = F.explode(F.sequence(F.lit(0), last))
-    left = both.select("perturbation", "genes", F.col("predicted").alias("pred"), F.col("label").alias("own"), F.col("b").alias("pb"), others.alias("tb"))
-    right = both.select(F.col("perturbation").alias("other"), F.col("label").alias("truth"), F.col("b").alias("tb"), others.alias("pb"))
+    profiles = stable(profile_arrays(grouped, "predicted", "label"))
 
     def count_closer(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        truth, names = np.vstack(q["truth"].to_list()), q["other"].to_numpy()
+        truth, names = np.vstack(q["label"].to_list()), q["perturbation"].to_numpy()
         out = []
-        for name, genes, pred, own in zip(p["perturbation"], p["genes"], p["pred"], p["own"]):
+        for name, genes, pred, own in zip(p["perturbation"], p["genes"], p["predicted"], p["label"]):
             keep = ~np.isin(np.asarray(genes, dtype=object), name.split("_"))
             dist = np.round(np.abs(truth[:, keep] - np.asarray(pred)[keep]).sum(axis=1), 9)
             mine = np.round(np.abs(np.asarray(own)[keep] - np.asarray(pred)[keep]).sum(), 9)
             out.append((name, int(((dist < mine) & (names != name)).sum()), float(mine)))
         return pd.DataFrame(out, columns=["perturbation", "closer", "distance"])
 
-    counted = left.groupBy("pb", "tb").cogroup(right.groupBy("pb", "tb")).applyInPandas(
-        count_closer, "perturbation string, closer long, distance double")
+    counted = block_meetings(profiles, "perturbation", block, count_closer, "perturbation string, closer long, distance double")
+    n = profiles.select(F.count("*")).scalar()
     return counted.groupBy("perturbation").agg(F.sum("closer").alias("closer"), F.max("distance").alias("distance")).withColumn(
         "score", 1 - F.col("closer") / n)
 

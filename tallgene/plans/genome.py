@@ -138,9 +138,8 @@ def _(t):
     FROM seqs JOIN pool ON rn = {hi('42d', 'chrom')} % (SELECT count(*) FROM o) + 1),
   f AS (SELECT chrom, seq, k, n, list_reduce(list_transform(range(n - k, n), lambda j: [j, CAST(floor({hu('42p', 'chrom', 'j')} * (j + 1)) AS BIGINT)]),
     lambda a, b: list_append(a, CASE WHEN list_contains(a, b[2]) THEN b[1] ELSE b[2] END), CAST([] AS BIGINT[])) AS ps FROM n),
-  e AS (SELECT chrom, unnest(CASE WHEN k > 0 THEN ps ELSE [] END) AS p FROM f)
-  SELECT chrom, CAST(k AS INTEGER) AS n_sub, (SELECT string_agg(CASE WHEN e.p IS NOT NULL THEN substr('XZJ', CAST(floor({hu('42l', 'f.chrom', 'i')} * 3) AS BIGINT) + 1, 1) ELSE substr(f.seq, i + 1, 1) END, '' ORDER BY i)
-    FROM range(0, f.n) r(i) LEFT JOIN e ON e.chrom = f.chrom AND e.p = i) AS seq FROM f WHERE n > 0""")
+  z AS (SELECT chrom, k, list_zip(string_split(seq, ''), range(0, n)) AS l, CASE WHEN k > 0 THEN ps ELSE [] END AS ps FROM f WHERE n > 0)
+  SELECT chrom, CAST(k AS INTEGER) AS n_sub, array_to_string(list_transform(l, lambda x: CASE WHEN list_contains(ps, x[2]) THEN substr('XZJ', CAST(floor({hu('42l', 'chrom', 'x[2]')} * 3) AS BIGINT) + 1, 1) ELSE x[1] END), '') AS seq FROM z""")
 def _(t):
     o = t.documents.join(t.labels.where("quality = 1"), "doc_id").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), (F.col("n_chars") % 9).alias("k"))
