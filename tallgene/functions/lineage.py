@@ -24,13 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """More partitions for an input that arrives in fewer splits than there are cores.
+
+    Meant before steps that expand every row a lot; with many splits it changes nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: written to the shared folder, so lost executors do not lose it."""
+    """Reliable checkpoint: written to the shared folder, so lost executors do not lose it.
+
+    Used for small derived tables (per group, gene, value or label) that later steps read several
+    times, so that the large input behind them is scanned once.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgene.functions.lineage import stable
 from tallgene.functions.rand import hash_int
 
 VALUE_BUCKETS = 4096
@@ -24,11 +25,11 @@ def _over(by: Sequence[str], *order) -> Window:
     return w.orderBy(*order)
 
 
-def hash_ranks(df: DataFrame, by: Sequence[str], seed, keys: Sequence[str], out: str = "rn") -> DataFrame:
-    """Number the rows of each group 1..n in hash order (ties by ``keys``).
+def hash_ranks(df: DataFrame, by: Sequence[str], seed, keys: Sequence[str], out: str = "rn", total: str | None = None) -> DataFrame:
+    """Number the rows of each group 1..n in hash order (ties by ``keys``); optionally with the group size.
 
-    Two shuffles on (group, hash bucket); a hot group is spread over 4096 buckets. Key columns
-    must identify a row, group columns must not be null.
+    Two passes over ``df``, one of them on the key columns only; a hot group is spread over 4096
+    buckets. Key columns must identify a row, group columns must not be null.
     """
     by = list(by)
     rows = df.withColumn("_h", hash_int(seed, *keys)).withColumn("_hb", F.shiftright("_h", HASH_SHIFT))
@@ -36,6 +37,7 @@ def hash_ranks(df: DataFrame, by: Sequence[str], seed, keys: Sequence[str], out:
     offsets = sizes.select(
         *by, "_hb",
         F.coalesce(F.sum("_n").over(_over(by, "_hb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        *([F.sum("_n").over(Window.partitionBy(*by)).alias(total)] if total else []),
     )
     inner = Window.partitionBy(*by, "_hb").orderBy("_h", *keys)
     return (
@@ -49,13 +51,14 @@ def value_ranks(df: DataFrame, by: Sequence[str], col: str, sums: dict[str, Colu
     """One row per distinct (group, value): ``n`` rows, ``n_before`` rows with a smaller value, ``n_total``.
 
     Values are pre-aggregated map-side, so repeated values (counts) collapse before any sort. Every
-    column named in ``sums`` is summed per value and gets the same ``_before`` running total.
+    column named in ``sums`` is summed per value and gets the same ``_before`` running total. The
+    table of values is checkpointed, so the input is scanned once.
     """
     by = list(by)
     sums = sums or {}
     parts = ["n", *sums]
-    freq = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(
-        F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    freq = stable(df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(
+        F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()]))
     if by:
         ext = freq.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.sum("n").alias("n_total"))
         freq = freq.join(ext, by)

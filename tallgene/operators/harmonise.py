@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgene.functions.lineage import stable
+
 CONTROL = "Control"
 
 
@@ -45,7 +47,7 @@ def standard_names(var, gene_map, upper: bool = False, threshold: float = 0.3) -
 
 def standardize_genes(expr, var, gene_map, strategy: str = "remove", upper: bool = False, threshold: float = 0.3) -> DataFrame:
     """jn_standardize_genes: nomenclature names; duplicates removed, suffixed or summed."""
-    named = standard_names(var, gene_map, upper, threshold)
+    named = stable(standard_names(var, gene_map, upper, threshold))
     if strategy == "aggregate":
         joined = expr.join(named.select("gene", "new_name"), "gene")
         return joined.groupBy("cell_id", F.col("new_name").alias("gene")).agg(F.sum("value").alias("value"))

@@ -90,15 +90,16 @@ def grouped_predictions(preds, truth, delta: bool = False) -> DataFrame:
     Baseline is the train average if there is one, else Control; with ``delta`` the mean predicted
     delta is added to it. The gene list travels as one array, so only grid rows are made.
     """
+    truth = stable(truth)
+    value = "predicted_delta" if delta else "predicted"
+    mean = stable(preds.groupBy("perturbation", "gene").agg(F.avg(value).alias("_p")))
     has_avg = truth.where(F.col("perturbation") == AVERAGE).select(F.count("*")).scalar() > 0
     base = truth.groupBy("gene").agg(
         F.max(F.when(F.col("perturbation") == AVERAGE, F.col("mean"))).alias("_a"),
         F.coalesce(F.max(F.when(F.col("perturbation") == CONTROL, F.col("mean"))), F.lit(0.0)).alias("input"),
     ).select("gene", "input", F.when(has_avg, F.coalesce("_a", F.lit(0.0))).otherwise(F.col("input")).alias("baseline"))
     genes = truth.select(F.array_sort(F.collect_set("gene"))).scalar()
-    grid = preds.select("perturbation").distinct().select("perturbation", F.explode(genes).alias("gene"))
-    value = "predicted_delta" if delta else "predicted"
-    mean = preds.groupBy("perturbation", "gene").agg(F.avg(value).alias("_p"))
+    grid = mean.select("perturbation").distinct().select("perturbation", F.explode(genes).alias("gene"))
     out = grid.join(base, "gene").join(mean, ["perturbation", "gene"], "left").join(
         truth.select("perturbation", "gene", F.col("mean").alias("label")), ["perturbation", "gene"], "left")
     predicted = F.col("baseline") + F.coalesce("_p", F.lit(0.0)) if delta else F.coalesce("_p", "baseline")
@@ -123,6 +124,7 @@ def aggregated_metrics(grouped) -> DataFrame:
 def top_gene_metrics(grouped, top_genes, least: int = 2) -> DataFrame:
     """prt_top20_metrics: the same on each perturbation's top genes (at least two), plus a mean row."""
     sub = grouped.join(top_genes.select("perturbation", "gene"), ["perturbation", "gene"], "left_semi")
+    sub = stable(sub)
     enough = sub.groupBy("perturbation").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     one = aggregated_metrics(sub.join(enough, "perturbation", "left_semi"))
     mean = one.agg(*[F.avg(m).alias(m) for m in METRICS]).withColumn("perturbation", F.lit("mean"))

@@ -34,8 +34,7 @@ def random_split(df, weights: dict[str, float], keys: list[str], seed=42) -> Dat
 
 def stratified_split(df, label: str, weights: dict[str, float], keys: list[str], seed=42) -> DataFrame:
     """spl_stratified: exact shares in every label; test first, then dev out of the rest."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    ranked = hash_ranks(df, [label], seed, keys, "_rn").join(sizes, label)
+    ranked = hash_ranks(df, [label], seed, keys, "_rn", total="_n")
     n_test = F.round(F.col("_n") * weights["test"])
     n_dev = F.round((F.col("_n") - n_test) * (weights["dev"] / (weights["train"] + weights["dev"])))
     split = F.when(F.col("_rn") <= n_test, "test").when(F.col("_rn") <= n_test + n_dev, "dev").otherwise("train")
@@ -239,8 +238,7 @@ def sample_n(df, n: int, keys: list[str], seed=42) -> DataFrame:
 
 def sample_n_per_group(df, n: int, group: str, keys: list[str], seed=42) -> DataFrame:
     """smp_n_per_group: exactly n per group, smaller groups dropped."""
-    big = df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select(group)
-    return sample_upto_n_per_group(df.join(big, group, "left_semi"), n, group, keys, seed)
+    return hash_ranks(df, [group], seed, keys, "_rn", total="_n").where((F.col("_n") >= n) & (F.col("_rn") <= n)).drop("_rn", "_n")
 
 
 def sample_upto_n_per_group(df, n: int, group: str, keys: list[str], seed=42) -> DataFrame:
@@ -253,14 +251,15 @@ def sample_fraction(df, fraction: float, keys: list[str], seed=42) -> DataFrame:
     return df.where(hash_uniform(seed, *keys) < fraction)
 
 
-def equal_quotas(df, group: str, total: Column) -> DataFrame:
+def equal_quotas(df, group: str, total: Column | None = None, fraction: float | None = None) -> DataFrame:
     """Quota per group: the water level L with sum(min(size, L)) = total; the remainder goes to the largest groups.
 
     Runs on one row per group.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("size")).withColumn("total", total)
     up = Window.orderBy("size", group)
     every = Window.partitionBy()
+    wanted = total if fraction is None else F.floor(F.sum("size").over(every) * F.lit(fraction))
+    sizes = df.groupBy(group).agg(F.count("*").alias("size")).withColumn("total", wanted)
     s = sizes.withColumns({
         "below": F.coalesce(F.sum("size").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "left": F.count("*").over(every) - F.row_number().over(up) + 1,
@@ -280,8 +279,7 @@ def equal_quotas(df, group: str, total: Column) -> DataFrame:
 
 def sample_equal_quota(df, group: str, fraction: float, keys: list[str], seed=42) -> DataFrame:
     """smp_equal_quota: small groups keep all, the others share equally; exact total."""
-    total = F.floor(df.select(F.count("*")).scalar() * F.lit(fraction))
-    quotas = equal_quotas(df, group, total).select(group, "quota")
+    quotas = equal_quotas(df, group, fraction=fraction).select(group, "quota")
     return hash_ranks(df, [group], seed, keys, "_rn").join(quotas, group).where(F.col("_rn") <= F.col("quota")).drop("_rn", "quota")
 
 

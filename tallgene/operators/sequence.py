@@ -248,13 +248,12 @@ def variant_sites(variants) -> DataFrame:
     """
     one = variants.select("chrom", "pos", "ref", F.explode("alleles").alias("a")).select("chrom", "pos", "ref", "a.allele", "a.prob")
     la, lr = F.length("allele"), F.length("ref")
-    kept = F.when(la > lr, lr - 1).otherwise(la)
-    prefix = F.when(kept > 0, F.transform(F.sequence(F.lit(0), kept - 1), lambda i: F.struct(i.alias("o"), F.substring(F.col("allele"), i + 1, F.lit(1)).alias("s"))))
-    deleted = F.when(la < lr, F.transform(F.sequence(la, lr - 1), lambda i: F.struct(i.alias("o"), F.lit("DEL").alias("s"))))
-    inserted = F.when(la > lr, F.array(F.struct((lr - 1).alias("o"), F.concat(F.substring(F.col("allele"), lr, F.lit(1)), F.lit("I")).alias("s"))))
-    none = F.array().cast("array<struct<o:int,s:string>>")
-    steps = F.concat(F.coalesce(prefix, none), F.coalesce(deleted, none), F.coalesce(inserted, none))
-    rows = one.select("chrom", "pos", "prob", F.explode(steps).alias("x")).select("chrom", (F.col("pos") + F.col("x.o")).alias("pos"), F.col("x.s").alias("symbol"), "prob")
+    at = F.explode(F.sequence(F.lit(0), lr - 1))
+    # every allele covers exactly the positions of the reference text
+    o = F.col("o")
+    letter = F.substring(F.col("allele"), o + 1, F.lit(1))
+    symbol = F.when((la > lr) & (o == lr - 1), F.concat(letter, F.lit("I"))).when(o < la, letter).otherwise(F.lit("DEL"))
+    rows = one.select("chrom", "pos", "ref", "allele", "prob", at.alias("o")).select("chrom", (F.col("pos") + o).alias("pos"), symbol.alias("symbol"), "prob")
     sums = rows.groupBy("chrom", "pos", "symbol").agg(F.sum("prob").alias("prob"))
     return scale_sites(sums)
 

@@ -11,6 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgene.functions.lineage import stable
 from tallgene.functions.ranks import quantiles
 from tallgene.functions.tdist import t_quantile_975
 
@@ -123,7 +124,7 @@ def group_means(expr, obs, exp_before_mean: bool = False, split: str = "train",
 
     Group means absent from the sparse result are zero and count in the average row.
     """
-    means = plain_group_means(expr, obs, [col], exp_before_mean)
+    means = stable(plain_group_means(expr, obs, [col], exp_before_mean))
     train = obs.where((F.col("split") == split) & (F.col(col) != CONTROL)).select(col).distinct()
     n_train = train.select(F.count("*")).scalar()
     average = means.join(train, col, "left_semi").groupBy("gene").agg((F.sum("mean") / n_train).alias("mean"))
@@ -243,8 +244,8 @@ def highly_variable_genes(expr, obs, flavor="seurat", n_top_genes=None, n_bins=2
 def de_scores(expr, obs, col: str = "perturbation") -> DataFrame:
     """Welch t of every perturbation against the controls, zeros counted."""
     v = F.col("value")
-    sums = group_sums(expr, obs, [col], v, F.sum(v * v).alias("ss"))
-    sizes = group_sizes(obs, [col])
+    sums = stable(group_sums(expr, obs, [col], v, F.sum(v * v).alias("ss")))
+    sizes = stable(group_sizes(obs, [col]))
     ctrl = sums.where(F.col(col) == CONTROL).select("gene", F.col("s").alias("cs"), F.col("ss").alias("css"))
     n_ctrl = sizes.where(F.col(col) == CONTROL).select(F.max("n_cells")).scalar()
     grid = (
@@ -360,6 +361,7 @@ def feature_mutual_information(df, features: list[str], bins: int) -> DataFrame:
 
 def perturbation_distance(means, col: str = "perturbation") -> DataFrame:
     """agg_pert_distance: 1 - correlation of a perturbation's mean profile with the control profile."""
+    means = stable(means)
     ctrl = means.where(F.col(col) == CONTROL).select("gene", F.col("mean").alias("c"))
     groups = means.where(F.col(col) != CONTROL).select(col).distinct()
     genes = means.select(F.collect_set("gene")).scalar()

@@ -333,11 +333,11 @@ def _(t):
     return rounded(st.variation_share(t.documents.select("doc_id", F.col("text").alias("seq"))).select("doc_id", "variation"), "variation")
 
 
-BOOT = f"""b AS (SELECT l_linestatus AS metric, l_suppkey % 100 AS run, avg((l_returnflag = 'A')::INT) AS value FROM lineitem GROUP BY 1, 2)"""
+BOOT = f"""b AS (SELECT l_linestatus AS metric, l_partkey % 100 AS run, avg((l_returnflag = 'A')::INT) AS value FROM lineitem GROUP BY 1, 2)"""
 
 
 def _boot_runs(t):
-    return t.lineitem.groupBy(F.col("l_linestatus").alias("metric"), (F.col("l_suppkey") % 100).alias("run")).agg(
+    return t.lineitem.groupBy(F.col("l_linestatus").alias("metric"), (F.col("l_partkey") % 100).alias("run")).agg(
         F.avg((F.col("l_returnflag") == "A").cast("int")).alias("value"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallgene.functions.lineage import spread
+
 RAW = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -107,7 +109,7 @@ class Tables:
         a, n, rr = F.col("l_discount") * 10, F.col("l_tax") * 12, F.col("l_quantity") / 50
         best = F.when((a >= n) & (a >= rr), "A").when(n >= rr, "N").otherwise("R")
         return self.lineitem.select(
-            F.concat_ws("-", _s("l_orderkey"), _s("l_linenumber"), _s("l_partkey"), _s("l_suppkey")).alias("sample_id"),
+            F.concat_ws("-", _s("l_orderkey"), _s("l_linenumber"), _s("l_partkey"), F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")).alias("sample_id"),
             F.col("l_returnflag").alias("label"), best.alias("predicted"),
             a.alias("logit_a"), n.alias("logit_n"), rr.alias("logit_r"),
         )
@@ -116,7 +118,7 @@ class Tables:
     def seqs(self):
         """Sequences over A C G T N."""
         clean = F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "N")
-        return self.documents.select(F.concat(F.lit("d"), _s("doc_id")).alias("chrom"), clean.alias("seq"))
+        return spread(self.documents.select("doc_id", "text"), "doc_id").select(F.concat(F.lit("d"), _s("doc_id")).alias("chrom"), clean.alias("seq"))
 
     @property
     def tiles(self):
@@ -165,7 +167,7 @@ _VIEWS = {
         CASE WHEN l_linenumber % 4 = 0 THEN 0.0::DOUBLE ELSE l_quantity END AS label,
         CASE WHEN l_discount < 0.015 THEN 0.0::DOUBLE ELSE l_extendedprice / 1700 END AS predicted,
         round(l_discount * 100 - 5) AS logit_zero FROM lineitem""",
-    "cpred": """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS sample_id, l_returnflag AS label,
+    "cpred": """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS sample_id, l_returnflag AS label,
         CASE WHEN l_discount * 10 >= l_tax * 12 AND l_discount * 10 >= l_quantity / 50 THEN 'A'
              WHEN l_tax * 12 >= l_quantity / 50 THEN 'N' ELSE 'R' END AS predicted,
         l_discount * 10 AS logit_a, l_tax * 12 AS logit_n, l_quantity / 50 AS logit_r FROM lineitem""",
