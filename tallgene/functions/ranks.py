@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tallgene.functions.lineage import stable
 from tallgene.functions.rand import hash_int
 
-VALUE_BUCKETS = 4096
+VALUE_BUCKETS = 256
+SMALL_GROUP = 20_000  # groups with at most this many distinct values stay in one bucket
 HASH_SHIFT = 20  # 32-bit hash -> 4096 buckets
 
 
@@ -59,18 +60,23 @@ def value_ranks(df: DataFrame, by: Sequence[str], col: str, sums: dict[str, Colu
     parts = ["n", *sums]
     freq = stable(df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(
         F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()]))
+    # cut points by the number of distinct values; any fixed cuts give exact ranks, these give even buckets
+    cuts = F.percentile_approx(col, [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)], 2000)
+    ext = stable(freq.groupBy(*by).agg(F.sum("n").alias("n_total"), F.count("*").alias("_d"), cuts.alias("_cuts")))
+    ext = ext.withColumn("_cuts", F.when(F.col("_d") > SMALL_GROUP, F.col("_cuts"))).drop("_d")
+    def below(points):
+        return F.size(F.filter(points, lambda c: c < F.col(col)))
+
     if by:
-        ext = freq.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.sum("n").alias("n_total"))
-        freq = freq.join(ext, by)
+        bucket = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below(F.col("_cuts")))
+        freq = freq.join(ext, by).withColumn("_vb", bucket).drop("_cuts")
     else:
-        ext = freq.select(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"), F.sum("n").alias("n")).alias("e")).scalar()
-        freq = freq.withColumns({"_lo": ext.getField("lo"), "_hi": ext.getField("hi"), "n_total": ext.getField("n")})
-    share = (F.col(col) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    freq = freq.withColumn(
-        "_vb",
-        F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * VALUE_BUCKETS), F.lit(VALUE_BUCKETS - 1)))
-        .otherwise(F.lit(0)).cast("int"),
-    )
+        one = ext.first()  # one row of at most 255 cut points
+        freq = freq.withColumn("n_total", F.lit(one["n_total"]).cast("bigint"))
+        if not one["_cuts"]:  # few distinct values: one sorted run over them is enough
+            run = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+            return freq.withColumns({f"{k}_before": F.coalesce(F.sum(k).over(run), F.lit(0)) for k in parts})
+        freq = freq.withColumn("_vb", below(F.array(*[F.lit(c) for c in one["_cuts"]])))
     buckets = freq.groupBy(*by, "_vb").agg(*[F.sum(k).alias(f"_b_{k}") for k in parts])
     earlier = _over(by, "_vb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select(*by, "_vb", *[F.coalesce(F.sum(f"_b_{k}").over(earlier), F.lit(0)).alias(f"_off_{k}") for k in parts])
@@ -78,7 +84,7 @@ def value_ranks(df: DataFrame, by: Sequence[str], col: str, sums: dict[str, Colu
     return (
         freq.join(offsets, [*by, "_vb"])
         .withColumns({f"{k}_before": F.coalesce(F.sum(k).over(inner), F.lit(0)) + F.col(f"_off_{k}") for k in parts})
-        .drop("_lo", "_hi", "_vb", *[f"_off_{k}" for k in parts])
+        .drop("_vb", *[f"_off_{k}" for k in parts])
     )
 
 

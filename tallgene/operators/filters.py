@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallgene.functions.lists import short_list
 from tallgene.functions.ranks import global_quantiles, quantiles_of_columns
 
 CONTROL = "Control"
@@ -198,8 +199,7 @@ def dense_rows(expr, cells, genes) -> DataFrame:
     The gene list (bounded by the genome) is carried as one array and exploded next to each cell,
     so only rows of the dense result are ever made.
     """
-    listed = genes.select(F.array_sort(F.collect_set("gene")).alias("gs"))
-    grid = cells.select("cell_id", F.explode(listed.scalar()).alias("gene"))
+    grid = cells.select("cell_id", F.explode(short_list(genes, "gene", distinct=True)).alias("gene"))
     return grid.join(expr, ["cell_id", "gene"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 

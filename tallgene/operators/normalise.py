@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgene.functions.lists import short_list
 from tallgene.functions.rand import hash_uniform
 from tallgene.functions.ranks import global_quantiles, quantiles, take_by_hash
 
@@ -168,7 +169,7 @@ def zscore(expr, cells, genes, max_value: float = 10.0) -> DataFrame:
 
 def fill_genes(cells, gene_values) -> DataFrame:
     """Every cell next to every (gene, value) of a short gene list; the list travels as one array."""
-    items = gene_values.select(F.collect_list(F.struct("gene", "value")).alias("i")).scalar()
+    items = short_list(gene_values, F.struct("gene", "value"))
     return cells.select("cell_id", F.explode(items).alias("i")).select("cell_id", "i.gene", "i.value")
 
 

@@ -279,10 +279,16 @@ def site_matrix(tiles, variants) -> DataFrame:
     return touched.unionByName(certain)
 
 
-def overlapping_variants(variants) -> DataFrame:
-    """Report of records that start inside an earlier record of the chromosome."""
-    w = Window.partitionBy("chrom").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return variants.withColumn("_to", F.max(F.col("pos") + F.length("ref")).over(w)).where(F.col("pos") < F.col("_to")).drop("_to")
+def overlapping_variants(variants, width: int = 1_000_000) -> DataFrame:
+    """Report of records that start inside an earlier record; the furthest end so far runs over stretches of the
+    chromosome first, then inside a stretch, so a chromosome is not one sorted group."""
+    rows = variants.withColumns({"_w": F.floor(F.col("pos") / width), "_e": F.col("pos") + F.length("ref")})
+    ends = rows.groupBy("chrom", "_w").agg(F.max("_e").alias("_m"))
+    before = Window.partitionBy("chrom").orderBy("_w").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("chrom", "_w", F.max("_m").over(before).alias("_carry"))
+    inside = Window.partitionBy("chrom", "_w").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest(F.col("_carry"), F.max("_e").over(inside))
+    return rows.join(carried, ["chrom", "_w"]).withColumn("_to", reach).where(F.col("pos") < F.col("_to")).select(variants.columns)
 
 
 def revcomp_matrix(sites, tiles) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgene.functions.lineage import stable
+from tallgene.functions.lists import short_list
 from tallgene.functions.ranks import quantiles
 from tallgene.functions.tdist import t_quantile_975
 
@@ -250,7 +251,7 @@ def de_scores(expr, obs, col: str = "perturbation") -> DataFrame:
     n_ctrl = sizes.where(F.col(col) == CONTROL).select(F.max("n_cells")).scalar()
     grid = (
         sizes.where(F.col(col) != CONTROL)
-        .select(col, "n_cells", F.explode(sums.select(F.collect_set("gene")).scalar()).alias("gene"))
+        .select(col, "n_cells", F.explode(short_list(sums, "gene", distinct=True)).alias("gene"))
     )
     full = grid.join(sums.select(col, "gene", "s", "ss"), [col, "gene"], "left").join(ctrl, "gene", "left").fillna(0.0)
 
@@ -294,7 +295,7 @@ def crosstab_sorted(obs, row: str, col: str) -> DataFrame:
     cols = n.groupBy(col).agg(F.count("*").alias("col_filled"))
     rows = rows.withColumn("row_rank", F.row_number().over(Window.orderBy(F.col("row_filled").desc(), row)))
     cols = cols.withColumn("col_rank", F.row_number().over(Window.orderBy(F.col("col_filled").desc(), col)))
-    listed = cols.select(F.collect_list(F.struct(col, "col_rank")).alias("i")).scalar()
+    listed = short_list(cols, F.struct(col, "col_rank"))
     grid = rows.select(row, "row_rank", F.explode(listed).alias("i")).select(row, "row_rank", f"i.{col}", "i.col_rank")
     return grid.join(n, [row, col], "left").fillna(0, subset=["n"])
 
@@ -364,7 +365,7 @@ def perturbation_distance(means, col: str = "perturbation") -> DataFrame:
     means = stable(means)
     ctrl = means.where(F.col(col) == CONTROL).select("gene", F.col("mean").alias("c"))
     groups = means.where(F.col(col) != CONTROL).select(col).distinct()
-    genes = means.select(F.collect_set("gene")).scalar()
+    genes = short_list(means, "gene", distinct=True)
     grid = groups.select(col, F.explode(genes).alias("gene")).join(means, [col, "gene"], "left").join(ctrl, "gene", "left")
     return grid.fillna(0.0, ["mean", "c"]).groupBy(col).agg((1 - F.corr("mean", "c")).alias("distance"))
 

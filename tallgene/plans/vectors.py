@@ -108,17 +108,18 @@ CLOSE = "WITH RECURSIVE " + NODES + """, cl AS (SELECT id AS ancestor, id AS nod
 def terms(t):
     p = t.part
     key = F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+    root = F.concat(F.lit("root"), F.substring("p_type", 1, 0))  # not a constant, so joins on it stay equi joins
 
     def row(i, n, o=None):
         return p.select(i.alias("id"), n.alias("name"), (F.lit(False) if o is None else o).alias("obsolete")).distinct()
 
-    nodes = row(F.lit("root"), F.lit("all")).unionByName(row(F.col("p_type"), F.col("p_type"), F.col("p_type") == "LARGE")).unionByName(
+    nodes = row(root, F.lit("all")).unionByName(row(F.col("p_type"), F.col("p_type"), F.col("p_type") == "LARGE")).unionByName(
         row(F.col("p_brand"), F.col("p_brand"))).unionByName(row(key, F.col("p_name")))
 
     def edge(df, a, b):
         return df.select(a.alias("parent"), b.alias("child")).distinct()
 
-    sup = edge(p, F.lit("root"), F.col("p_type")).unionByName(edge(p.where("p_size <= 20"), F.col("p_type"), F.col("p_brand"))).unionByName(
+    sup = edge(p, root, F.col("p_type")).unionByName(edge(p.where("p_size <= 20"), F.col("p_type"), F.col("p_brand"))).unionByName(
         edge(p, F.col("p_brand"), key)).unionByName(edge(p, F.col("p_brand"), F.col("p_brand")))
     return nodes, sup
 

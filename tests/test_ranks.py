@@ -64,6 +64,24 @@ def test_hash_uniform_is_uniform(spark):
     assert abs(row[0] - 0.5) < 0.01 and row[1] >= 0 and row[2] < 1 and abs(row[3] - 0.25) < 0.01
 
 
+def test_many_buckets_give_the_same_ranks(skewed, monkeypatch):
+    pdf, df = skewed
+    monkeypatch.setattr(ranks, "SMALL_GROUP", 5)
+    out = ranks.value_ranks(df, ["g"], "v", {"s": F.col("id")}).toPandas()
+    for g, part in pdf.groupby("g"):
+        mine = out[out["g"] == g].sort_values("v")
+        by_value = part.groupby("v")["id"].agg(["count", "sum"]).sort_index()
+        assert list(mine["n_before"]) == list(by_value["count"].cumsum().shift(fill_value=0))
+        assert list(mine["s_before"]) == list(by_value["sum"].cumsum().shift(fill_value=0))
+    q = ranks.global_quantiles(df, "v", {"m": 0.37})
+    assert np.allclose(df.select(q["m"]).first()[0], pdf["v"].quantile(0.37))
+
+
+def test_empty_table(spark):
+    df = spark.range(0).select(F.col("id").cast("double").alias("v"))
+    assert ranks.quantiles(df, [], "v", {"q": 0.5}).first()["q"] is None
+
+
 def test_constant_column(spark):
     df = spark.range(10).select(F.lit(4.0).alias("v"))
     assert ranks.quantiles(df, [], "v", {"q": 0.3}).first()["q"] == 4.0
