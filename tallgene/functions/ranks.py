@@ -60,23 +60,26 @@ def value_ranks(df: DataFrame, by: Sequence[str], col: str, sums: dict[str, Colu
     parts = ["n", *sums]
     freq = stable(df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(
         F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()]))
+    sizes = freq.groupBy(*by).agg(F.sum("n").alias("n_total"), F.count("*").alias("_d"))
+    sizes = stable(sizes) if by else sizes
+    big = sizes.where(F.col("_d") > SMALL_GROUP)
+    if not big.limit(1).count():  # few distinct values everywhere: one sorted run per group is enough
+        rows = freq.join(sizes.drop("_d"), by) if by else freq.withColumn("n_total", freq.select(F.sum("n")).scalar())
+        run = _over(by, col).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({f"{k}_before": F.coalesce(F.sum(k).over(run), F.lit(0)) for k in parts})
     # cut points by the number of distinct values; any fixed cuts give exact ranks, these give even buckets
-    cuts = F.percentile_approx(col, [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)], 2000)
-    ext = stable(freq.groupBy(*by).agg(F.sum("n").alias("n_total"), F.count("*").alias("_d"), cuts.alias("_cuts")))
-    ext = ext.withColumn("_cuts", F.when(F.col("_d") > SMALL_GROUP, F.col("_cuts"))).drop("_d")
+    cuts = F.percentile_approx(col, [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)], 2000).alias("_cuts")
+
     def below(points):
         return F.size(F.filter(points, lambda c: c < F.col(col)))
 
     if by:
+        points = stable(freq.join(big.select(*by), by, "left_semi").groupBy(*by).agg(cuts))
         bucket = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below(F.col("_cuts")))
-        freq = freq.join(ext, by).withColumn("_vb", bucket).drop("_cuts")
+        freq = freq.join(sizes.drop("_d").join(points, by, "left"), by).withColumn("_vb", bucket).drop("_cuts")
     else:
-        one = ext.first()  # one row of at most 255 cut points
-        freq = freq.withColumn("n_total", F.lit(one["n_total"]).cast("bigint"))
-        if not one["_cuts"]:  # few distinct values: one sorted run over them is enough
-            run = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-            return freq.withColumns({f"{k}_before": F.coalesce(F.sum(k).over(run), F.lit(0)) for k in parts})
-        freq = freq.withColumn("_vb", below(F.array(*[F.lit(c) for c in one["_cuts"]])))
+        points = freq.agg(cuts).first()["_cuts"]  # at most 255 values
+        freq = freq.withColumn("n_total", freq.select(F.sum("n")).scalar()).withColumn("_vb", below(F.array(*[F.lit(c) for c in points])))
     buckets = freq.groupBy(*by, "_vb").agg(*[F.sum(k).alias(f"_b_{k}") for k in parts])
     earlier = _over(by, "_vb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select(*by, "_vb", *[F.coalesce(F.sum(f"_b_{k}").over(earlier), F.lit(0)).alias(f"_off_{k}") for k in parts])

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallgene.functions.lineage import stable
 from tallgene.functions.lists import short_list
 from tallgene.functions.ranks import global_quantiles, quantiles_of_columns
 
@@ -132,13 +133,14 @@ def iqr_bounds(df, col: str, scale: float) -> tuple[Column, Column]:
 
 def filter_total_iqr(cell_stats, scale: float, col: str = "total_counts") -> DataFrame:
     """flt_iqr_total: keep cells with totals inside Q1 - k*IQR .. Q3 + k*IQR, ends included."""
+    cell_stats = stable(cell_stats)
     low, high = iqr_bounds(cell_stats, col, scale)
     return cell_stats.where((F.col(col) >= low) & (F.col(col) <= high))
 
 
 def filter_outliers(cell_stats, scale: float = 1.5) -> DataFrame:
     """flt_outliers3: IQR rule on log totals, log genes and log mito percentage, all three must hold."""
-    logged = cell_stats.withColumns({
+    logged = stable(cell_stats).withColumns({
         "log_total": F.log1p("total_counts"), "log_genes": F.log1p("n_genes"), "log_mito": F.log1p("pct_mito"),
     })
     qs = quantiles_of_columns(logged, ["log_total", "log_genes", "log_mito"], {"q1": 0.25, "q3": 0.75})

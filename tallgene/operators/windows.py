@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgene.functions.lineage import stable
 from tallgene.functions.ranks import global_quantiles, hash_ranks, value_ranks
 
 
@@ -35,6 +36,7 @@ def rank_by_total(totals, key: str, total: str) -> DataFrame:
 
     Rank = rows with a larger total (bucketed running counts) + place among equal totals (hash buckets).
     """
+    totals = stable(totals)
     above = value_ranks(totals, [], total).select(total, (F.col("n_total") - F.col("n_before") - F.col("n")).alias("_above"))
     tied = hash_ranks(totals, [total], 0, [key], "_place")
     return tied.join(above, total).withColumn("rank", F.col("_above") + F.col("_place")).drop("_above", "_place")
