@@ -15,8 +15,8 @@ from tallgene.functions.ranks import global_quantiles, quantiles_of_columns
 CONTROL = "Control"
 # Single-cell assays accepted by the "scTab" criteria.
 SCTAB_ASSAYS = (
-    "10x 5' v2", "10x 3' v3", "10x 3' v2", "10x 5' v1", "10x 3' v1",
-    "10x 3' transcription profiling", "10x 5' transcription profiling",
+    "10x 3' v1", "10x 3' v2", "10x 3' v3", "10x 3' transcription profiling",
+    "10x 5' transcription profiling", "10x 5' v1", "10x 5' v2",
 )
 
 

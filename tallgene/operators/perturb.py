@@ -18,18 +18,22 @@ CONTROL = "Control"
 BLOCK = 128
 
 
+def _numbered_controls(obs, seed, col: str) -> tuple[DataFrame, Column]:
+    controls = obs.where(F.col(col) == CONTROL).select("cell_id")
+    m = controls.select(F.count("*")).scalar()
+    return hash_ranks(controls, [], f"{seed}c", ["cell_id"], "_rn"), m
+
+
 def pair_control(obs, seed=42, col="perturbation") -> DataFrame:
     """prt_pair_control: every perturbed cell with a random control; controls are numbered, the pair is an equi join."""
-    controls = hash_ranks(obs.where(F.col(col) == CONTROL).select("cell_id"), [], f"{seed}c", ["cell_id"], "_rn")
-    m = controls.select(F.count("*")).scalar()
+    controls, m = _numbered_controls(obs, seed, col)
     cells = obs.where(F.col(col) != CONTROL).withColumn("_rn", F.pmod(hash_int(seed, "cell_id"), m) + 1)
     return cells.join(controls.withColumnRenamed("cell_id", "control_id"), "_rn").drop("_rn")
 
 
 def pair_cyclic(obs, chunk: int, seed=42, col="perturbation") -> DataFrame:
     """prt_pair_cyclic: inside a chunk of perturbed cells the controls follow each other from a hashed start."""
-    controls = hash_ranks(obs.where(F.col(col) == CONTROL).select("cell_id"), [], f"{seed}c", ["cell_id"], "_rn")
-    m = controls.select(F.count("*")).scalar()
+    controls, m = _numbered_controls(obs, seed, col)
     cells = hash_ranks(obs.where(F.col(col) != CONTROL), [], f"{seed}p", ["cell_id"], "_i")
     i = F.col("_i") - 1
     cells = cells.withColumn("chunk", F.floor(i / chunk))
@@ -40,6 +44,7 @@ def pair_cyclic(obs, chunk: int, seed=42, col="perturbation") -> DataFrame:
 def paired_genes(pairs, expr, col="perturbation") -> DataFrame:
     """One row per (cell, gene) seen in the perturbed cell, its control or the targets, with both values."""
     zero = F.lit(0.0)
+    pairs = stable(pairs.select("cell_id", "control_id", col))
     perturbed = pairs.select("cell_id").join(expr, "cell_id").select(
         "cell_id", "gene", F.col("value").alias("label"), zero.alias("control"), F.lit(0).alias("target"))
     ctrl = expr.select(F.col("cell_id").alias("control_id"), "gene", F.col("value").alias("control"))

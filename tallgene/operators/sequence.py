@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgene.functions.lineage import stable
 from tallgene.functions.rand import hash_int, hash_uniform
 from tallgene.functions.ranks import hash_ranks
 from tallgene.operators.windows import islands
@@ -131,7 +132,8 @@ def n_free_intervals(tiles, cutoff: int, flank: int) -> DataFrame:
     sizes = tile_lengths(tiles)
     if flank > cutoff:
         return sizes.select("chrom", F.lit(0).cast("bigint").alias("start"), F.col("len").alias("end"))
-    runs = islands(tiles, "N", cutoff).select("chrom", F.col("start").alias("n0"), F.col("end").alias("n1"))
+    sizes = stable(sizes)
+    runs = stable(islands(tiles, "N", cutoff).select("chrom", F.col("start").alias("n0"), F.col("end").alias("n1")))
     w = Window.partitionBy("chrom").orderBy("n0")
     before = F.coalesce(F.lag("n1").over(w) - flank, F.lit(0))
     marked = runs.join(sizes, "chrom").withColumns({"start": before, "last": F.lead("n0").over(w).isNull()})

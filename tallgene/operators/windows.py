@@ -71,6 +71,7 @@ def islands(tiles, letter: str = "N", min_length: int = 1) -> DataFrame:
     window by chromosome to be merged.
     """
     runs = letter_runs(tiles, letter)
+    runs = stable(runs.where(F.col("edge") | (F.col("end") - F.col("start") >= min_length)))
     w = Window.partitionBy("chrom").orderBy("start")
     edge = runs.where("edge").withColumn("_new", F.coalesce((F.col("start") != F.lag("end").over(w)).cast("int"), F.lit(1)))
     grouped = edge.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

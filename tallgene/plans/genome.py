@@ -124,11 +124,11 @@ def _(t):
     return rounded(s.select("chrom", "mismatch", (F.col("mismatch") > 0.7).alias("flagged")), "mismatch")
 
 
-@query("seq_match_merge", S + ", " + chunk_cte("c", 24) + """, l AS (SELECT DISTINCT seq, length(regexp_replace(seq, 'N', '', 'g')) AS label FROM c WHERE chunk = 1)
+@query("seq_match_merge", S + ", " + chunk_cte("c", 24) + """, l AS (SELECT DISTINCT seq, length(regexp_replace(seq, 'N', '', 'g')) AS label FROM c WHERE length(regexp_replace(seq, 'N', '', 'g')) > 6)
   SELECT chrom, chunk, seq, label FROM c JOIN l USING (seq) WHERE NOT regexp_matches(seq, '^N+$')""")
 def _(t):
     c = sq.chunk_fixed(t.seqs, 24)
-    labelled = c.where("chunk = 1").select("seq").distinct().withColumn("label", F.length(F.regexp_replace("seq", "N", "")).cast("bigint"))
+    labelled = c.select("seq").distinct().withColumn("label", F.length(F.regexp_replace("seq", "N", "")).cast("bigint")).where("label > 6")
     return sq.match_merge(c.select("chrom", "chunk", "seq"), labelled)
 
 

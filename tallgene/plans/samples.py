@@ -117,11 +117,11 @@ def _(t):
     return sp.split_cross_source(t.documents.select("doc_id", "source"), "source", ["src1", "src2"], ["doc_id"])
 
 
-@query("spl_from_map", views("expr") + """SELECT cell_id, gene, CASE CAST(gene AS BIGINT) % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' WHEN 2 THEN 'test' END AS split FROM expr""")
+@query("spl_from_map", views("expr") + """SELECT cell_id, gene, CASE p_type WHEN 'PROMO' THEN 'dev' WHEN 'SMALL' THEN 'test' WHEN 'LARGE' THEN NULL ELSE 'train' END AS split FROM expr JOIN part ON CAST(p_partkey AS VARCHAR) = gene""")
 def _(t):
-    k = F.col("p_partkey") % 4
-    m = t.part.where("p_partkey % 4 < 3").select(F.col("p_partkey").cast("string").alias("gene"),
-                                                  F.when(k == 0, "train").when(k == 1, "val").otherwise("test").alias("split"))
+    k = F.col("p_type")
+    m = t.part.where(k != "LARGE").select(F.col("p_partkey").cast("string").alias("gene"),
+                                          F.when(k == "PROMO", "val").when(k == "SMALL", "test").otherwise("train").alias("split"))
     return sp.split_from_map(t.expr.select("cell_id", "gene"), m, "gene").select("cell_id", "gene", "split")
 
 
@@ -146,12 +146,12 @@ def _(t):
     return sp.sample_n(t.obs.select("cell_id", "label"), 3000, ["cell_id"])
 
 
-GROUPED = """, c AS (SELECT label, batch, cell_id, label || batch AS g FROM obs WHERE NOT (label = '5-LOW' AND batch = 'P' AND cell_id LIKE '%1%')),
+GROUPED = """, c AS (SELECT label, batch, cell_id, label || batch AS g FROM obs WHERE NOT (label = '5-LOW' AND batch = 'P' AND score > 250000)),
   r AS (SELECT g, cell_id, row_number() OVER (PARTITION BY g ORDER BY {h}, cell_id) AS rn, count(*) OVER (PARTITION BY g) AS n FROM c)"""
 
 
 def grouped(t):
-    o = t.obs.where("not (label = '5-LOW' and batch = 'P' and cell_id like '%1%')")
+    o = t.obs.where("not (label = '5-LOW' and batch = 'P' and score > 250000)")
     return o.select(F.concat("label", "batch").alias("g"), "cell_id")
 
 

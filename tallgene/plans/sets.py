@@ -18,11 +18,11 @@ def _(t):
     return so.concat_outer(by_batch(t))
 
 
-@query("set_concat_inner", views("expr", "obs") + """, x AS (SELECT * FROM expr JOIN obs USING (cell_id) WHERE gene LIKE '%1%' OR batch <> 'F')
+@query("set_concat_inner", views("expr", "obs") + """, x AS (SELECT * FROM expr JOIN obs USING (cell_id) WHERE value > 48 OR batch <> 'F')
   SELECT gene, cell_id, value, batch FROM x WHERE gene IN (SELECT gene FROM x GROUP BY 1 HAVING count(DISTINCT batch) = 3)""")
 def _(t):
     parts = by_batch(t)
-    parts["F"] = parts["F"].where("gene like '%1%'")
+    parts["F"] = parts["F"].where("value > 48")
     return so.concat_inner(parts)
 
 
