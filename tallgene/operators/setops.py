@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgene.functions.ranks import value_ranks
+
 CONTROL = "Control"
 # Special tokens that lead every vocabulary field, in order.
 SPECIAL_TOKENS = ("[UNK]", "[SEP]", "[PAD]", "[CLS]", "[MASK]")
@@ -32,11 +34,14 @@ def concat_inner(parts: dict[str, DataFrame], label: str = "batch") -> DataFrame
 
 
 def unique_cells(obs, prefix: str, id_col: str, order: str, out: str = "cell_name") -> DataFrame:
-    """set_unique_cells: prefix_id as name; repeats (one per source file) get a numbered suffix."""
+    """set_unique_cells: prefix_id as name; repeats get a numbered suffix in the order of a unique column.
+
+    The number is the bucketed rank of the order column, so a name may repeat very often.
+    """
     named = obs.withColumn(out, F.concat_ws("_", prefix, F.col(id_col).cast("string")))
-    k = F.row_number().over(Window.partitionBy(out).orderBy(order)) - 1
-    return named.withColumn("_k", k).withColumn(
-        out, F.when(F.col("_k") == 0, F.col(out)).otherwise(F.concat_ws("-", out, F.col("_k").cast("string")))).drop("_k")
+    ranks = value_ranks(named, [out], order).select(out, order, F.col("n_before").alias("_k"))
+    suffixed = F.concat_ws("-", out, F.col("_k").cast("string"))
+    return named.join(ranks, [out, order]).withColumn(out, F.when(F.col("_k") == 0, F.col(out)).otherwise(suffixed)).drop("_k")
 
 
 def vocab_union(parts: list[DataFrame]) -> DataFrame:

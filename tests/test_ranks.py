@@ -85,3 +85,25 @@ def test_empty_table(spark):
 def test_constant_column(spark):
     df = spark.range(10).select(F.lit(4.0).alias("v"))
     assert ranks.quantiles(df, [], "v", {"q": 0.3}).first()["q"] == 4.0
+
+
+def test_hot_label_splits_exactly(spark):
+    """A label with most of the rows: exact shares per label, and the same split whatever the partitions."""
+    from tallgene.operators import sampling as sp
+
+    df = spark.range(6000).select("id", F.when(F.col("id") < 4000, "hot").otherwise(F.concat(F.lit("l"), (F.col("id") % 4).cast("string"))).alias("lab"))
+    w = {"train": 0.7, "dev": 0.1, "test": 0.2}
+    one = sp.stratified_split(df.repartition(5), "lab", w, ["id"])
+    two = sp.stratified_split(df.repartition(3, "lab"), "lab", w, ["id"])
+    assert {(r["id"], r["split"]) for r in one.collect()} == {(r["id"], r["split"]) for r in two.collect()}
+    n = {(r["lab"], r["split"]): r["count"] for r in one.groupBy("lab", "split").count().collect()}
+    assert n[("hot", "test")] == 800 and n[("hot", "dev")] == 400 and n[("l1", "test")] == 100
+
+
+def test_hot_name_gets_all_suffixes(spark):
+    from tallgene.operators import setops as so
+
+    df = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, "x").otherwise(F.col("id").cast("string")).alias("c"), F.lit("p").alias("pre"))
+    out = so.unique_cells(df, "pre", "c", "id")
+    assert out.select("cell_name").distinct().count() == 900
+    assert out.where("id = 897").first()["cell_name"] == "p_x-299"
