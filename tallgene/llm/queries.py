@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgene.llm import lexicon, token_counts
+from tallgene.llm import lexicon, mixing, pii, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,3 +44,19 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     encoded = lexicon.encode(docs, path, lexicon.build_lexicon(docs, path))
     return digests(lexicon.decode(encoded, path, keep=("doc_id", "ids")), "doc_id")
+
+
+@query
+def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix by source weights takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_mixing_sources"] = mixing.MIX_SQL
+
+
+@query
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data; tested for distinctness, coreference, format and untouched rest."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.replace_all(docs).select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
