@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgene.llm import lexicon, mixing, pii, token_counts
+from tallgene.llm import cover_tree, language, lexicon, mixing, pii, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +46,50 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(lexicon.decode(encoded, path, keep=("doc_id", "ids")), "doc_id")
 
 
+def crc_mod(parts: int):
+    """crc32 of doc_id as text, modulo ``parts``: the fold of a document."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document; learned outside fold 2 of 4, tested by held-out accuracy."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs.where(F.coalesce(crc_mod(4), F.lit(0)) != 2)))
+    return found.select("doc_id", F.coalesce(crc_mod(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fit on labelled documents outside fold 0 of 5."""
+    return toxicity.fit(docs, labels.where(crc_mod(5) != 0))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document; tested by held-out accuracy."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", F.coalesce(crc_mod(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer inner products of every hundredth vector."""
+    return cover_tree.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+ORACLES["op8_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(d.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 @query
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by source weights takes of every document."""
