@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgene.llm import cover_tree, language, lexicon, mixing, pii, token_counts, toxicity, warc
+from tallgene.llm import cover_tree, jaccard, language, lexicon, mixing, pii, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +44,12 @@ FROM h
 """
 
 
+@query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-equal documents; tested against brute force."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document; tested against the tokenizers library."""
