@@ -2,13 +2,62 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallgene.functions.lineage import scratch_path
+from tallgene.llm import jaccard, lexicon, mixing, pii, queries, toxicity
 
-STAGES: list = []
 
-#: No stage but the mixing is expressible in SQL; the stages are tested against brute force.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier, fit on the labelled ones outside fold 0 of 5, does not reject."""
+    model = queries.toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each component of the shingle join; rows that repeat a doc_id stay once.
+
+    Documents without words are linked with nothing and stay, as rows without doc_id do. What goes is joined, not what stays:
+    it is the smaller side.
+    """
+    path = scratch_path(spark, "components")
+    jaccard.jaccard_components(docs).write.parquet(path)
+    found = spark.read.parquet(path).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data; ``n_chars`` follows the text."""
+    replaced = pii.replace_all(docs)
+    return replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the source mix takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, ids, their number and digests of ids and of the text they decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = lexicon.encode(docs, path, lexicon.build_lexicon(docs, path), keep=("doc_id", "source"))
+    return queries.digests(lexicon.decode(encoded, path, keep=("doc_id", "source", "ids")), "doc_id", "source", "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("pii", replace_personal_data),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: Only the mixing is expressible in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -244,9 +244,10 @@ def join_large(members: DataFrame, sets: DataFrame) -> DataFrame:
     state = kept(members.withColumns({"main": F.col("doc_id") == F.col("pivot"), "done": F.lit(False)}), "large")
     links = spark.createDataFrame([], "a long, b long")
     while True:
-        order = W.Window.partitionBy("pivot").orderBy(F.col("main").desc(), F.xxhash64("doc_id"))
-        first = (F.col("doc_id") == F.col("pivot")) & ~F.col("done")
-        asked = state.where(~F.col("done") & (~F.col("main") | first)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.when(F.max("main").over(W.Window.partitionBy("pivot")), 1).otherwise(PIVOTS))
+        region = W.Window.partitionBy("pivot")
+        waiting = state.where(~F.col("done") & (~F.col("main") | (F.col("doc_id") == F.col("pivot"))))
+        waiting = waiting.withColumns({"nth": F.row_number().over(region.orderBy(F.col("main").desc(), F.xxhash64("doc_id"))), "first": F.max("main").over(region)})
+        asked = waiting.where(F.col("nth") <= F.when(F.col("first"), 1).otherwise(PIVOTS))
         asked = kept(asked.select("pivot", F.col("doc_id").alias("q"), "main"), "large")
         if asked.isEmpty():
             return links

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgene.llm import cover_tree, jaccard, language, lexicon, mixing, pii, token_counts, toxicity, warc
+from tallgene.llm import cover_tree, jaccard, language, lexicon, mixing, nndescent, pii, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +72,12 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(lexicon.decode(encoded, path, keep=("doc_id", "ids")), "doc_id")
 
 
+@query
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the 20 largest inner products of every twentieth vector; recall is tested against brute force."""
+    return nndescent.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def crc_mod(parts: int):
     """crc32 of doc_id as text, modulo ``parts``: the fold of a document."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
