@@ -1,0 +1,64 @@
+"""Surrogates: distinct, coreferent, of the same form; everything else untouched."""
+
+import re
+
+from pyspark.sql import functions as F
+
+from tallgene.llm import pii
+
+TEXTS = [
+    'Mail nkbatr.64@mail0.example.com now, token = "0641917ea4e9feb9cda83477b57ac2654884f485" and password=4a7d6039222173ea63. IP 81.190.225.143,',
+    "call +1 (675) 555-2357 or 555-123-4567 card 4111 1111 1111 1111 and 4595065711051199. SSN 123-45-6789 GB82WEST12345698765432",
+    "Frau Anna Schmidt and Mr. JOHN DOE met Госпожа Мария Иванова and Κυρία Μαρία Νίκου; Mr Smith again: nkbatr.64@mail0.example.com, x@mail0.example.com",
+    "nothing here: 1.2.3.4.5 v 12-03-2020 1234567 THE END!! 3 apples", "", None, "Mr. JOHN DOE " * 300,
+]
+
+
+def _replaced(spark, texts, **options):
+    docs = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, entities string")
+    return {r["doc_id"]: r for r in pii.replace_all(docs, **options).collect()}
+
+
+def test_forms(spark):
+    got = _replaced(spark, TEXTS)
+    a, b, c = got[0]["text"], got[1]["text"], got[2]["text"]
+    assert re.fullmatch(r'Mail [a-z]{6}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com now, token = "[0-9a-f]{40}" and password=[0-9a-f]{18}\. IP \d+\.\d+\.\d+\.\d+,', a)
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{3}-\d{4} card 4\d{3} \d{4} \d{4} \d{4} and 4\d{15}\. SSN \d{3}-\d\d-\d{4} GB\d\d[A-Z]{4}\d{14}", b)
+    assert re.match(r"Frau (\w+) \w+ and Mr\. ([A-Z]+) [A-Z]+ met Госпожа ([А-Яа-я]+) [А-Яа-я]+ and Κυρία \w+ \w+; Mr [A-Z][a-z]+ again", c)
+    names = re.match(r"Frau (\w+) \w+ and Mr\. ([A-Z]+) [A-Z]+ met Госпожа (\w+)", c).groups()
+    assert names[0] in pii.GIVEN["latin", "f"] and names[1].title() in pii.GIVEN["latin", "m"] and names[2] in pii.GIVEN["cyrillic", "f"]
+    for before, after in zip(TEXTS[:3], (a, b, c), strict=True):
+        for found in re.findall(r"[\w.]+@[\w.]+|[0-9a-f]{18,}|\d{3}-\d\d-\d{4}|Schmidt|DOE|Иванова|\d{4} \d{4} \d{4}", before):
+            assert found not in after
+    card = [int(d) for d in re.search(r"card (\d{4} \d{4} \d{4} \d{4})", b)[1] if d != " "]
+    assert sum(sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(card))) % 10 == 0
+    assert [got[i]["text"] for i in (3, 4, 5)] == [TEXTS[3], "", None] and got[3]["entities"] == [] and got[5]["entities"] == []
+
+
+def test_coreference_and_keys(spark):
+    got = _replaced(spark, TEXTS)
+    mail = [e["surrogate"] for r in got.values() for e in r["entities"] if e["kind"] == "email"]
+    assert mail[0] == mail[1] and mail[0] != mail[2] and mail[0].split("@")[1] == mail[2].split("@")[1]
+    assert got[6]["text"] == got[6]["text"][: len(got[6]["text"]) // 300] * 300
+    assert got[6]["text"].startswith(re.search(r"Mr\. [A-Z]+ [A-Z]+", got[2]["text"])[0])
+    assert _replaced(spark, TEXTS, secret="other")[0]["text"] != got[0]["text"]
+
+
+def test_collisions_are_drawn_again(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_ip", lambda stream: F.concat(F.lit("9.9.9."), F.pmod(pii._number(stream, 1), F.lit(20)).cast("string")))
+    texts = [f"host 10.0.0.{i} and 10.0.0.{(i + 1) % 12}" for i in range(12)] + ["host 9.9.9.3", "host 10.0.0.5 again"]
+    got = _replaced(spark, texts)
+    made = {}
+    for i, t in enumerate(texts):
+        for before, after in zip(re.findall(r"[\d.]{7,}", t), re.findall(r"[\d.]{7,}[0-9a-f]*", got[i]["text"]), strict=True):
+            assert made.setdefault(before, after) == after
+    assert len(set(made.values())) == len(made) == 13 and not set(made) & set(made.values())
+
+
+def test_empty_table_and_rows_stay(spark):
+    docs = spark.createDataFrame([(1, "a@b.example.com"), (1, "a@b.example.com"), (None, "x")], "doc_id long, text string")
+    rows = pii.replace_all(docs).collect()
+    assert len(rows) == 3 and len({r["text"] for r in rows}) == 2
+    assert pii.replace_all(docs.limit(0)).count() == 0
+    plan = pii.replace_all(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
