@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tallgene.llm.graph import kept
+
 LEAF = 128
 
 
@@ -136,33 +138,34 @@ def exact_top_k(vectors: DataFrame, is_query, *, k: int = 10, key: str = "vec_id
     blocks of queries by an equi join of block numbers, each pair one bounded dual-tree walk. Floors, each query's k-th score in one
     block, go along first, so that other blocks prune from the start and return few rows.
     """
-    whole = whole_numbers(vectors, key, vector, scale).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    whole = kept(whole_numbers(vectors, key, vector, scale).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "vectors")
     n, n_queries = whole.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
     hashed = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     data = whole.withColumn("db", hashed(blocks))
-    queries = whole.where(is_query).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(q_blocks)).cast("int"))
+    numbered = whole.where(is_query).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(q_blocks)).cast("int"))
+    queries = numbered.select(F.col("id").alias("q"), F.col("v").alias("qv"), F.col("dim").alias("q_dim"), F.col("qb").alias("q_block"))
 
     def meet(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            q_ids, ids = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
-            scores, found = dual_search(np.stack(left["v"].to_list()), q_ids, left["floor"].to_numpy(float), np.stack(right["v"].to_list()), ids, k)
+            q_ids, ids = left["q"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
+            scores, found = dual_search(np.stack(left["qv"].to_list()), q_ids, left["floor"].to_numpy(float), np.stack(right["v"].to_list()), ids, k)
             row, col = np.nonzero(scores > -np.inf)
             out = [pd.DataFrame({"query_id": q_ids[row], "vec_id": found[row, col], "score": scores[row, col].astype(np.int64)})]
         return out[0] if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
 
     def search(asked: DataFrame, first: int, last: int) -> DataFrame:
         numbers = F.explode(F.sequence(F.lit(first), F.lit(last - 1)))
-        left = asked.withColumn("db", numbers)
+        left = asked.withColumn("d_block", numbers)
         right = data.where(F.col("db").between(first, last - 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-        keys = ["db", "qb", "dim"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score long")
+        return left.groupBy("d_block", "q_block", "q_dim").cogroup(right.groupBy("db", "qb", "dim")).applyInPandas(meet, "query_id long, vec_id long, score long")
 
     ranked = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     asked = queries.withColumn("floor", F.lit(float("-inf")))
     if blocks > 1:
         kth = search(asked, 0, 1).withColumn("n", F.row_number().over(ranked)).where(F.col("n") == k)
-        asked = queries.join(kth.select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor")), "id", "left").fillna(float("-inf"), ["floor"])
+        floors = kept(kth.select(F.col("query_id").alias("q"), F.col("score").cast("double").alias("floor")), "floors")
+        asked = queries.join(floors, "q", "left").fillna(float("-inf"), ["floor"])
     rank = F.row_number().over(ranked)
     return search(asked, 0, blocks).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

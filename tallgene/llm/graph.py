@@ -16,6 +16,28 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def most_frequent(counted: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` rows with the highest ``n`` of (value, n), ties by value.
+
+    A histogram of the powers of two of n tells which rows can be among them, so that the sort sees few more than the limit.
+    """
+    counted = kept(counted, "counts")
+    level = F.floor(F.log2("n"))
+    rows = counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    least, seen = 0, 0
+    for row in rows:
+        least, seen = row["level"], seen + row["count"]
+        if seen >= limit:
+            break
+    return counted.where(level >= least).orderBy(F.desc("n"), counted.columns[0]).limit(limit)
+
+
+def bounded_sample(df: DataFrame, limit: int, rows: int, *key: str) -> DataFrame:
+    """About ``limit`` of ``rows`` rows, by a hash of the key; all, if they are no more."""
+    share = F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1 << 32)).cast("double") / float(1 << 32)
+    return df.where(share * rows < limit)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable from each node of the edges (a, b), longs.
 
