@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from tallgene.llm import bpe
 from tallgene.llm.batches import slices, text_slices, texts_of
+from tallgene.llm.graph import most_frequent
 
 #: Words of the transducer and bytes of the longest: its file stays within a few MB at any corpus size.
 LEXICON_WORDS, WORD_BYTES = 50_000, 48
@@ -159,8 +160,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, words: int, text: str = "te
         yield report()
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long")
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return [r["word"] for r in top.collect()]
+    return [r["word"] for r in most_frequent(rows.groupBy("word").agg(F.sum("n").alias("n")), words).collect()]
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, *, words: int = LEXICON_WORDS, text: str = "text") -> str:
