@@ -15,6 +15,8 @@ from tallgene.llm.batches import text_slices, texts_of
 from tallgene.llm.hashing import Words, joined
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 12, (1, 2, 3), 8
+#: Toxic and clean texts that a threshold of its own needs.
+ENOUGH = 25
 #: A word is embedded by itself and by its beginnings of so many bytes.
 BEGINNINGS = (4, 6, 8)
 # Frequent function words by which a text's language group is told; a text without any is of no group.
@@ -124,7 +126,7 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 8, batch: int =
         return m
     seen = [features([t])[0] for t in texts]
     grow = {"embed": np.full(BUCKETS, 1e-3, np.float32), "conv": [np.full_like(c, 1e-3) for c in m.conv], "bias": np.full(n_out, 1e-3), "dense": np.full(n_out, 1e-3), "offset": 1e-3}
-    steps = max(40, epochs * len(texts) // batch)
+    steps = max(300, epochs * len(texts) // batch)
     for step in range(steps):
         rate = 0.08 * (1 - step / steps) + 0.005
         pick = np.r_[rng.choice(toxic, batch // 2), rng.choice(clean, batch // 2)]
@@ -165,7 +167,7 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 8, batch: int =
 
 def calibrate(m: Model, texts: list[str], labels: np.ndarray) -> None:
     """Per language group, the threshold with the best balance of caught and wrongly rejected texts; a group with fewer than
-    five of either label takes the threshold of all."""
+    ENOUGH of either label takes the threshold of all."""
     z, group = raw_scores(m, texts)
 
     def best(z: np.ndarray, y: np.ndarray) -> float:
@@ -182,7 +184,7 @@ def calibrate(m: Model, texts: list[str], labels: np.ndarray) -> None:
     cuts = np.full(len(FUNCTION_WORDS) + 1, overall)
     for g in range(len(cuts)):
         own = group == g
-        if labels[own].sum() >= 5 and (1 - labels[own]).sum() >= 5:
+        if min(labels[own].sum(), (1 - labels[own]).sum()) >= ENOUGH:
             cuts[g] = best(z[own], labels[own])
     m.threshold = 1 / (1 + np.exp(-cuts))
 
@@ -195,7 +197,8 @@ def sample(labels: DataFrame, per_label: int, *, label: str = "toxic", key: str
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 2000, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
-    """Fit on the documents of a bounded ``sample`` of ``labels``; a quarter of them, by hash, sets the thresholds only.
+    """Fit on the documents of a bounded ``sample`` of ``labels``; a quarter of them, by hash, sets the thresholds only,
+    unless it has fewer than ENOUGH toxic ones: then the whole sample sets them.
 
     Labels other than 0 and 1 and documents without text take no part; no rows give a model that rejects nothing. The sample's
     keys are broadcast (``per_label`` a label at most), so documents are read once and not shuffled.
@@ -209,8 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 2000, text: str
     held = np.arange(len(taken)) % 4 == 3
     texts = [r["t"] for r in taken]
     m = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
-    if held.any():
-        calibrate(m, [t for t, h in zip(texts, held, strict=True) if h], y[held])
+    judged = held if y[held].sum() >= ENOUGH else np.ones(len(y), bool)
+    calibrate(m, [t for t, h in zip(texts, judged, strict=True) if h], y[judged])
     return m
 
 
