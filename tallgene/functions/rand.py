@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO32 = 4294967296.0
+BITS = 52  # all of a double's fraction, and more draws than any table has rows
+SCALE = float(1 << BITS)
 
 
 def _col(k) -> Column:
@@ -17,22 +18,22 @@ def _col(k) -> Column:
 
 
 def hash_int(seed, *keys) -> Column:
-    """32-bit integer hash of (seed, keys) as bigint."""
+    """52-bit integer hash of (seed, keys) as bigint."""
     text = F.concat_ws("|", F.lit(str(seed)), *[_col(k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
 
 
 def hash_uniform(seed, *keys) -> Column:
     """Uniform draw in [0, 1) from (seed, keys)."""
-    return hash_int(seed, *keys) / F.lit(TWO32)
+    return hash_int(seed, *keys) / F.lit(SCALE)
 
 
 def hash_int_sql(seed, *keys: str) -> str:
     """DuckDB twin of :func:`hash_int`."""
     parts = ", ".join([f"'{seed}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
-    return f"(('0x' || substr(md5(concat_ws('|', {parts})), 1, 8))::BIGINT)"
+    return f"(('0x' || substr(md5(concat_ws('|', {parts})), 1, 13))::BIGINT)"
 
 
 def hash_uniform_sql(seed, *keys: str) -> str:
     """DuckDB twin of :func:`hash_uniform`."""
-    return f"({hash_int_sql(seed, *keys)} / 4294967296.0)"
+    return f"({hash_int_sql(seed, *keys)} / {SCALE!r})"

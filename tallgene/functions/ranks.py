@@ -14,11 +14,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgene.functions.lineage import stable
-from tallgene.functions.rand import hash_int
+from tallgene.functions.rand import BITS, hash_int
 
 VALUE_BUCKETS = 256
-SMALL_GROUP = 20_000  # groups with at most this many distinct values stay in one bucket
-HASH_SHIFT = 20  # 32-bit hash -> 4096 buckets
+HASH_SHIFT = BITS - 12  # 4096 buckets
+
+
+def meet(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where null equals null, so that rows without a group are a group of their own."""
+    other = right.withColumnsRenamed({c: f"_meet_{c}" for c in by})
+    same = [left[c].eqNullSafe(other[f"_meet_{c}"]) for c in by]
+    return left.join(other, same, how).drop(*[f"_meet_{c}" for c in by])
 
 
 def _over(by: Sequence[str], *order) -> Window:
@@ -30,7 +36,7 @@ def hash_ranks(df: DataFrame, by: Sequence[str], seed, keys: Sequence[str], out:
     """Number the rows of each group 1..n in hash order (ties by ``keys``); optionally with the group size.
 
     Two passes over ``df``, one of them on the key columns only; a hot group is spread over 4096
-    buckets. Key columns must identify a row, group columns must not be null.
+    buckets. Key columns must identify a row; rows whose group is null are a group.
     """
     by = list(by)
     rows = df.withColumn("_h", hash_int(seed, *keys)).withColumn("_hb", F.shiftright("_h", HASH_SHIFT))
@@ -42,7 +48,7 @@ def hash_ranks(df: DataFrame, by: Sequence[str], seed, keys: Sequence[str], out:
     )
     inner = Window.partitionBy(*by, "_hb").orderBy("_h", *keys)
     return (
-        rows.join(offsets, [*by, "_hb"])
+        meet(rows, offsets, [*by, "_hb"])
         .withColumn(out, F.row_number().over(inner) + F.col("_off"))
         .drop("_h", "_hb", "_off")
     )
@@ -60,32 +66,22 @@ def value_ranks(df: DataFrame, by: Sequence[str], col: str, sums: dict[str, Colu
     parts = ["n", *sums]
     freq = stable(df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(
         F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()]))
-    sizes = freq.groupBy(*by).agg(F.sum("n").alias("n_total"), F.count("*").alias("_d"))
-    sizes = stable(sizes) if by else sizes
-    big = sizes.where(F.col("_d") > SMALL_GROUP)
-    if not big.limit(1).count():  # few distinct values everywhere: one sorted run per group is enough
-        rows = freq.join(sizes.drop("_d"), by) if by else freq.withColumn("n_total", freq.select(F.sum("n")).scalar())
-        run = _over(by, col).rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumns({f"{k}_before": F.coalesce(F.sum(k).over(run), F.lit(0)) for k in parts})
     # cut points by the number of distinct values; any fixed cuts give exact ranks, these give even buckets
     cuts = F.percentile_approx(col, [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)], 2000).alias("_cuts")
 
-    def below(points):
-        return F.size(F.filter(points, lambda c: c < F.col(col)))
-
+    bucket = F.size(F.filter("_cuts", lambda c: c < F.col(col)))
     if by:
-        points = stable(freq.join(big.select(*by), by, "left_semi").groupBy(*by).agg(cuts))
-        bucket = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below(F.col("_cuts")))
-        freq = freq.join(sizes.drop("_d").join(points, by, "left"), by).withColumn("_vb", bucket).drop("_cuts")
+        groups = freq.groupBy(*by).agg(F.sum("n").alias("n_total"), cuts)
+        freq = meet(freq, groups, by).withColumn("_vb", bucket).drop("_cuts")
     else:
-        points = freq.agg(cuts).first()["_cuts"]  # at most 255 values
-        freq = freq.withColumn("n_total", freq.select(F.sum("n")).scalar()).withColumn("_vb", below(F.array(*[F.lit(c) for c in points])))
+        one = freq.select(F.struct(F.sum("n").alias("n_total"), cuts)).scalar()
+        freq = freq.withColumns({"n_total": one["n_total"], "_cuts": one["_cuts"]}).withColumn("_vb", bucket).drop("_cuts")
     buckets = freq.groupBy(*by, "_vb").agg(*[F.sum(k).alias(f"_b_{k}") for k in parts])
     earlier = _over(by, "_vb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select(*by, "_vb", *[F.coalesce(F.sum(f"_b_{k}").over(earlier), F.lit(0)).alias(f"_off_{k}") for k in parts])
     inner = Window.partitionBy(*by, "_vb").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        freq.join(offsets, [*by, "_vb"])
+        meet(freq, offsets, [*by, "_vb"])
         .withColumns({f"{k}_before": F.coalesce(F.sum(k).over(inner), F.lit(0)) + F.col(f"_off_{k}") for k in parts})
         .drop("_vb", *[f"_off_{k}" for k in parts])
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallgene.functions.lists import short_list
 from tallgene.functions.rand import hash_uniform
-from tallgene.functions.ranks import global_quantiles, quantiles, take_by_hash
+from tallgene.functions.ranks import global_quantiles, quantiles
 
 def by_cell():
     return Window.partitionBy("cell_id")
@@ -124,16 +124,15 @@ def bin_value(expr, num_bins: int, seed=0) -> DataFrame:
     return expr.withColumn("_e", edges).withColumn("value", F.ceil(draw * (right - left) + left)).drop("_e")
 
 
-def guess_raw(expr, is_integer_type: bool, threshold: int = 4, sample: int = 100_000, seed=0) -> DataFrame:
-    """nrm_guess_raw: six-rule score on a hashed sample of values; raw when the score reaches the threshold."""
+def guess_raw(expr, is_integer_type: bool, threshold: int = 4) -> DataFrame:
+    """nrm_guess_raw: six-rule score on all values; raw when the score reaches the threshold."""
     v = F.col("value")
-    few = take_by_hash(expr, sample, seed, ["cell_id", "gene"])
-    one = few.agg(
-        F.max(v).alias("mx"), F.avg(v).alias("mean"), F.median(v).alias("med"),
+    one = expr.agg(
+        F.max(v).alias("mx"), F.avg(v).alias("mean"),
         F.avg((v == 1).cast("double")).alias("ones"), F.avg(v.isin(1.0, 2.0, 3.0).cast("double")).alias("small"),
     )
     rules = [F.lit(bool(is_integer_type)), F.col("mx") > 50, F.col("ones") > 0.4, F.col("mean") < 2.5,
-             F.col("med") <= 1, F.col("small") > 0.6]
+             global_quantiles(expr, "value", {"med": 0.5})["med"] <= 1, F.col("small") > 0.6]
     score = sum((x.cast("int") for x in rules[1:]), rules[0].cast("int"))
     return one.select(score.alias("score"), (score >= threshold).alias("is_raw"))
 

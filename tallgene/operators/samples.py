@@ -128,10 +128,41 @@ def _with_depth(rows, fields: tuple[str, ...], s: Column, t: Column) -> DataFram
     return body.select("cell_id", F.concat(F.array(head("[S]", "_s"), head("[T]", "_t")), "items").alias("items"))
 
 
-def binomial(n: Column, p: Column, *key) -> Column:
-    """Binomial(n, p): how many of n hashed uniforms lie under p."""
-    trials = F.filter(F.sequence(F.lit(1), n.cast("int")), lambda k: hash_uniform(key[0], *key[1:], k) < p)
-    return F.when(n < 1, F.lit(0)).otherwise(F.size(trials))
+def _log_factorial(n: Column) -> Column:
+    """Stirling's series; its error is below 1e-13 from 200 on, where it is used."""
+    return n * F.log(n) - n + F.log(n * 6.283185307179586) / 2 + 1 / (12 * n) - 1 / (360 * n * n * n)
+
+
+def _inverse(first: Column, low: Column, high: Column, ratio, u: Column) -> Column:
+    """Number of values from ``low`` on whose distribution value is at most ``u``, plus ``low``: terms follow from ``first`` by ``ratio(k)``.
+
+    The window from low to high leaves tails below the resolution of a draw.
+    """
+    start = F.struct(first.alias("p"), first.alias("c"), (low + F.when(first <= u, 1).otherwise(0)).alias("k"))
+
+    def step(acc, i):
+        p = acc["p"] * ratio(i)
+        return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), (acc["k"] + F.when(acc["c"] + p <= u, 1).otherwise(0)).alias("k"))
+
+    steps = F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(steps, start, step)["k"]
+
+
+def _window(mean: Column, sd: Column) -> tuple[Column, Column]:
+    """9 deviations around the mean; from 0 where the first term cannot underflow."""
+    low = F.when(mean < 400, F.lit(0)).otherwise(F.floor(mean - 9 * sd - 24)).cast("bigint")
+    return low, F.ceil(mean + 9 * sd + 24).cast("bigint")
+
+
+def binomial(n: Column, p: Column, u: Column) -> Column:
+    """Binomial(n, p) by inverse distribution of one uniform draw; the work grows with the deviation, not with n."""
+    q, v = F.least(p, 1 - p), F.when(p <= 0.5, u).otherwise(1 - u)
+    mean = n * q
+    low, high = _window(mean, F.sqrt(mean * (1 - q)))
+    at_low = _log_factorial(n) - _log_factorial(low) - _log_factorial(n - low) + low * F.log(q) + (n - low) * F.log(1 - q)
+    first = F.when(low == 0, F.exp(n * F.log1p(-q))).otherwise(F.exp(at_low))
+    drawn = F.least(n.cast("bigint"), _inverse(first, low, F.least(high, n.cast("bigint")), lambda k: (n - k + 1) / k * q / (1 - q), v))
+    return F.when((n < 1) | (p <= 0), F.lit(0)).when(p >= 1, n).when(p <= 0.5, drawn).otherwise(n - drawn)
 
 
 def beta_2_2(seed, *keys) -> Column:
@@ -152,7 +183,7 @@ def rda_downsample(samples, threshold: float | None, normalized_sum=10000.0, max
     else:
         thin = (F.col("_raw") >= threshold) & (hash_uniform(f"{seed}g", "cell_id") < 0.5)
         rows = rows.withColumns({"_thin": thin, "_b": beta_2_2(seed, "cell_id")})
-        drawn = binomial(F.col("raw"), F.col("_b"), seed, "cell_id", "gene").cast("double")
+        drawn = binomial(F.col("raw"), F.col("_b"), hash_uniform(seed, "cell_id", "gene")).cast("double")
         rows = rows.withColumn("inp", F.when(F.col("_thin"), drawn).otherwise(F.col("raw")))
     rows = rows.withColumn("_in", F.sum("inp").over(cell))
     total = F.when(F.col("_raw") == 0, F.lit(1.0)).otherwise(F.col("_raw"))
@@ -184,19 +215,10 @@ def rda_align(samples, target: float, normalized_sum=10000.0, max_length: int |
 
 
 def poisson(rate: Column, u: Column) -> Column:
-    """Poisson draw: number of k whose distribution value is at most u, by the recurrence of its terms.
-
-    The number of terms leaves a tail far below the resolution of a 32-bit draw.
-    """
-    steps = F.sequence(F.lit(1), F.ceil(rate + 8 * F.sqrt(rate) + 16).cast("int"))
-    first = F.exp(-rate)
-    start = F.struct(first.alias("p"), first.alias("c"), F.when(first <= u, 1).otherwise(0).alias("k"))
-
-    def step(acc, i):
-        p = acc["p"] * rate / i
-        return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), (acc["k"] + F.when(acc["c"] + p <= u, 1).otherwise(0)).alias("k"))
-
-    return F.aggregate(steps, start, step)["k"]
+    """Poisson draw by inverse distribution of one uniform draw; terms start near the mean where that is large, so none underflows."""
+    low, high = _window(rate, F.sqrt(rate))
+    first = F.when(low == 0, F.exp(-rate)).otherwise(F.exp(low * F.log(rate) - rate - _log_factorial(low)))
+    return _inverse(first, low, high, lambda k: rate / k, u)
 
 
 def poisson_downsample(samples, renoise: float = 0.6, max_length: int | None = None, log: bool = True, seed=0) -> DataFrame:

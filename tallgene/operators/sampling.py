@@ -303,8 +303,8 @@ def sample_balanced(df, label: str, n: int, keys: list[str], seed=42) -> DataFra
     return hash_ranks(df, [label], seed, keys, "_rn").join(draws, [label, "_rn"]).drop("_rn")
 
 
-def poisson_one(u: Column, most: int = 12) -> Column:
-    """Poisson(1) by inverse distribution of a uniform draw."""
+def poisson_one(u: Column, most: int = 18) -> Column:
+    """Poisson(1) by inverse distribution of a uniform draw; more than ``most`` is rarer than a draw can tell."""
     p = q = 0.36787944117144233
     out = F.lit(0)
     for k in range(1, most + 1):

@@ -300,8 +300,8 @@ def crosstab_sorted(obs, row: str, col: str) -> DataFrame:
     return grid.join(n, [row, col], "left").fillna(0, subset=["n"])
 
 
-def crosstab_wide(df, row: str, col: str, values: list) -> DataFrame:
-    """agg_crosstab2: contingency of two columns, one output column per listed value."""
+def crosstab_wide(df, row: str, col: str, values: list | None = None) -> DataFrame:
+    """agg_crosstab2: contingency of two columns, one output column per value, or per listed value."""
     return df.groupBy(row).pivot(col, values).agg(F.count(F.lit(1))).fillna(0)
 
 

@@ -238,9 +238,10 @@ def _(t):
     return st.split_balance(cells)
 
 
-@query("agg_crosstab2", """SELECT p_brand, count(*) FILTER (p_type = 'PROMO') AS "PROMO", count(*) FILTER (p_type = 'SMALL') AS "SMALL" FROM part GROUP BY 1""")
+@query("agg_crosstab2", """SELECT p_brand, count(*) FILTER (p_type = 'ECONOMY') AS "ECONOMY", count(*) FILTER (p_type = 'LARGE') AS "LARGE",
+  count(*) FILTER (p_type = 'MEDIUM') AS "MEDIUM", count(*) FILTER (p_type = 'PROMO') AS "PROMO", count(*) FILTER (p_type = 'SMALL') AS "SMALL", count(*) FILTER (p_type = 'STANDARD') AS "STANDARD" FROM part GROUP BY 1""")
 def _(t):
-    return st.crosstab_wide(t.part, "p_brand", "p_type", ["PROMO", "SMALL"])
+    return st.crosstab_wide(t.part, "p_brand", "p_type")
 
 
 @query("agg_distinct_profile", """SELECT 'p_brand' AS "column", count(DISTINCT p_brand) AS n_distinct, 0::BIGINT AS n_null, count(*) AS n_rows FROM part

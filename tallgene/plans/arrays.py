@@ -82,8 +82,11 @@ def _(t):
 
 RDA = f""", tot AS (SELECT cell_id, sum(value) AS raw FROM expr GROUP BY 1),
   gb AS (SELECT cell_id, raw, raw >= 120 AND {hu('0g', 'cell_id')} < 0.5 AS g, list_sort([{hu('0b0', 'cell_id')}, {hu('0b1', 'cell_id')}, {hu('0b2', 'cell_id')}])[2] AS b FROM tot),
-  th AS (SELECT cell_id, gene, value, CASE WHEN g THEN (SELECT count(*) FROM range(1, CAST(value AS BIGINT) + 1) r(k) WHERE {hu(0, 'cell_id', 'gene', 'k')} < b) ELSE value END AS inp, raw
-    FROM expr JOIN gb USING (cell_id)),
+  bp AS (SELECT cell_id, gene, value, k, least(b, 1 - b) AS q, b, {hu(0, 'cell_id', 'gene')} AS u FROM expr JOIN gb USING (cell_id), unnest(range(0, CAST(value AS BIGINT) + 1)) x(k) WHERE g),
+  bc AS (SELECT *, sum(exp(lgamma(value + 1) - lgamma(k + 1) - lgamma(value - k + 1) + k * ln(q) + (value - k) * ln(1 - q))) OVER (PARTITION BY cell_id, gene ORDER BY k) AS cdf FROM bp),
+  bd AS (SELECT cell_id, gene, least(any_value(value), count(*) FILTER (cdf <= CASE WHEN b <= 0.5 THEN u ELSE 1 - u END)) AS x, any_value(b) AS b FROM bc GROUP BY 1, 2),
+  th AS (SELECT cell_id, gene, value, CASE WHEN NOT g THEN value WHEN gb.b <= 0.5 THEN x ELSE value - x END AS inp, raw
+    FROM expr JOIN gb USING (cell_id) LEFT JOIN bd USING (cell_id, gene)),
   si AS (SELECT cell_id, sum(inp) AS si FROM th GROUP BY 1),
   body AS (SELECT cell_id, gene, ln(1 + CASE WHEN si = 0 THEN value ELSE inp END / CASE WHEN si = 0 THEN raw ELSE si END * 10000) AS value, ln(1 + value / raw * 10000) AS label,
     row_number() OVER (PARTITION BY cell_id ORDER BY gene) + 1 AS pos, raw, CASE WHEN si = 0 THEN raw ELSE si END AS used FROM th JOIN si USING (cell_id)),

@@ -179,11 +179,11 @@ def _(t):
     return hz.label_dictionary(t.obs, ["label", "batch"])
 
 
-@query("jn_label_decode", """SELECT l_orderkey, l_linenumber, l_returnflag AS name FROM lineitem WHERE l_returnflag <> 'N'""")
+@query("jn_label_decode", """SELECT l_orderkey, l_linenumber, l_returnflag AS name FROM lineitem""")
 def _(t):
-    d = hz.label_dictionary(t.lineitem.where("l_returnflag <> 'N'"), ["l_returnflag"])
+    d = hz.label_dictionary(t.lineitem, ["l_returnflag"])
     flag = F.col("l_returnflag")
-    pred = t.lineitem.select("l_orderkey", "l_linenumber", F.when(flag == "A", 0).when(flag == "R", 1).otherwise(9).alias("pid"))
+    pred = t.lineitem.select("l_orderkey", "l_linenumber", F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("pid"))
     return hz.decode_labels(pred, d, "pid", "name").select("l_orderkey", "l_linenumber", "name")
 
 
@@ -205,9 +205,9 @@ def _(t):
 
 
 @query("jn_merge_results", views("obs") + """SELECT o.cell_id, o.label, o.batch, r.label AS label_model, r.score2 FROM obs o LEFT JOIN
-  (SELECT CAST(l_orderkey AS VARCHAR) AS cell_id, min(l_returnflag) AS label, sum(l_linenumber)::BIGINT AS score2 FROM lineitem WHERE l_quantity > 20 GROUP BY 1) r
+  (SELECT CAST(l_orderkey AS VARCHAR) AS cell_id, min(l_returnflag) AS label, sum(l_linenumber)::BIGINT AS score2 FROM lineitem GROUP BY 1) r
   USING (cell_id)""")
 def _(t):
-    res = t.lineitem.where("l_quantity > 20").groupBy(F.col("l_orderkey").cast("string").alias("cell_id")).agg(
+    res = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("cell_id")).agg(
         F.min("l_returnflag").alias("label"), F.sum("l_linenumber").alias("score2"))
     return hz.merge_results(t.obs.select("cell_id", "label", "batch"), res, "cell_id")

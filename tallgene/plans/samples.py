@@ -146,13 +146,12 @@ def _(t):
     return sp.sample_n(t.obs.select("cell_id", "label"), 3000, ["cell_id"])
 
 
-GROUPED = """, c AS (SELECT label, batch, cell_id, label || batch AS g FROM obs WHERE NOT (label = '5-LOW' AND batch = 'P' AND score > 250000)),
+GROUPED = """, c AS (SELECT label, batch, cell_id, label || batch AS g FROM obs),
   r AS (SELECT g, cell_id, row_number() OVER (PARTITION BY g ORDER BY {h}, cell_id) AS rn, count(*) OVER (PARTITION BY g) AS n FROM c)"""
 
 
 def grouped(t):
-    o = t.obs.where("not (label = '5-LOW' and batch = 'P' and score > 250000)")
-    return o.select(F.concat("label", "batch").alias("g"), "cell_id")
+    return t.obs.select(F.concat("label", "batch").alias("g"), "cell_id")
 
 
 @query("smp_n_per_group", views("obs") + GROUPED.format(h=hi(42, "cell_id")) + "SELECT g, cell_id FROM r WHERE rn <= 700 AND n >= 700")
@@ -193,7 +192,7 @@ def _(t):
 
 
 _P = [0.36787944117144233]
-for _i in range(1, 13):
+for _i in range(1, 19):
     _P.append(_P[-1] / _i)
 _CUM = []
 for _x in _P:
@@ -201,7 +200,7 @@ for _x in _P:
 
 
 @query("smp_bootstrap", views("obs") + f""", x AS (SELECT cell_id, run, {hu(42, 'run', 'cell_id')} AS u FROM obs, (SELECT unnest(range(3)) AS run)),
-  y AS (SELECT cell_id, run, {' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c in _CUM[:12])} AS k FROM x)
+  y AS (SELECT cell_id, run, {' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c in _CUM[:18])} AS k FROM x)
   SELECT cell_id, CAST(run AS INTEGER) AS run, CAST(copy AS INTEGER) AS copy FROM y, LATERAL (SELECT unnest(range(1, k + 1)) AS copy) WHERE k > 0""")
 def _(t):
     return sp.bootstrap(t.obs.select("cell_id"), 3, keys=["cell_id"])
@@ -209,7 +208,8 @@ def _(t):
 
 @query("smp_weighted_mix", views("obs") + f"""SELECT cell_id, batch AS source FROM obs WHERE (batch = 'F') OR (batch = 'O' AND {hu('42O', 'cell_id')} < 0.5) OR (batch = 'P' AND {hu('42P', 'cell_id')} < 0.25)""")
 def _(t):
-    parts = {b: t.obs.where(f"batch = '{b}'").select("cell_id") for b in "FOP"}
+    names = sorted(r[0] for r in t.obs.select("batch").distinct().collect())
+    parts = {b: t.obs.where(F.col("batch") == b).select("cell_id") for b in names}
     return sp.weighted_mix(parts, {"F": 4.0, "O": 2.0, "P": 1.0}, ["cell_id"])
 
 

@@ -10,7 +10,8 @@ from tallgene.plans.registry import query
 def by_batch(t):
     cells = t.obs.select("cell_id", "batch")
     e = t.expr.join(cells, "cell_id")
-    return {b: e.where(F.col("batch") == b).drop("batch") for b in ("F", "O", "P")}
+    names = sorted(r[0] for r in cells.select("batch").distinct().collect())
+    return {b: e.where(F.col("batch") == b).drop("batch") for b in names}
 
 
 @query("set_concat_outer", views("expr", "obs") + "SELECT cell_id, gene, value, batch FROM expr JOIN obs USING (cell_id)")
@@ -18,12 +19,10 @@ def _(t):
     return so.concat_outer(by_batch(t))
 
 
-@query("set_concat_inner", views("expr", "obs") + """, x AS (SELECT * FROM expr JOIN obs USING (cell_id) WHERE value > 48 OR batch <> 'F')
+@query("set_concat_inner", views("expr", "obs") + """, x AS (SELECT * FROM expr JOIN obs USING (cell_id))
   SELECT gene, cell_id, value, batch FROM x WHERE gene IN (SELECT gene FROM x GROUP BY 1 HAVING count(DISTINCT batch) = 3)""")
 def _(t):
-    parts = by_batch(t)
-    parts["F"] = parts["F"].where("value > 48")
-    return so.concat_inner(parts)
+    return so.concat_inner(by_batch(t))
 
 
 @query("set_unique_cells", """SELECT event_id, event_type || '_' || user_id || CASE WHEN k > 0 THEN '-' || k ELSE '' END AS cell_name
@@ -65,22 +64,21 @@ def _(t):
     return so.subset_vocabulary(vocabulary(t), listed)
 
 
-@query("set_overlap_counts", """WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45),
-  b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), u AS (SELECT k FROM a UNION SELECT k FROM b)
+@query("set_overlap_counts", """WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A'),
+  b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), u AS (SELECT k FROM a UNION SELECT k FROM b)
   SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM u) AS n_union,
   (SELECT count(*) FROM a WHERE k IN (SELECT k FROM b)) AS n_both, (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) AS a_only,
   (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) AS b_only""")
 def _(t):
-    big = t.lineitem.where("l_quantity > 45")
-    return so.overlap_counts(big.where("l_returnflag = 'A'"), big.where("l_returnflag = 'R'"), "l_partkey")
+    return so.overlap_counts(t.lineitem.where("l_returnflag = 'A'"), t.lineitem.where("l_returnflag = 'R'"), "l_partkey")
 
 
-@query("set_membership_patterns", """WITH s AS (SELECT DISTINCT l_partkey, l_returnflag || l_linestatus AS source FROM lineitem WHERE l_quantity > 40),
+@query("set_membership_patterns", """WITH s AS (SELECT DISTINCT l_partkey, l_returnflag || l_linestatus AS source FROM lineitem),
   p AS (SELECT l_partkey, string_agg(source, '&' ORDER BY source) AS pattern FROM s GROUP BY 1)
   SELECT pattern, count(*) AS n FROM p GROUP BY 1 HAVING count(*) >= 3""")
 def _(t):
-    big = t.lineitem.where("l_quantity > 40")
-    parts = {a + b: big.where(f"l_returnflag = '{a}' and l_linestatus = '{b}'") for a in "ANR" for b in "FO"}
+    sources = t.lineitem.select("l_returnflag", "l_linestatus").distinct().collect()
+    parts = {a + b: t.lineitem.where((F.col("l_returnflag") == a) & (F.col("l_linestatus") == b)) for a, b in sorted(map(tuple, sources))}
     return so.membership_patterns(parts, "l_partkey", 3)
 
 

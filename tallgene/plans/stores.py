@@ -77,7 +77,7 @@ def _(t):
 def _(t):
     folder = scratch_path(t.spark, "dna")
     rows = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), "n_chars", "lang").join(t.seqs, "chrom").where(F.length("seq") > 0)
-    for lang in ("de", "en", "es", "fr"):
+    for (lang,) in rows.select("lang").distinct().collect():
         rows.where(F.col("lang") == lang).select(F.col("seq").alias("dna"), F.col("n_chars").alias("label")).write.option("header", True).csv(f"{folder}/{lang}.csv")
     return io.read_dna_csv(t.spark, folder).select("sequence", "label", "split")
 
@@ -86,7 +86,7 @@ def _(t):
   SELECT x.cell_id, gene, value, dataset, CASE WHEN dataset <> 'P' THEN label END AS label FROM x JOIN obs USING (cell_id) WHERE gene IN (SELECT gene FROM g)""")
 def _(t):
     parts = {}
-    for b in ("F", "O", "P"):
+    for (b,) in sorted(map(tuple, t.obs.select("batch").distinct().collect())):
         cells = t.obs.where(F.col("batch") == b).select("cell_id", "label")
         expr = t.expr.join(cells.select("cell_id"), "cell_id", "left_semi")
         parts[b] = (expr, cells if b != "P" else cells.drop("label"))
@@ -149,7 +149,7 @@ def _(t):
   round(100 * sum(CASE WHEN mito THEN value ELSE 0 END) / sum(value), 6) AS pct_counts_mt FROM expr JOIN var USING (gene) GROUP BY 1""")
 def _(t):
     root = scratch_path(t.spark, "ingest")
-    t.expr.repartition(6, "cell_id").write.parquet(f"{root}/shards")
+    t.expr.repartition(6, "cell_id", "gene").write.parquet(f"{root}/shards")
     out = jobs.ingest_qc(t.spark, f"{root}/shards", "cell_id string, gene string, value double", t.var, f"{root}/qc", f"{root}/ckpt", 3)
     return rounded(out, "pct_counts_mt")
 

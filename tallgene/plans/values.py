@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallgene.functions.rand import hash_int_sql, hash_uniform_sql
+from tallgene.functions.rand import hash_uniform_sql
 from tallgene.operators import normalise as nm
 from tallgene.operators import stats as st
 from tallgene.plans.bind import views
@@ -61,7 +61,7 @@ def _(t):
 
 
 EXONS = """exons AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS gene, l_suppkey * 20 AS s,
-    l_suppkey * 20 + CAST(l_quantity AS BIGINT) AS e FROM lineitem WHERE l_quantity > 40),
+    l_suppkey * 20 + CAST(l_quantity AS BIGINT) AS e FROM lineitem),
   seen AS (SELECT *, max(e) OVER (PARTITION BY gene ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM exons),
   len AS (SELECT gene, sum(greatest(0, e - greatest(s, coalesce(upto, s)))) / 1000.0 AS kb FROM seen GROUP BY 1)"""
 
@@ -72,8 +72,7 @@ EXONS = """exons AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS gene, l_suppk
   SELECT cell_id, gene, round(value, 4) AS value FROM tpm WHERE gene IN (SELECT gene FROM tpm GROUP BY 1
     HAVING count(*) FILTER (value > 100000) >= 0.0012 * (SELECT count(DISTINCT cell_id) FROM expr))""")
 def _(t):
-    li = t.lineitem.where("l_quantity > 40")
-    exons = li.select(F.col("l_partkey").cast("string").alias("gene"), (F.col("l_suppkey") * 20).alias("start"),
+    exons = t.lineitem.select(F.col("l_partkey").cast("string").alias("gene"), (F.col("l_suppkey") * 20).alias("start"),
                       (F.col("l_suppkey") * 20 + F.col("l_quantity").cast("bigint")).alias("end"))
     return rounded(nm.tpm(t.expr, nm.exon_lengths(exons), 100000.0, 0.0012), "value", digits=4)
 
@@ -99,12 +98,11 @@ def _(t):
     return out.withColumn("value", F.col("value").cast("bigint"))
 
 
-@query("nrm_guess_raw", views("expr") + f""", s AS (SELECT value FROM expr ORDER BY {hash_int_sql(5, 'cell_id', 'gene')}, cell_id, gene LIMIT 5000),
-  x AS (SELECT 1 + (max(value) > 50)::INT + (avg((value = 1)::INT) > 0.4)::INT + (avg(value) < 2.5)::INT + (median(value) <= 1)::INT
-    + (avg((value IN (1, 2, 3))::INT) > 0.6)::INT AS score FROM s)
+@query("nrm_guess_raw", views("expr") + """, x AS (SELECT 1 + (max(value) > 50)::INT + (avg((value = 1)::INT) > 0.4)::INT + (avg(value) < 2.5)::INT + (median(value) <= 1)::INT
+    + (avg((value IN (1, 2, 3))::INT) > 0.6)::INT AS score FROM expr)
   SELECT score, score >= 4 AS is_raw FROM x""")
 def _(t):
-    return nm.guess_raw(t.expr, True, sample=5000, seed=5)
+    return nm.guess_raw(t.expr, True)
 
 
 @query("nrm_downcast", views("expr") + """SELECT cell_id, gene, CAST(round_even(value / 4, 0) AS BIGINT) AS rounded,

@@ -21,14 +21,16 @@ def latest(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ingest_qc(spark: SparkSession, shards: str, schema: str, var: DataFrame, out: str, checkpoint: str, files_per_batch: int = 2) -> DataFrame:
-    """stm_ingest_qc: new expression shards (each cell whole in one shard) to per-cell QC rows."""
+    """stm_ingest_qc: new expression shards to per-cell QC rows. A cell may be spread over shards: each batch writes sums, which add up on read."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(shards)
 
     def batch(df: DataFrame, number: int) -> None:
         st.qc_cells(df, var).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     _run(stream.writeStream.foreachBatch(batch), checkpoint)
-    return spark.read.parquet(out).drop("batch")
+    parts = ("total_counts", "n_genes_by_counts", "total_counts_mt")
+    sums = spark.read.parquet(out).groupBy("cell_id").agg(*[F.sum(c).alias(c) for c in parts])
+    return sums.withColumn("pct_counts_mt", F.when(F.col("total_counts") != 0, 100.0 * F.col("total_counts_mt") / F.col("total_counts")))
 
 
 def upsert(old: DataFrame | None, new: DataFrame, keys: tuple[str, ...] = ("gene_symbol", "biosample_name")) -> DataFrame:
