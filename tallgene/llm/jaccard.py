@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tallgene.llm.batches import text_slices
-from tallgene.llm.graph import KeyFilter, components, kept
+from tallgene.llm.graph import KeyFilter, components, kept, most_frequent
 from tallgene.llm.hashing import MIX, Words, joined, mix, runs
 
 SHINGLE, NEAR = 5, 0.25
-#: Classes of the shingle universe: their counts bound distances from below.
+#: Classes of the shingle universe for small sets; their counts bound distances from below. Larger sets have one for about four shingles.
 CLASSES = 64
-#: A shingle is put last in the order of prefixes if it is among the HOT most frequent of those seen LOCAL times in a slice of SAMPLE shingles.
+#: A shingle is put last in the order of prefixes if it is among the HOT most frequent of those seen LOCAL times in a slice of SLICE shingles.
 HOT, LOCAL, SLICE = 1 << 18, 4, 1 << 21
-#: Members of a region that one task joins; larger regions are joined pivot by pivot over all tasks.
-REGION, PIVOTS, SALTS, LEAF = 4096, 64, 32, 32
+#: Members of a region that one task compares by sketches and shingles of a cell that one task joins; what is larger is joined pivot by
+#: pivot over all tasks, so many pivots a round and so many parts a region.
+REGION, CELL, PIVOTS, SALTS = 4096, 4_000_000, 64, 32
+#: Members that meet one by one.
+LEAF = 32
 # ASCII white space ends words, A-Z are lower-cased; byte 255, which UTF-8 never has, stands for byte 0.
 WORD_BYTES = np.arange(256, dtype=np.uint8)
 WORD_BYTES[0] = 255
@@ -44,6 +47,11 @@ def prefix_size(n: int) -> int:
     return n - -(-3 * n // 4) + 1 if n else 0
 
 
+def classes(n: int) -> int:
+    """Number of classes, a power of two, in the sketch of a set of n shingles."""
+    return min(1 << 14, max(CLASSES, 1 << max(0, (n - 1) // 4).bit_length()))
+
+
 def linked(common, a, b):
     return 100 * common >= 75 * (a + b - common)
 
@@ -73,7 +81,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
         yield report(parts)
 
     rows = docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    top = rows.where(F.col("n") >= 2 * LOCAL).orderBy(F.desc("n"), "s").limit(HOT).select("s").toPandas()["s"]
+    top = most_frequent(rows.where(F.col("n") >= 2 * LOCAL), HOT).select("s").toPandas()["s"]
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
@@ -90,7 +98,8 @@ def signatures(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     at = np.minimum(np.searchsorted(hot, s), max(0, len(hot) - 1))
                     late = hot[at] == s if len(hot) else np.zeros(len(s), bool)
                     prefix = np.concatenate([s[~late], s[late]])[: prefix_size(len(s))]
-                    sketch = np.minimum(np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8)
+                    m = classes(len(s))
+                    sketch = np.minimum(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m), 255).astype(np.uint8)
                     keys = np.array([s.sum(dtype=np.uint64), mix(s ^ MIX[0]).sum(dtype=np.uint64)]).view(np.int64)
                     rows.append((doc, len(s), int(keys[0]), int(keys[1]), sketch.tobytes(), prefix.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "n", "k1", "k2", "sketch", "prefix"])
@@ -108,41 +117,73 @@ def regions(signed: DataFrame, reps: DataFrame) -> DataFrame:
     return members.unionByName(members.select("pivot", F.col("pivot").alias("doc_id")).distinct())
 
 
+def _values(column: pa.Array) -> list:
+    """Entries of a column; lists of numbers as arrays of their own."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)
+    return [flat[i:j].copy() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     """Rows of one pivot after the other, from batches in pivot order."""
     held: dict[str, list] = {}
     for batch in batches:
-        columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        pivot = columns["pivot"].to_numpy(zero_copy_only=False)
+        if not batch.num_rows:
+            continue
+        pivot = batch.column("pivot").to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(np.diff(pivot)) + 1
-        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(pivot)], strict=True):
-            if b <= a:
-                continue
-            part = {k: (v.slice(a, b - a).to_numpy(zero_copy_only=False) if pa.types.is_integer(v.type) else v.slice(a, b - a).to_pylist()) for k, v in columns.items()}
+        columns = {name: _values(batch.column(i)) for i, name in enumerate(batch.schema.names)}
+        for a, b in zip([0, *cuts], [*cuts, len(pivot)], strict=True):
+            part = {k: v[a:b] for k, v in columns.items()}
             if held and held["pivot"][0] != part["pivot"][0]:
                 yield held
                 held = {}
-            held = {k: list(held[k]) + list(v) for k, v in part.items()} if held else part
+            held = {k: held[k] + v for k, v in part.items()} if held else part
     if held:
         yield held
 
 
+def may_link(n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Members x members: whether sizes and class counts allow a link. Sizes of linked sets differ by a third at most; class counts
+    differ by no more in sum than the symmetric difference, which a link bounds by a seventh of both sizes. Sketches of
+    two widths are compared at the smaller one, as the classes of the wider one fold onto it."""
+    out = np.zeros((len(n), len(n)), bool)
+    width = np.array([len(x) for x in sketches])
+    for level in np.unique(width):
+        rows = np.flatnonzero((width == level) | (width == 2 * level))
+        counts = np.stack([np.frombuffer(sketches[i], np.uint8).astype(np.int16).reshape(-1, level).sum(0) for i in rows])
+        for at in np.flatnonzero(width[rows] == level):
+            fits = np.flatnonzero((4 * n[rows] >= 3 * n[rows[at]]) & (4 * n[rows[at]] >= 3 * n[rows]))
+            apart = np.abs(counts[fits] - counts[at]).sum(1)
+            ok = rows[fits[7 * apart <= n[rows[fits]] + n[rows[at]]]]
+            out[rows[at], ok] = out[ok, rows[at]] = True
+    np.fill_diagonal(out, False)
+    return out
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members that some other member of the region may be linked with, by sizes and class counts: counts differ by
-    no more than the symmetric difference, which a link bounds by a seventh of both sizes."""
+    """Cells of every region: members that are connected by pairs that may be linked. A cell is named by its members' hash, as the
+    same documents meet in the regions of many pivots."""
     for region in _by_region(batches):
         ids, n = np.array(region["doc_id"], np.int64), np.array(region["n"], np.int64)
-        sketch = np.frombuffer(b"".join(region["sketch"]), np.uint8).reshape(-1, CLASSES).astype(np.int16)
-        near = np.zeros(len(ids), bool)
-        for start in range(0, len(ids), 128):
-            own = slice(start, start + 128)
-            apart = np.zeros((len(ids[own]), len(ids)), np.int32)
-            for c in range(CLASSES):
-                apart += np.abs(sketch[own, c][:, None] - sketch[None, :, c])
-            fits = (7 * apart <= n[own][:, None] + n[None]) & (ids[own][:, None] != ids[None])
-            near[own] |= fits.any(1)
-        if near.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(near.sum(), region["pivot"][0], np.int64)), pa.array(ids[near])], names=["pivot", "doc_id"])
+        near = may_link(n, region["sketch"])
+        open_ = near.any(1)
+        cells = []
+        while open_.any():
+            cell = np.zeros(len(ids), bool)
+            front = np.zeros(len(ids), bool)
+            front[np.argmax(open_)] = True
+            while front.any():
+                cell |= front
+                front = near[front].any(0) & ~cell
+            open_ &= ~cell
+            cells.append((np.sort(ids[cell]), int(n[cell].sum())))
+        if cells:
+            names = [int(mix(mix(c.view(np.uint64)) + np.arange(len(c), dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64)) for c, _ in cells]
+            columns = [pa.array(names, pa.int64()), pa.array([c for c, _ in cells], pa.list_(pa.int64())), pa.array([w for _, w in cells], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["cell", "members", "weight"])
 
 
 class Cells:
@@ -212,7 +253,7 @@ class Cells:
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of whole regions: each member with the first of its component."""
     for region in _by_region(batches):
-        sets = [np.array(s, np.int64).view(np.uint64) for s in region["s"]]
+        sets = [s.view(np.uint64) for s in region["s"]]
         cells = Cells(sets)
         cells.join(np.arange(len(sets)))
         ids = [int(i) for i in region["doc_id"]]
@@ -272,9 +313,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     1 - similarity is a metric, but nearly all documents are at distance 1 from each other, so cells around pivots drawn at
     random would not separate them. Pivots are drawn where documents meet: equal sets are one node; of every shingle that prefixes
     share, the smallest document is a pivot and its holders are its region (``regions``); the prefixes are the rarest quarter of a set, so passages
-    that many documents share do not make regions. Members whose class counts put them too far from all others leave. What is left is
-    joined region by region with Voronoi cells and triangle-inequality windows (``Cells``), large regions over all tasks
-    (``join_large``), and the links' components are found by star rounds.
+    that many documents share do not make regions. Members whose class counts put them too far from all others leave, and what is left of a
+    region falls into cells of documents that may be near each other; a cell that several regions have is kept once. Cells are joined
+    recursively around pivots with triangle-inequality windows (``Cells``), large ones over all tasks (``join_large``), and the links'
+    components are found by star rounds.
 
     Null and empty texts have 0 shingles and are components of their own; a null doc_id has its equals' component or null; rows with
     one doc_id are one node; columns other than doc_id and text are not read.
@@ -287,14 +329,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
     described = members.join(sizes, "pivot").join(signed.where("n > 0").select("doc_id", "n", "sketch"), "doc_id").select("pivot", "doc_id", "n", "sketch", "m")
     possible = described.where(F.col("m") <= REGION).select("pivot", "doc_id", "n", "sketch").repartition("pivot").sortWithinPartitions("pivot")
-    small = kept(possible.mapInArrow(_possible, "pivot long, doc_id long"), "possible")
-    large = kept(members.join(sizes.where(F.col("m") > REGION), "pivot", "left_semi"), "possible")
+    cells = kept(possible.mapInArrow(_possible, "cell long, members array<long>, weight long").dropDuplicates(["cell"]), "cells")
+    small = cells.where(F.col("weight") <= CELL).select(F.col("cell").alias("pivot"), F.explode("members").alias("doc_id"))
+    heavy = cells.where(F.col("weight") > CELL).select(F.array_min("members").alias("pivot"), F.explode("members").alias("doc_id"))
+    crowded = members.join(sizes.where(F.col("m") > REGION).select("pivot"), "pivot", "left_semi")
+    large = kept(heavy.unionByName(crowded).distinct(), "cells")
     sets = set_table(docs, small.select("doc_id").unionByName(large.select("doc_id")).distinct())
     ready = small.join(sets, "doc_id").select("pivot", "doc_id", "s").repartition("pivot").sortWithinPartitions("pivot")
     links = ready.mapInArrow(_joined, "a long, b long")
     if not large.isEmpty():
-        large_sets = kept(sets.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), "sets")
-        links = links.unionByName(join_large(large, large_sets))
+        links = links.unionByName(join_large(large, kept(sets.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), "sets")))
     found = components(links)
     placed = signed.select("doc_id", *keys).join(reps, keys, "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
