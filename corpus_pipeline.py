@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from tallgene.functions.lineage import scratch_path
 from tallgene.llm import jaccard, lexicon, mixing, pii, queries, toxicity
+from tallgene.llm.batches import short_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier, fit on the labelled ones outside fold 0 of 5, does not reject."""
+    short_batches(spark)
     model = queries.toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
 
@@ -22,6 +24,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without words are linked with nothing and stay, as rows without doc_id do. What goes is joined, not what stays:
     it is the smaller side.
     """
+    short_batches(spark)
     path = scratch_path(spark, "components")
     jaccard.jaccard_components(docs).write.parquet(path)
     found = spark.read.parquet(path).where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -33,17 +36,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data; ``n_chars`` follows the text."""
+    short_batches(spark)
     replaced = pii.replace_all(docs)
     return replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source mix takes them."""
+    short_batches(spark)
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, their number and digests of ids and of the text they decode to."""
+    short_batches(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     encoded = lexicon.encode(docs, path, lexicon.build_lexicon(docs, path), keep=("doc_id", "source"))
     return queries.digests(lexicon.decode(encoded, path, keep=("doc_id", "source", "ids")), "doc_id", "source", "ids")

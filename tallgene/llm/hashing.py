@@ -29,7 +29,7 @@ def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
     if kept is None or len(kept) < n:
         with np.errstate(over="ignore"):
             kept = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 16) - 1, base)])
-        if len(kept) <= 8_000_000:
+        if len(kept) <= 4_000_000:
             _powers[name] = kept
     return kept[:n]
 

@@ -18,12 +18,12 @@ SHINGLE, NEAR = 5, 0.25
 #: Classes of the shingle universe for small sets; their counts bound distances from below. Larger sets have one for about four shingles.
 CLASSES = 64
 #: A shingle is put last in the order of prefixes if it is among the HOT most frequent of those seen LOCAL times in a slice of SLICE shingles.
-HOT, LOCAL, SLICE = 1 << 18, 4, 1 << 21
+HOT, LOCAL, SLICE = 1 << 18, 4, 1 << 20
 #: Members of a region that one task compares by sketches and shingles of a cell that one task joins; what is larger is joined pivot by
 #: pivot over all tasks, so many pivots a round and so many parts a region.
-REGION, CELL, PIVOTS, SALTS = 4096, 4_000_000, 64, 32
-#: Members that meet one by one.
-LEAF = 32
+REGION, CELL, PIVOTS, SALTS = 4096, 2_000_000, 64, 32
+#: Members that meet one by one, and bytes of text that are shingled together.
+LEAF, TEXT = 32, 1_000_000
 # ASCII white space ends words, A-Z are lower-cased; byte 255, which UTF-8 never has, stands for byte 0.
 WORD_BYTES = np.arange(256, dtype=np.uint8)
 WORD_BYTES[0] = 255
@@ -71,7 +71,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
         parts, size = [], 0
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=TEXT):
                 sets = shingle_sets(part.column("text").to_pylist())
                 parts += sets
                 size += sum(map(len, sets))
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = sent.value
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=TEXT):
                 rows = []
                 for doc, s in zip(_ids(part).to_pylist(), shingle_sets(part.column("text").to_pylist()), strict=True):
                     at = np.minimum(np.searchsorted(hot, s), max(0, len(hot) - 1))
@@ -269,7 +269,7 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(sent.value.maybe(_ids(batch).to_numpy(zero_copy_only=False))))
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=TEXT):
                 sets = shingle_sets(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([_ids(part), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "s"])
 
