@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -201,16 +203,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 2000, text: str
     unless it has fewer than ENOUGH toxic ones: then the whole sample sets them.
 
     Labels other than 0 and 1 and documents without text take no part; no rows give a model that rejects nothing. The sample's
-    keys are broadcast (``per_label`` a label at most), so documents are read once and not shuffled.
+    keys are broadcast (``per_label`` a label at most), so documents are read once and not shuffled. One task trains on the sample;
+    the driver gets the weights alone.
     """
     chosen = F.broadcast(sample(labels, per_label, label=label, key=key))
     rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("t")).join(chosen, key)
-    taken = rows.select(F.xxhash64(F.lit("toxicity"), F.col(key)).alias("h"), F.col(label).alias("y"), "t").orderBy("h", "y", "t").limit(4 * per_label).collect()
-    if not taken:
-        return train([], np.zeros(0))
-    y = np.array([r["y"] for r in taken])
-    held = np.arange(len(taken)) % 4 == 3
-    texts = [r["t"] for r in taken]
+    taken = rows.select(F.xxhash64(F.lit("toxicity"), F.col(key)).alias("h"), F.col(label).alias("y"), "t").repartition(1)
+    packed = taken.mapInPandas(_trained, "model binary").collect()
+    return pickle.loads(packed[0]["model"]) if packed else train([], np.zeros(0))
+
+
+def _trained(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The model of all rows (h, y, t) as one binary value; nothing without rows."""
+    sample = [p for p in parts if len(p)]
+    if sample:
+        rows = pd.concat(sample).sort_values(["h", "y", "t"])
+        yield pd.DataFrame({"model": [pickle.dumps(_model(rows["t"].tolist(), rows["y"].to_numpy(np.int64)))]})
+
+
+def _model(texts: list[str], y: np.ndarray) -> Model:
+    held = np.arange(len(texts)) % 4 == 3
     m = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
     judged = held if y[held].sum() >= ENOUGH else np.ones(len(y), bool)
     calibrate(m, [t for t, h in zip(texts, judged, strict=True) if h], y[judged])
