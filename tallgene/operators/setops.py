@@ -151,8 +151,3 @@ def eval_subset(obs, col="perturbation", split="split", control=CONTROL, renamed
 def join_attributions(rows, order: str) -> DataFrame:
     """set_attr_join: one score per (gene, sample), the first of repeats; long form of the outer join."""
     return rows.groupBy("gene", "sample_id").agg(F.min_by("score", order).alias("score"))
-
-
-def attributions_wide(rows, samples: list[str], order: str) -> DataFrame:
-    """The same as one column per listed sample (a handful of samples)."""
-    return join_attributions(rows, order).groupBy("gene").pivot("sample_id", samples).agg(F.first("score"))

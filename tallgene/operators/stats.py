@@ -75,11 +75,6 @@ def gene_median(expr) -> DataFrame:
     return quantiles(expr.where(F.col("value") != 0), ["gene"], "value", {"median": 0.5})
 
 
-def gene_median_approx(expr, accuracy: int = 10000) -> DataFrame:
-    """Approximate variant of the gene median for very wide value domains."""
-    return expr.where(F.col("value") != 0).groupBy("gene").agg(F.percentile_approx("value", 0.5, accuracy).alias("median"))
-
-
 def gene_quantiles(expr) -> DataFrame:
     """agg_gene_quantiles: 50 / 75 / 90 percent over nonzero entries."""
     return quantiles(expr.where(F.col("value") != 0), ["gene"], "value", {"q50": 0.5, "q75": 0.75, "q90": 0.9})
@@ -418,11 +413,6 @@ def proportion_ci(mean: Column, n: Column, method: str) -> tuple[Column, Column]
         center = (mean + z * z / (2 * n)) / denom
         half = z * F.sqrt(mean * (1 - mean) / n + z * z / (4 * n * n)) / denom
         return F.greatest(F.lit(0.0), center - half), F.least(F.lit(1.0), center + half)
-    if method == "wilson_legacy":
-        denom = 1 + z * z / n
-        center = (mean + z * z / (2 * n)) / denom
-        half = z * F.sqrt(mean * (1 - mean) / n + z * z) / (2 * n) / denom
-        return F.greatest(F.lit(0.0), center - half), F.least(F.lit(1.0), center + half)
     raise ValueError(method)
 
 

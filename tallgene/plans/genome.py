@@ -340,7 +340,7 @@ def lexicon(t):
     """One letter per symbol pair, by a rule on the symbols' order."""
     names = sorted(sq.SYMBOLS)
     pairs = [(f"{a}_{b}", i * 11 + j) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-    rows = F.array(*[F.struct(F.lit(p).alias("pair"), F.decode(F.encode(F.lit(chr(19968 + k)), "UTF-8"), "UTF-8").alias("letter")) for p, k in pairs])
+    rows = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(chr(19968 + k)).alias("letter")) for p, k in pairs])
     return t.spark.range(1).select(F.explode(rows).alias("x")).select("x.*")
 
 

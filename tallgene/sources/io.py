@@ -131,6 +131,7 @@ def fasta_lines(tiles, line: int) -> DataFrame:
     return heads.unionByName(body)
 
 
+# The columns of the format.
 VCF_COLUMNS = ("contig", "pos", "id", "ref", "alt", "qual", "filter", "info")
 
 
@@ -143,6 +144,7 @@ def read_vcf(spark: SparkSession, path: str, keyword: str | None = ";COMMON") ->
     return rows.withColumns({"pos": F.col("pos").cast("bigint"), "alts": F.split("alt", ","), "info_map": F.str_to_map("info", F.lit(";"), F.lit("="))})
 
 
+# The columns of the format.
 GTF_SCHEMA = "chrom string, source string, feature string, start bigint, end bigint, score string, strand string, frame string, attrs string"
 
 

@@ -138,13 +138,6 @@ def test_binomial_interval(spark):
     assert np.allclose(row, (0.402, 0.598))
 
 
-def test_wilson_legacy_differs(spark):
-    df = spark.createDataFrame([(0.5, 10)], "m double, n long")
-    new = df.select(*st.proportion_ci(F.col("m"), F.col("n"), "wilson")).first()
-    old = df.select(*st.proportion_ci(F.col("m"), F.col("n"), "wilson_legacy")).first()
-    assert new[0] != old[0]
-
-
 def test_label_ids_nan(spark):
     obs = spark.createDataFrame([("nan",), ("a",), (None,), ("zz",), ("quiet",)], "lab string")
     d = spark.createDataFrame([("lab", "a", 0), ("lab", "quiet", 1)], "label_column string, label string, label_id int")

@@ -10,7 +10,7 @@ from tallgene.plans.bind import RAW
 
 SF = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+QUERIES = {name: fn for name, fn in entry.queries().items() if name not in entry.LLM_QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +38,7 @@ def canonical(cols, rows):
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     got = df.collect()
+    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
     if name not in SQL:
         assert got
         return
@@ -47,9 +48,5 @@ def test_query(spark, duck, name):
     assert canonical(df.columns, got) == canonical(cols, cur.fetchall())
 
 
-def test_no_forbidden_plan_nodes():
-    assert not [n for n in QUERIES if "pipeline" in n or n.startswith("op")]
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
