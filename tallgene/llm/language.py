@@ -19,6 +19,8 @@ from tallgene.llm.hashing import mix
 SPECTRUM = (1 << 10, 1 << 12, 1 << 14)
 WIDTH = sum(SPECTRUM)
 UNKNOWN = "und"
+#: Languages that are learned, the most frequent ones.
+LANGUAGES = 1000
 
 
 @dataclass
@@ -63,10 +65,14 @@ def train(texts: list[str], languages: list[str], *, landmarks: int = 128, ridge
 
 
 def fit(labelled: DataFrame, *, per_language: int = 250, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
-    """Fit on at most ``per_language`` rows of each language, those with the smallest hash of ``key``. Rows without language or
+    """Fit on at most ``per_language`` rows of each language, those with the smallest hash of ``key``, of LANGUAGES languages. Rows without language or
     without a letter take no part; None if none is left."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.xxhash64(F.lit("language"), F.col(key)).alias("h"), F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    nth = F.row_number().over(W.Window.partitionBy("l").orderBy("h", "k", "t"))
+    known = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    sizes = F.broadcast(known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES))
+    hashed = F.xxhash64(F.lit("language"), F.col("k"))
+    share = F.pmod(hashed, F.lit(1 << 32)).cast("double") / float(1 << 32)  # four times the rows that are taken, so that the sort sees few
+    rows = known.join(sizes, "l").where((share * F.col("count") < 4 * per_language) & F.col("t").rlike(r"\p{L}"))
+    nth = F.row_number().over(W.Window.partitionBy("l").orderBy(share, "k", "t"))
     taken = rows.withColumn("n", nth).where(F.col("n") <= per_language).orderBy("n", "l").collect()
     return train([r["t"] for r in taken], [r["l"] for r in taken]) if taken else None
 
