@@ -19,6 +19,9 @@ from tallgene.llm.hashing import Words, joined
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 12, (1, 2, 3), 8
 #: Toxic and clean texts that a threshold of its own needs.
 ENOUGH = 25
+#: Logits are counted in bins of 1 / PER_UNIT between -LIMIT and LIMIT to set thresholds; those beyond count in the outermost bins.
+LIMIT, PER_UNIT = 30, 64
+BINS = 2 * LIMIT * PER_UNIT
 #: A word is embedded by itself and by its beginnings of so many bytes.
 BEGINNINGS = (4, 6, 8)
 # Frequent function words by which a text's language group is told; a text without any is of no group.
@@ -167,50 +170,93 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 8, batch: int =
     return m
 
 
-def calibrate(m: Model, texts: list[str], labels: np.ndarray) -> None:
-    """Per language group, the threshold with the best balance of caught and wrongly rejected texts; a group with fewer than
-    ENOUGH of either label takes the threshold of all."""
-    z, group = raw_scores(m, texts)
+def binned(z: np.ndarray) -> np.ndarray:
+    """Bin of each logit."""
+    return np.clip(np.floor((z + LIMIT) * PER_UNIT), 0, BINS - 1).astype(np.int64)
+
+
+def set_thresholds(m: Model, counts: np.ndarray) -> None:
+    """Thresholds from ``counts`` (language groups x bins x clean and toxic): per group the cut with the best balance of caught
+    and wrongly rejected texts; a group with fewer than ENOUGH of either label takes the cut of all."""
 
-    def best(z: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(z)
-        z, y = z[order], y[order]
-        caught = (y.sum() - np.r_[0, np.cumsum(y)]).astype(float)
-        wrong = ((1 - y).sum() - np.r_[0, np.cumsum(1 - y)]).astype(float)
-        f1 = 2 * caught / np.maximum(1, caught + wrong + y.sum())
-        cuts = np.r_[z[0] - 1, (z[1:] + z[:-1]) / 2, z[-1] + 1]
+    def best(own: np.ndarray) -> float:
+        clean, toxic = own.T.astype(float)
+        caught, wrong = (x.sum() - np.r_[0, np.cumsum(x)] for x in (toxic, clean))
+        f1 = 2 * caught / np.maximum(1, caught + wrong + toxic.sum())
         top = np.flatnonzero(f1 >= f1.max() - 1e-9)
-        return float(cuts[top[len(top) // 2]])
-
-    overall = best(z, labels) if 0 < labels.sum() < len(labels) else 0.0
-    cuts = np.full(len(FUNCTION_WORDS) + 1, overall)
-    for g in range(len(cuts)):
-        own = group == g
-        if min(labels[own].sum(), (1 - labels[own]).sum()) >= ENOUGH:
-            cuts[g] = best(z[own], labels[own])
+        at = int(top[len(top) // 2])
+        return at / PER_UNIT - LIMIT if at else -LIMIT - 1.0
+
+    whole = counts.sum(0)
+    overall = best(whole) if whole.sum(0).all() else 0.0
+    cuts = np.array([best(own) if own.sum(0).min() >= ENOUGH else overall for own in counts])
     m.threshold = 1 / (1 + np.exp(-cuts))
 
 
+def no_counts() -> np.ndarray:
+    return np.zeros((len(FUNCTION_WORDS) + 1, BINS, 2), np.int64)
+
+
+def calibrate(m: Model, texts: list[str], labels: np.ndarray) -> None:
+    """Thresholds over ``texts``."""
+    z, group = raw_scores(m, texts)
+    counts = no_counts()
+    np.add.at(counts, (group, binned(z), labels), 1)
+    set_thresholds(m, counts)
+
+
+def labelled(labels: DataFrame, *, label: str = "toxic", key: str = "doc_id") -> DataFrame:
+    """(key, label) of the rows that take part: labels 0 and 1 of documents with a key."""
+    return labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key), F.col(label).cast("int").alias(label))
+
+
 def sample(labels: DataFrame, per_label: int, *, label: str = "toxic", key: str = "doc_id") -> DataFrame:
     """(key, label) of at most ``per_label`` rows of each label, those with the smallest hash of ``key``."""
-    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key), F.col(label).cast("int").alias(label))
+    rows = labelled(labels, label=label, key=key)
     order = F.xxhash64(F.lit("toxicity"), F.col(key))
     return rows.where(F.col(label) == 0).orderBy(order, key).limit(per_label).unionByName(rows.where(F.col(label) == 1).orderBy(order, key).limit(per_label))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 2000, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
-    """Fit on the documents of a bounded ``sample`` of ``labels``; a quarter of them, by hash, sets the thresholds only,
-    unless it has fewer than ENOUGH toxic ones: then the whole sample sets them.
+    """Weights from the documents of a bounded ``sample`` of ``labels``, three quarters of it by hash; thresholds from all labelled documents.
 
     Labels other than 0 and 1 and documents without text take no part; no rows give a model that rejects nothing. The sample's
-    keys are broadcast (``per_label`` a label at most), so documents are read once and not shuffled. One task trains on the sample;
-    the driver gets the weights alone.
+    keys are broadcast (``per_label`` a label at most), so documents are read and not shuffled. One task trains on the sample;
+    the driver gets the weights alone. Then all documents are scored and counted, see ``counted``.
     """
     chosen = F.broadcast(sample(labels, per_label, label=label, key=key))
     rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("t")).join(chosen, key)
     taken = rows.select(F.xxhash64(F.lit("toxicity"), F.col(key)).alias("h"), F.col(label).alias("y"), "t").repartition(1)
     packed = taken.mapInPandas(_trained, "model binary").collect()
-    return pickle.loads(packed[0]["model"]) if packed else train([], np.zeros(0))
+    if not packed:
+        return train([], np.zeros(0))
+    m = pickle.loads(packed[0]["model"])
+    set_thresholds(m, counted(docs, labels, m, text=text, label=label, key=key))
+    return m
+
+
+def counted(docs: DataFrame, labels: DataFrame, model: Model, *, text: str = "text", label: str = "toxic", key: str = "doc_id") -> np.ndarray:
+    """Pairs of a label and a document of its key by language group of the text, bin of the logit and label.
+
+    Every text is scored where it is read; keys, groups and bins alone meet the labels, of which a key has one row. The driver gets
+    one row a group and bin at most.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "__text", 500_000):
+                z, group = raw_scores(sent.value, texts_of(part, "__text"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(group.astype(np.int32)), pa.array(binned(z).astype(np.int32))], names=[part.schema.names[0], "__group", "__bin"])
+
+    slim = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, F.col(text).alias("__text"))
+    scored = slim.mapInArrow(run, T.StructType([slim.schema.fields[0], T.StructField("__group", T.IntegerType()), T.StructField("__bin", T.IntegerType())]))
+    own = labelled(labels, label=label, key=key).groupBy(key).agg(F.sum(1 - F.col(label)).alias("__clean"), F.sum(label).alias("__toxic"))
+    rows = scored.join(own, key).groupBy("__group", "__bin").agg(F.sum("__clean").alias("__clean"), F.sum("__toxic").alias("__toxic"))
+    counts = no_counts()
+    for r in rows.collect():
+        counts[r["__group"], r["__bin"]] = r["__clean"], r["__toxic"]
+    return counts
 
 
 def _trained(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,10 +269,7 @@ def _trained(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _model(texts: list[str], y: np.ndarray) -> Model:
     held = np.arange(len(texts)) % 4 == 3
-    m = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
-    judged = held if y[held].sum() >= ENOUGH else np.ones(len(y), bool)
-    calibrate(m, [t for t, h in zip(texts, judged, strict=True) if h], y[judged])
-    return m
+    return train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
 
 
 def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

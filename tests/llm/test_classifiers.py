@@ -69,3 +69,16 @@ def test_toxicity_learns_words_and_beginnings():
     z, group = toxicity.raw_scores(model, ["some other vile text of the day", "some other fine text of the day"])
     cut = toxicity.np.log(model.threshold / (1 - model.threshold))[group]
     assert z[0] > cut[0] and z[1] < cut[1]
+
+
+def test_toxicity_thresholds_cover_all_labels(spark):
+    rows = [(i, f"the {'fine' if i % 100 < 75 else 'odd' if i % 100 < 95 else 'vile'} word {i % 37} of it", int(i % 100 >= 95 or (i % 100 >= 75 and i // 100 % 10 == 0))) for i in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"), per_label=40)
+    got = toxicity.score(table, model, keep=("text", "toxic")).collect()
+    caught = sum(r["predicted"] for r in got if r["toxic"])
+    wrong = sum(r["predicted"] for r in got if not r["toxic"])
+    assert caught >= 100 and wrong <= 10
+    # Thresholds follow the counts of all labels, whatever the size of the sample.
+    best = max(2 * c / (c + w + 140) for c, w in ((100, 0), (140, 360)))
+    assert 2 * caught / (caught + wrong + 140) >= best - 0.05
