@@ -1,8 +1,12 @@
 """Draws at large rates, groups without a name, cells spread over shards."""
 
+import os
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tallgene.functions.ranks import hash_ranks, quantiles, value_ranks
 from tallgene.operators import samples as sm
 from tallgene.operators import sampling as sp
@@ -45,3 +49,20 @@ def test_cell_spread_over_shards(spark, tmp_path):
     got = jobs.ingest_qc(spark, f"{tmp_path}/in", "cell_id string, gene string, value double", var, f"{tmp_path}/out", f"{tmp_path}/ckpt", 1).collect()
     assert [(r["total_counts"], r["n_genes_by_counts"], r["total_counts_mt"]) for r in got] == [(6.0, 2, 5.0)]
     assert got[0]["pct_counts_mt"] == pytest.approx(500 / 6)
+
+
+def test_no_language_vanishes(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    for f in os.listdir(source):
+        if f != "documents.parquet":
+            os.symlink(f"{source}/{f}", tmp_path / f)
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    lang = F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 5 == 1, "").when(F.col("doc_id") % 5 == 2, "a/b").when(F.col("doc_id") % 5 == 3, "null").otherwise(F.col("lang"))
+    docs.withColumn("lang", lang).toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    for f in os.listdir(tmp_path):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{tmp_path}/{f}'")
+    got = entry.queries()["src_dna_csv"](spark, str(tmp_path)).select("sequence", "label", "split").collect()
+    want = con.execute(f"SELECT sequence, label, split FROM ({entry.oracle_sql()['src_dna_csv']})").fetchall()
+    assert {None, "", "a/b", "null"} < {r[2] for r in want}
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
