@@ -10,9 +10,10 @@ from tallgene.functions.lineage import scratch_path
 # What is detected, in order of precedence, and the lead of a match that stays (titles and secret names).
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Sir|Господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Sra|Госпожа|Κυρία"
+SECRETS, ACCESS = "password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key", "AKIA"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-+/=.~]{7,}[A-Za-z0-9_\-+/=~]|\bAKIA[0-9A-Z]{16}\b",
+    "secret": rf"(?i:\b(?:{SECRETS})\b[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)[A-Za-z0-9_\-+/=.~]{{7,}}[A-Za-z0-9_\-+/=~]|\b{ACCESS}[0-9A-Z]{{16}}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": r"(?<!\d)\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,4}(?!\d)",
@@ -20,7 +21,9 @@ PATTERNS = {
     "phone": r"(?<![\w+])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
     "name": rf"\b(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
 }
-LEAD = rf"^((?i:(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?)|AKIA(?=[0-9A-Z]{{16}}$)|(?:{MALE}|{FEMALE})\.? )?(.*)$"
+#: What every match of any pattern has in it: a digit, an @, the name of a secret, the beginning of an access key or a title.
+TRIGGER = rf"[0-9@]|(?i:{SECRETS})|{ACCESS}|\b(?:{MALE}|{FEMALE})\.? "
+LEAD = rf"^((?i:(?:{SECRETS})[\"']?\s*[=:]\s*[\"']?)|{ACCESS}(?=[0-9A-Z]{{16}}$)|(?:{MALE}|{FEMALE})\.? )?(.*)$"
 # Given names by script and gender, and syllables that surnames are made of.
 GIVEN = {
     ("latin", "f"): "Ada Beth Clara Dora Edith Flora Grace Helen Irma Jane Karin Laura Mara Nora Olga Paula Rita Sonja Tina Vera".split(),
@@ -156,9 +159,8 @@ def surrogates(found: Column, secret: str) -> Column:
 
 
 def matches(text: Column) -> Column:
-    """Matches in order; texts without a digit, an @ or a title are not searched. Null gives an empty array."""
-    worth = text.rlike(rf"[0-9@]|\b(?:{MALE}|{FEMALE})\.? |(?i:password|passwd|pwd|token|secret)")
-    return F.when(worth, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """Matches in order; texts without a TRIGGER are not searched. Null gives an empty array."""
+    return F.when(text.rlike(TRIGGER), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def found_in(text: Column) -> Column:
