@@ -134,16 +134,16 @@ def exact_top_k(vectors: DataFrame, is_query, *, k: int = 10, key: str = "vec_id
     """(query_id, rank, vec_id, score): the k highest integer inner products of every query row with all other rows.
 
     ``is_query`` is a condition on the column ``id``. Vectors of another length than a query's never meet it; ties go to the
-    smaller id; repeated ids count as one row, the smallest vector; an empty table gives an empty result. Blocks of data meet
+    smaller id; rows that repeat an id stay rows, and those of a query's id share one list; an empty table gives an empty result. Blocks of data meet
     blocks of queries by an equi join of block numbers, each pair one bounded dual-tree walk. Floors, each query's k-th score in one
     block, go along first, so that other blocks prune from the start and return few rows.
     """
-    whole = kept(whole_numbers(vectors, key, vector, scale).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "vectors")
+    whole = kept(whole_numbers(vectors, key, vector, scale).withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, n_queries = whole.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
-    hashed = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    data = whole.withColumn("db", hashed(blocks))
-    numbered = whole.where(is_query).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(q_blocks)).cast("int"))
+    hashed = lambda parts: F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
+    data = whole.withColumn("db", hashed(blocks)).drop("row")
+    numbered = whole.where(is_query).withColumn("qb", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(q_blocks)).cast("int"))
     queries = numbered.select(F.col("id").alias("q"), F.col("v").alias("qv"), F.col("dim").alias("q_dim"), F.col("qb").alias("q_block"))
 
     def meet(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

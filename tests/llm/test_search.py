@@ -2,11 +2,12 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallgene.llm import cover_tree, nndescent
+from tallgene.llm import cover_tree, nndescent, queries
 
 DDL = "vec_id long, embedding array<float>, score string"
 
@@ -91,3 +92,18 @@ def test_nearest_of_few_rows(spark):
     got = [tuple(r)[:3] for r in nndescent.nearest(few, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 20), (0, 3, 2), (20, 1, 1), (20, 2, 0), (20, 3, 2)]
     assert nndescent.nearest(few.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_exact_top_k_repeated_ids_as_twin(spark, tmp_path, block):
+    rng = np.random.default_rng(5)
+    ids = [*range(90), *range(0, 90, 3), 7, 7]
+    v = rng.normal(size=(len(ids), 4)).astype(np.float32)
+    v[-1] = v[-2]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<float>")
+    rows.toPandas().to_parquet(tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = con.execute(queries.ORACLES["op8_exact_top_k"].replace("% 100", "% 30")).fetchall()
+    got = cover_tree.exact_top_k(rows, F.col("id") % 30 == 0, k=10, block=block, query_block=3).select("query_id", "rank", "vec_id", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
