@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgene.llm import cover_tree, jaccard, language, lexicon, mixing, nndescent, pii, token_counts, toxicity, warc
+from tallgene.llm import cover_tree, jaccard, language, lexicon, mixing, nndescent, packing, part_codes, pii, token_counts, toxicity, variants, warc
 from tallgene.llm.batches import short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +138,78 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for personal data; tested for distinctness, coreference, format and untouched rest."""
     docs = table(spark, sf_dir, "documents")
     return pii.replace_all(docs).select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents in sequences of 2048 tokens; tested against best fit one by one and the tokenizers library."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as 16 codes of codebooks refined over all vectors."""
+    return part_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _assigned(name: str, book: str) -> str:
+    """SQL of the nearest entry of every part, ties to the lower index."""
+    far = "list_dot_product(s, s) - 2 * list_dot_product(s, c) + list_dot_product(c, c)"
+    return f"""{name} AS (SELECT rn, p, any_value(s) AS s, min({{'d': {far}, 'k': k}}) AS m FROM parts JOIN {book} USING (p) GROUP BY rn, p)"""
+
+
+def _refined(name: str, assigned: str, book: str) -> str:
+    """SQL of the entries after one round: floors of means, entries without parts stay."""
+    return f"""{name} AS (
+  SELECT p, k, coalesce(any_value(e), any_value(c)) AS c FROM {book} LEFT JOIN (
+    SELECT p, k, list(floor(t / n) ORDER BY i) AS e FROM (
+      SELECT p, m.k AS k, i, sum(s[i + 1]) AS t, count(*) AS n FROM {assigned}, (SELECT unnest(range(len(c))) AS i FROM {book} WHERE p = 0 AND k = 0) GROUP BY ALL) GROUP BY p, k) USING (p, k)
+  GROUP BY p, k)"""
+
+
+ORACLES["op12_vector_codes"] = f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rn, vec_id, label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS (SELECT rn, p, e[CAST(p * len(e) // 16 + 1 AS BIGINT):CAST((p + 1) * len(e) // 16 AS BIGINT)] AS s FROM v, (SELECT unnest(range(16)) AS p)),
+b0 AS (SELECT p, CAST(rn - 1 AS INTEGER) AS k, s AS c FROM parts WHERE rn <= 64),
+{_assigned("a0", "b0")}, {_refined("b1", "a0", "b0")}, {_assigned("a1", "b1")}, {_refined("b2", "a1", "b1")}, {_assigned("a2", "b2")},
+coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', m.k), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error
+  FROM a2 JOIN v USING (rn) GROUP BY rn, vec_id),
+digest AS (SELECT sha256(string_agg(array_to_string([CAST(x AS BIGINT) FOR x IN c], ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest
+"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent spelling that each stands for."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+ORACLES["op13_spelling_variants"] = r"""
+WITH RECURSIVE checks AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY id, run),
+hexed AS (SELECT run, n, hex(encode(id || ':' || run)) AS x FROM counted),
+hashed AS (
+  SELECT run, n, xor(list_reduce([4294967295] || [CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT) FOR i IN range(len(x) // 2)], lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) AS h
+  FROM hexed, checks),
+worn AS (SELECT CASE WHEN h % 31 = 0 THEN run[:CAST(h % length(run) AS BIGINT)] || run[CAST(h % length(run) + 2 AS BIGINT):] ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM worn WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS m, arg_min(other, (-n, other)) AS other FROM pairs GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN other END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n FROM words w LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS at FROM formed UNION ALL SELECT up.word, f.form FROM up JOIN formed f ON f.word = up.at WHERE f.form IS NOT NULL)
+SELECT formed.*, up.at AS root FROM formed JOIN up USING (word) WHERE up.at IN (SELECT word FROM formed WHERE form IS NULL)
+"""

@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_all_are_registered():
-    assert sorted(n.split("_")[0] for n in entry.LLM_QUERIES) == sorted([*(f"op{i}" for i in range(1, 11)), "pipeline"])
+    assert sorted(n.split("_")[0] for n in entry.LLM_QUERIES) == sorted([*(f"op{i}" for i in range(1, 14)), "pipeline"])
     assert set(entry.LLM_QUERIES) <= set(entry.queries()) and set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
