@@ -25,8 +25,8 @@ from tallgene.llm.lexicon import ragged_take
 
 #: Pre-tokens whose ids a Python worker remembers; the memory starts afresh beyond it, results do not depend on it.
 REMEMBERED = 500_000
-#: Rows of a shard in which ranks are counted, and ranks of one length that a slot row covers at most.
-SHARD_ROWS, RANKS = 50_000, 1024
+#: Rows of one length in a shard, about, and ranks of one length that a slot row covers at most.
+SHARD_ROWS, RANKS = 1000, 1024
 
 
 class Ids:
@@ -137,19 +137,20 @@ def best_fit(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "rank", "sequence_id", "bins", "each", "offset"], dtype="int64")
 
 
-def _ranked(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with ``__rank`` from 0 within their ``length``, and the histogram (length, n).
+def _ranked(rows: DataFrame, counts: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``__rank`` from 0 within their ``length``, of which ``counts`` are (length, n).
 
-    A length may hold most rows: its rows are spread by hash over shards, and counts of shards give each shard its first rank.
+    A length may hold most rows: its rows are spread by hash over as many shards as their number asks for, and counts of shards give
+    each shard its first rank.
     """
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
-    dealt = rows.withColumn("__h", F.xxhash64(*order)).withColumn("__shard", F.pmod("__h", F.lit(shards)))
-    counts = kept(dealt.groupBy("length", "__shard").agg(F.count(F.lit(1)).alias("n")), "shards")
+    shards = F.broadcast(counts.select("length", F.ceil(F.col("n") / SHARD_ROWS).alias("__n")))  # as many rows as there are lengths
+    dealt = rows.withColumn("__h", F.xxhash64(*order)).join(shards, "length").withColumn("__shard", F.pmod("__h", "__n")).drop("__n")
+    of_shard = kept(dealt.groupBy("length", "__shard").agg(F.count(F.lit(1)).alias("n")), "shards")
     before = F.sum("n").over(W.Window.partitionBy("length").orderBy("__shard").rowsBetween(W.Window.unboundedPreceding, -1))
-    first = counts.select("length", "__shard", F.coalesce(before, F.lit(0)).alias("__first"))
+    first = of_shard.select("length", "__shard", F.coalesce(before, F.lit(0)).alias("__first"))
     nth = F.row_number().over(W.Window.partitionBy("length", "__shard").orderBy("__h", *order))
     ranked = dealt.withColumn("__nth", nth).join(first, ["length", "__shard"]).withColumn("__rank", F.col("__first") + F.col("__nth") - 1)
-    return ranked.drop("__h", "__shard", "__first", "__nth"), counts.groupBy("length").agg(F.sum("n").alias("n"))
+    return ranked.drop("__h", "__shard", "__first", "__nth")
 
 
 def slots(spark: SparkSession, plan: pd.DataFrame) -> DataFrame:
@@ -169,9 +170,9 @@ def pack(rows: DataFrame, order: list[str], capacity: int = 2048) -> DataFrame:
     """
     wrong = F.raise_error(F.lit(f"lengths must be from 1 to {capacity}"))
     rows = rows.withColumn("length", F.when(F.col("length").between(1, capacity), F.col("length").cast("long")).otherwise(wrong.cast("long")))
-    ranked, histogram = _ranked(rows, order)
-    counts = {r["length"]: r["n"] for r in histogram.collect()}
-    planned = slots(rows.sparkSession, best_fit(counts, capacity))
+    counts = kept(rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    ranked = _ranked(rows, counts, order)
+    planned = slots(rows.sparkSession, best_fit({r["length"]: r["n"] for r in counts.collect()}, capacity))
     s = planned.select(*[F.col(c).alias(f"__s_{c}") for c in planned.columns])
     here = (F.col("length") == F.col("__s_length")) & (F.floor(F.col("__rank") / RANKS) == F.col("__s_block")) & F.col("__rank").between(F.col("__s_rank"), F.col("__s_last"))
     nth = F.col("__rank") - F.col("__s_rank")
