@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallgene.functions.lineage import scratch_path
+from tallgene.llm.graph import kept
 
 # What is detected, in order of precedence, and the lead of a match that stays (titles and secret names).
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Sir|Господин|Κύριος"
@@ -43,6 +43,11 @@ ANY = "|".join(PATTERNS.values())
 STRICT_ATTEMPTS = 12
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once and written once in the plan."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _pick(options: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), (F.pmod(number, F.lit(len(options))) + 1).cast("int"))
 
@@ -94,12 +99,15 @@ def luhn_sum(digits: Column) -> Column:
 
 def _card(core: Column, stream: Column) -> Column:
     """First digit and separators kept; a number that passes Luhn's test still does."""
-    digits = F.regexp_replace(core, "[^0-9]", "")
-    drawn = F.concat(F.substring(core, 1, 1), scrambled(F.substr(core, F.lit(2)), stream))
-    body = F.regexp_replace(drawn, "[^0-9]", "")
-    open_end = F.concat(F.substr(body, F.lit(1), F.length(body) - 1), F.lit("0"))
-    check = F.pmod(10 - luhn_sum(open_end) % 10, F.lit(10)).cast("string")
-    return F.when(luhn_sum(digits) % 10 == 0, F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), check)).otherwise(drawn)
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    valid = _let(digits(core), lambda d: luhn_sum(d) % 10 == 0)
+
+    def checked(drawn: Column) -> Column:
+        open_end = F.regexp_replace(digits(drawn), "[0-9]$", "0")
+        check = F.pmod(10 - _let(open_end, luhn_sum) % 10, F.lit(10)).cast("string")
+        return F.when(valid, F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), check)).otherwise(drawn)
+
+    return _let(F.concat(F.substring(core, 1, 1), scrambled(F.substr(core, F.lit(2)), stream)), checked)
 
 
 DOMAIN = r"@(.*)\.[^.@]+$"
@@ -120,15 +128,17 @@ def _iban(core: Column, stream: Column) -> Column:
 
 
 def _name(core: Column, gender: Column, stream: Column) -> Column:
+    def of(script: Column) -> Column:
+        given, surname = F.lit(""), F.lit("")
+        for kind, syllables in SYLLABLES.items():
+            made = F.concat(*[_pick(syllables, _number(stream, 9 + 4 * i)) for i in range(4)])
+            surname = F.when(script == kind, F.initcap(made)).otherwise(surname)
+            for sex in "mf":
+                given = F.when((script == kind) & (gender == sex), _pick(GIVEN[kind, sex], _number(stream, 1))).otherwise(given)
+        return F.when(core.contains(" "), F.concat(given, F.lit(" "), surname)).otherwise(surname)
+
     script = F.when(core.rlike(r"\p{IsCyrillic}"), "cyrillic").when(core.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    given, surname = F.lit(""), F.lit("")
-    for kind, syllables in SYLLABLES.items():
-        made = F.concat(*[_pick(syllables, _number(stream, 9 + 4 * i)) for i in range(4)])
-        surname = F.when(script == kind, F.initcap(made)).otherwise(surname)
-        for sex in "mf":
-            given = F.when((script == kind) & (gender == sex), _pick(GIVEN[kind, sex], _number(stream, 1))).otherwise(given)
-    whole = F.when(core.contains(" "), F.concat(given, F.lit(" "), surname)).otherwise(surname)
-    return F.when((core == F.upper(core)) & (F.length(core) > 1), F.upper(whole)).otherwise(whole)
+    return _let(_let(script, of), lambda whole: F.when((core == F.upper(core)) & (F.length(core) > 1), F.upper(whole)).otherwise(whole))
 
 
 def _phone(core: Column, stream: Column) -> Column:
@@ -173,29 +183,30 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.select("m.kind", "m.core", "m.gender").distinct()
 
 
+def _drawn(tried: DataFrame, secret: str) -> DataFrame:
+    """(kind, core, gender, attempt, s), written: the draws are made once, over all tasks and not as many as the bytes would ask for."""
+    one = F.array(F.struct("kind", F.lit("").alias("lead"), "core", "gender", "attempt"))
+    parts = int(tried.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept(tried.repartition(parts, "kind", "core", "gender").withColumn("s", F.element_at(surrogates(one, secret), 1)["surrogate"]), "drawn")
+
+
 def collisions(found: DataFrame, secret: str) -> DataFrame:
     """(kind, core, gender, attempt) of entities whose first surrogate is another entity's too, or is a real entity.
 
     In each round those that collide, all but the smallest of a surrogate, draw again, until surrogates are distinct and
-    none of them occurs in the corpus. Each round is two aggregations over the table of distinct entities.
+    none of them occurs in the corpus. Each round is two aggregations over the table of distinct entities, and draws for those that collide.
     """
-    spark = found.sparkSession
     identity = ["kind", "core", "gender"]
-    moved = spark.createDataFrame([], "kind string, core string, gender string, attempt int")
+    drawn = _drawn(found.withColumn("attempt", F.lit(0)), secret)
+    real = drawn.select("kind", F.col("core").alias("s")).distinct().withColumn("real", F.lit(True))
     while True:
-        tried = found.join(moved, identity, "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
-        one = F.array(F.struct("kind", F.lit("").alias("lead"), "core", "gender", "attempt"))
-        drawn = tried.withColumn("s", F.element_at(surrogates(one, secret), 1)["surrogate"])
         first = drawn.groupBy("kind", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "core", "gender")).alias("owner"))
-        real = found.select("kind", F.col("core").alias("s")).distinct().withColumn("real", F.lit(True))
         bad = first.join(real, ["kind", "s"], "left").where((F.col("n") > 1) | F.col("real"))
         again = drawn.join(bad, ["kind", "s"]).where(F.col("real") | (F.struct("attempt", "core", "gender") != F.col("owner")))
-        path = scratch_path(spark, "collisions")
-        again.select(*identity, (F.col("attempt") + 1).alias("attempt")).write.parquet(path)
-        again = spark.read.parquet(path)
+        again = kept(again.select(*identity, (F.col("attempt") + 1).alias("attempt")), "collisions")
         if again.isEmpty():
-            return moved
-        moved = moved.join(again, identity, "left_anti").unionByName(again)
+            return drawn.where("attempt > 0").select(*identity, "attempt")
+        drawn = kept(drawn.join(again, identity, "left_anti").select(*identity, "attempt", "s").unionByName(_drawn(again, secret)), "drawn")
 
 
 def _name_of(m: Column) -> Column:
@@ -212,24 +223,20 @@ def replace_all(docs: DataFrame, *, secret: str = "tallgene", text: str = "text"
     a column of the name ``entities`` is replaced. DataFrame functions only: one narrow pass rewrites the texts, and only when
     there are collisions the texts that hold them are joined by their hash.
     """
-    spark = docs.sparkSession
-    path = scratch_path(spark, "entities")
-    entities(docs, text).write.parquet(path)
-    moved = collisions(spark.read.parquet(path), secret)
-    whole = docs.drop("entities").withColumn("_found", found_in(F.col(text)))
+    moved = collisions(kept(entities(docs, text), "entities"), secret)
+    whole = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), found_in(F.col(text)).alias("found"))
     if moved.isEmpty():
         attempt = lambda m: F.lit(0)
     else:
-        touched = docs.select(F.sha2(F.col(text), 256).alias("_sha"), F.explode(found_in(F.col(text))).alias("m")).select("_sha", _name_of(F.col("m")).alias("_name")).distinct()
-        moves = moved.select(F.concat_ws("\u0001", "kind", "core", "gender").alias("_name"), "attempt")
-        maps = touched.join(moves, "_name").groupBy("_sha").agg(F.map_from_entries(F.collect_list(F.struct("_name", "attempt"))).alias("_moved"))
-        whole = whole.withColumn("_sha", F.sha2(F.col(text), 256)).join(maps, "_sha", "left").drop("_sha")
-        attempt = lambda m: F.coalesce(F.element_at(F.col("_moved"), _name_of(m)), F.lit(0))
-    tried = F.transform("_found", lambda m: F.struct(*[m[c].alias(c) for c in ("kind", "lead", "core", "gender")], attempt(m).alias("attempt")))
-    whole = whole.withColumn("_made", surrogates(tried, secret))
-    tails = F.transform("_made", lambda x: F.concat(x["lead"], x["surrogate"]))
-    rebuilt = F.array_join(F.zip_with(F.split(F.col(text), ANY, -1), tails, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    shown = F.transform("_made", lambda x: F.struct(x["kind"].alias("kind"), x["surrogate"].alias("surrogate")))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "entities")]
-    changed = F.when(F.size("_made") > 0, rebuilt).otherwise(F.col(text)).alias(text)
-    return whole.select(*kept, changed, shown.alias("entities"))
+        touched = docs.select(F.sha2(F.col(text), 256).alias("sha"), F.explode(found_in(F.col(text))).alias("m")).select("sha", _name_of(F.col("m")).alias("name")).distinct()
+        moves = moved.select(F.concat_ws("\u0001", "kind", "core", "gender").alias("name"), "attempt")
+        maps = touched.join(moves, "name").groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias("moved"))
+        whole = whole.withColumn("sha", F.sha2("text", 256)).join(maps, "sha", "left")
+        attempt = lambda m: F.coalesce(F.element_at(F.col("moved"), _name_of(m)), F.lit(0))
+    tried = F.transform("found", lambda m: F.struct(*[m[c].alias(c) for c in ("kind", "lead", "core", "gender")], attempt(m).alias("attempt")))
+    whole = whole.withColumn("made", surrogates(tried, secret))
+    tails = F.transform("made", lambda x: F.concat(x["lead"], x["surrogate"]))
+    rebuilt = F.array_join(F.zip_with(F.split("text", ANY, -1), tails, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    shown = F.transform("made", lambda x: F.struct(x["kind"].alias("kind"), x["surrogate"].alias("surrogate")))
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (text, "entities")]
+    return whole.select(*others, F.when(F.size("made") > 0, rebuilt).otherwise(F.col("text")).alias(text), shown.alias("entities"))

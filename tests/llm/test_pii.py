@@ -74,3 +74,9 @@ def test_every_pattern_alone_in_a_text(spark):
     for i, text in enumerate(texts):
         assert [e["kind"] for e in got[i]["entities"]] == [kinds[i]], text
         assert got[i]["text"] != text and not any(x in got[i]["text"] for x in (secret, "QWERTYUIOPASDFGH", "ann.lee", "Schmidt", *numbers.values()))
+
+
+def test_columns_of_the_input_keep_their_values(spark):
+    rows = [(1, "Mail a.b@c.example.com now", 5, "m", "s", 9)]
+    got = pii.replace_all(spark.createDataFrame(rows, "doc_id long, text string, made int, found string, moved string, row int")).first()
+    assert (got["made"], got["found"], got["moved"], got["row"]) == (5, "m", "s", 9) and "a.b@c" not in got["text"]
