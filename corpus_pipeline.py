@@ -19,19 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of the shingle join; rows that repeat a doc_id stay once.
-
-    Documents without words are linked with nothing and stay, as rows without doc_id do. What goes is joined, not what stays:
-    it is the smaller side.
-    """
+    """One document of each component of the shingle join, see ``jaccard.without_near_copies``."""
     short_batches(spark)
-    path = scratch_path(spark, "components")
-    jaccard.jaccard_components(docs).write.parquet(path)
-    found = spark.read.parquet(path).where("n_shingles > 0 AND doc_id IS NOT NULL")
-    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return jaccard.without_near_copies(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
