@@ -348,25 +348,30 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group that ``jaccard_components`` links: the one of smallest doc_id, in all columns as it was.
 
     A row is told by doc_id and text, so different texts under one doc_id are linked as different documents, and each stays unless a link
-    takes it. Rows that also share the text stay once, the one whose other columns are smallest. Rows without words are linked
+    takes it. Rows that also share the text stay once, the one whose other columns have the smallest hash. Rows without words are linked
     with nothing and all stay, rows without doc_id are documents like others, behind those with one. What goes is joined, not what stays.
     """
-    names = docs.columns
-    told = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
-    several = told.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").select(F.col("id").alias("many"))
-    repeated = told.join(several, told["id"].eqNullSafe(F.col("many")), "left_semi")
-    texts = kept(repeated.select("id", F.sha2("text", 256).alias("sha")).distinct().withColumn("nth", F.monotonically_increasing_id()), "repeated")
-    below = F.least(F.lit(0), F.coalesce(F.lit(docs.agg(F.min(F.col("doc_id").cast("long"))).first()[0]).cast("long"), F.lit(0)))
-    own = texts.select(F.col("id").alias("t_id"), F.col("sha").alias("t_sha"), (below - 1 - F.col("nth")).alias("own"))
-    keyed = told.join(own, told["id"].eqNullSafe(own["t_id"]) & F.sha2("text", 256).eqNullSafe(F.col("t_sha")), "left")
-    keyed = keyed.select("row", "id", "text", F.coalesce("own", "id").alias("key"), F.col("own").isNotNull().alias("repeated"))
-    linked_ = kept(jaccard_components(keyed.select(F.col("key").alias("doc_id"), "text")).where("n_shingles > 0").distinct(), "components")
-    found = linked_.join(own.select("t_id", F.col("own").alias("doc_id"), F.lit(True).alias("is_own")), "doc_id", "left")
-    place = F.struct(F.when(F.col("is_own"), F.col("t_id").isNull()).otherwise(False).alias("last"), F.when(F.col("is_own"), F.col("t_id")).otherwise(F.col("doc_id")).alias("id"), F.col("doc_id").alias("key"))
-    first = found.groupBy("component_id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = linked_.join(first, "component_id").where(F.col("doc_id") != F.col("first.key")).select(F.col("doc_id").alias("key"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    several = kept(ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").select("id"), "repeated")
+    if several.isEmpty():
+        gone = kept(jaccard_components(docs).where("n_shingles > 0 AND doc_id <> component_id").select("doc_id"), "copies")
+        return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    text = F.col("row.text")
+    again = several.withColumnRenamed("id", "again")
+    repeated = rows.join(again, rows["id"].eqNullSafe(again["again"]), "left_semi").select("id", F.sha2(text, 256).alias("sha")).distinct()
+    lowest = F.least(F.lit(0), F.coalesce(several.select(F.min("id")).scalar(), F.lit(0)), F.coalesce(ids.select(F.min("id")).scalar(), F.lit(0)))
+    own = kept(kept(repeated.withColumn("nth", F.monotonically_increasing_id()), "repeated").select(F.col("id").alias("of"), "sha", (lowest - 1 - F.col("nth")).alias("own")), "keys")
+    same = rows["id"].eqNullSafe(own["of"]) & F.sha2(text, 256).eqNullSafe(own["sha"])
+    keyed = rows.join(own, same, "left").select("row", F.coalesce("own", "id").alias("key"), F.col("own").isNotNull().alias("repeated"))
+    found = kept(jaccard_components(keyed.select(F.col("key").alias("doc_id"), text.alias("text"))).where("n_shingles > 0").distinct(), "components")
+    of = own.select(F.col("own").alias("doc_id"), "of", F.lit(True).alias("renamed"))
+    real = F.when(F.col("renamed"), F.col("of")).otherwise(F.col("doc_id"))
+    first = F.min(F.struct(real.isNull().alias("last"), real.alias("id"), F.col("doc_id").alias("key"))).alias("first")
+    stays = found.join(of, "doc_id", "left").groupBy("component_id").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", F.col("first.key").alias("stays"))
+    gone = kept(found.join(stays, "component_id").where("doc_id <> stays").select(F.col("doc_id").alias("key")), "copies")
     left = keyed.join(gone, "key", "left_anti")
-    worded = F.col("repeated") & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    others = F.xxhash64(*[F.to_json(F.struct(F.col("row").getField(c).alias("x"))) for c in names if c != "text"])
-    once = left.where(worded).groupBy("key").agg(F.min_by("row", others).alias("row"))
-    return left.where(~worded).select("row").unionByName(once.select("row")).select(*[F.col("row").getField(c).alias(c) for c in names])
+    once = F.col("repeated") & F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    others = F.xxhash64(*[F.to_json(F.struct(F.col("row").getField(c).alias("x"))) for c in docs.columns if c != "text"])
+    single = left.where(once).groupBy("key").agg(F.min_by("row", others).alias("row"))
+    return left.where(~once).select("row").unionByName(single.select("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
