@@ -15,6 +15,7 @@ from tallgene.functions.lineage import stable
 from tallgene.functions.lists import short_list
 from tallgene.functions.ranks import quantiles
 from tallgene.functions.tdist import t_quantile_975
+from tallgene.operators.variable_genes import residual_variance, standardized_variance, top_by_variance
 
 CONTROL = "Control"
 AVERAGE = "Average_Perturbation_Train"
@@ -177,12 +178,18 @@ def gene_dispersion(expr, obs, flavor: str, batch: list[str]) -> DataFrame:
 
 
 def highly_variable_genes(expr, obs, flavor="seurat", n_top_genes=None, n_bins=20, min_disp=0.5, max_disp=None,
-                          min_mean=0.0125, max_mean=3.0, batch_key=None) -> DataFrame:
+                          min_mean=0.0125, max_mean=3.0, batch_key=None, span=0.3, theta=100.0, clip=None) -> DataFrame:
     """agg_hvg: dispersion normalised inside bins of the mean; top n or cut-offs; batches combined.
 
+    ``seurat_v3`` and ``pearson_residuals`` take raw counts and need ``n_top_genes``, see :mod:`tallgene.operators.variable_genes`.
     The gene table is small (one row per gene and batch), so windows over it are bounded by the genome.
     """
     batch = [batch_key] if batch_key else []
+    if flavor in ("seurat_v3", "pearson_residuals"):
+        if n_top_genes is None:
+            raise ValueError(f"flavor {flavor} needs n_top_genes")
+        scored = standardized_variance(expr, obs, batch, span) if flavor == "seurat_v3" else residual_variance(expr, obs, batch, theta, clip)
+        return top_by_variance(scored, batch, n_top_genes, batches_first=flavor == "pearson_residuals")
     g = gene_dispersion(expr, obs, flavor, batch)
     every = Window.partitionBy(*batch)
     if flavor == "seurat":

@@ -199,6 +199,67 @@ def _(t):
     return rounded(out, "mean", "dispersion", "dispersion_norm")
 
 
+def fitted_sql(of: str) -> str:
+    """Common table expressions of the local quadratic fit of y on x over all pairs of points (b, gene, x, y) of ``of``."""
+    return f""", q AS (SELECT b, count(*) AS n, least(count(*), greatest(3, CAST(floor(count(*) * 0.3 + 1e-5) AS BIGINT))) AS q FROM {of} GROUP BY b),
+  h AS (SELECT p.b, p.gene, p.x, list_sort(list(abs(o.x - p.x)))[any_value(q)] AS h FROM {of} p JOIN {of} o USING (b) JOIN q USING (b) GROUP BY p.b, p.gene, p.x),
+  u AS (SELECT h.b, h.gene, CASE WHEN h > 0 THEN (o.x - h.x) / h WHEN o.x = h.x THEN 0 ELSE 2 END AS u, o.y FROM h JOIN {of} o USING (b) WHERE abs(o.x - h.x) <= h),
+  k AS (SELECT b, gene, u, y, pow(1 - pow(abs(u), 3), 3) AS w FROM u WHERE abs(u) < 1),
+  mo AS (SELECT b, gene, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3, sum(w * u * u * u * u) AS s4,
+    sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * u * u * y) AS t2 FROM k GROUP BY b, gene),
+  de AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS d2, s0 * s2 - s1 * s1 AS d1 FROM mo),
+  fit AS (SELECT b, gene, CASE WHEN d2 > 1e-10 * s0 * s0 * s0 THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / d2
+    WHEN d1 > 1e-10 * s0 * s0 THEN (t0 * s2 - t1 * s1) / d1 ELSE t0 / s0 END AS fit FROM de)"""
+
+
+V3_SQL = """, n AS (SELECT b, count(*)::DOUBLE AS n FROM o GROUP BY b), e AS (SELECT b, gene, value FROM expr JOIN o USING (cell_id)),
+  m AS (SELECT b, gene, any_value(n) AS n, sum(value) / any_value(n) AS mean, (sum(value * value) - sum(value) * (sum(value) / any_value(n))) / (any_value(n) - 1) AS v
+    FROM e JOIN n USING (b) GROUP BY b, gene),
+  pt AS (SELECT b, gene, log10(mean) AS x, log10(v) AS y FROM m WHERE v > 0)""" + fitted_sql("pt") + """,
+  c AS (SELECT m.*, coalesce(pow(10, fit), 1) AS sd2 FROM m LEFT JOIN fit USING (b, gene)),
+  z AS (SELECT b, gene, any_value(mean) AS mean, any_value(v) AS v,
+    (sum(pow(least(value, sqrt(sd2) * sqrt(n) + mean) - mean, 2)) + (any_value(n) - count(*)) * pow(any_value(mean), 2)) / ((any_value(n) - 1) * any_value(sd2)) AS vn
+    FROM e JOIN c USING (b, gene) GROUP BY b, gene),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(vn, 9) DESC, gene) - 1 AS r FROM z),
+  g AS (SELECT gene, avg(mean) AS mean, avg(v) AS v, avg(vn) AS vn, count(*) FILTER (r < 100) AS nb, median(r) FILTER (r < 100) AS rank FROM rk GROUP BY gene)"""
+PEARSON_SQL = """, e AS (SELECT b, cell_id, gene, value FROM expr JOIN o USING (cell_id)), n AS (SELECT b, count(*)::DOUBLE AS n FROM o GROUP BY b),
+  ct AS (SELECT b, cell_id, sum(value) AS total FROM e GROUP BY ALL), bt AS (SELECT b, sum(total) AS mass FROM ct GROUP BY b),
+  gs AS (SELECT b, gene, sum(value) AS s, sum(value * value) AS ss FROM e GROUP BY ALL),
+  d AS (SELECT b, gene, n, s, ss, greatest(-sqrt(n), least(sqrt(n), (coalesce(value, 0) - total * s / mass) / sqrt(total * s / mass + pow(total * s / mass, 2) / 100))) AS r
+    FROM gs JOIN bt USING (b) JOIN n USING (b) JOIN ct USING (b) LEFT JOIN e USING (b, cell_id, gene)),
+  z AS (SELECT b, gene, any_value(s / n) AS mean, any_value((ss - s * s / n) / (n - 1)) AS v, sum(r * r) / any_value(n) - pow(sum(r) / any_value(n), 2) AS vn FROM d GROUP BY b, gene),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(vn, 9) DESC, gene) - 1 AS r FROM z),
+  g AS (SELECT gene, avg(mean) AS mean, avg(v) AS v, avg(vn) AS vn, count(*) FILTER (r < 100) AS nb, median(r) FILTER (r < 100) AS rank FROM rk GROUP BY gene)"""
+TOP_SQL = """SELECT gene, round(mean, 6) AS mean, round(v, 6) AS variance, round(vn, 6) AS variance_norm, nb AS n_batches_variable, rank,
+  row_number() OVER (ORDER BY {order}, round(vn, 9) DESC, gene) <= 100 AS highly_variable FROM g"""
+ONE_BATCH, BATCHES = ", o AS (SELECT cell_id, 1 AS b FROM obs)", ", o AS (SELECT cell_id, batch AS b FROM obs)"
+RANK_FIRST, BATCHES_FIRST = "rank NULLS LAST, nb DESC", "nb DESC, rank NULLS LAST"
+
+
+def top_variable(t, flavor, **options):
+    return rounded(st.highly_variable_genes(t.expr, t.obs, flavor=flavor, n_top_genes=100, **options), "mean", "variance", "variance_norm")
+
+
+@query("agg_hvg_seurat_v3", views("expr", "obs") + ONE_BATCH + V3_SQL + TOP_SQL.format(order=RANK_FIRST))
+def _(t):
+    return top_variable(t, "seurat_v3")
+
+
+@query("agg_hvg_seurat_v3_batch", views("expr", "obs") + BATCHES + V3_SQL + TOP_SQL.format(order=RANK_FIRST))
+def _(t):
+    return top_variable(t, "seurat_v3", batch_key="batch")
+
+
+@query("agg_hvg_pearson_residuals", views("expr", "obs") + ONE_BATCH + PEARSON_SQL + TOP_SQL.format(order=BATCHES_FIRST))
+def _(t):
+    return top_variable(t, "pearson_residuals")
+
+
+@query("agg_hvg_pearson_residuals_batch", views("expr", "obs") + BATCHES + PEARSON_SQL + TOP_SQL.format(order=BATCHES_FIRST))
+def _(t):
+    return top_variable(t, "pearson_residuals", batch_key="batch")
+
+
 DE_SQL = """, n AS (SELECT perturbation, count(*)::DOUBLE AS n FROM pobs GROUP BY 1),
   s AS (SELECT perturbation, gene, sum(value) AS s, sum(value * value) AS ss FROM pexpr JOIN pobs USING (cell_id) GROUP BY 1, 2),
   f AS (SELECT n.perturbation, n.n, g.gene, coalesce(s.s, 0) AS s, coalesce(s.ss, 0) AS ss FROM n CROSS JOIN (SELECT DISTINCT gene FROM s) g
