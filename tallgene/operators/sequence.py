@@ -92,15 +92,54 @@ def chunk_fixed(seqs, size: int, drop_n: bool = True, reverse: bool = False) ->
     return out.where(~F.col("seq").rlike("^N+$")) if drop_n else out
 
 
-def chunk_random(seqs, low: int, high: int, multiplier: int, seed=42) -> DataFrame:
-    """seq_chunk_random: consecutive chunks with hashed lengths in low..high times a multiplier, all-N dropped."""
-    most = F.ceil(F.length("seq") / F.lit(low * multiplier)).cast("int")
-    rows = seqs.where(F.length("seq") > 0).select("chrom", F.length("seq").alias("len"), F.posexplode(F.sequence(F.lit(0), most - 1)).alias("k", "_"))
+def chunk_tiles(tiles, size: int, drop_n: bool = True, reverse: bool = False) -> DataFrame:
+    """seq_chunk_fixed over tiles (chrom, tile, start, seq) of any width: the chunks of ``chunk_fixed`` without a row for the whole sequence.
+
+    A tile is cut at the borders of chunks. What lies inside it is finished there; only the pieces at its two ends, whose chunk goes on
+    in a neighbour, are exchanged and joined by (chrom, chunk), in order of their place.
+    """
+    lead = F.pmod(-F.col("start"), F.lit(size)).cast("int")  # bases that end a chunk of the tile before
+    head = F.when(lead > 0, F.array(F.substr("seq", F.lit(1), lead))).otherwise(F.array().cast("array<string>"))
+    rest = F.regexp_extract_all(F.substr("seq", lead + 1), F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
+    cut = tiles.where(F.length("seq") > 0).select("chrom", "start", F.posexplode(F.concat(head, rest)).alias("i", "seq"))
+    first = F.floor(F.col("start") / size)
+    pieces = cut.select("chrom", (first + F.col("i")).alias("chunk"), F.greatest(F.col("start"), (first + F.col("i")) * size).alias("at"), "seq")
+    whole = F.length("seq") == size
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "seq"))), lambda p: p["seq"]), "")
+    joined = pieces.where(~whole).groupBy("chrom", "chunk").agg(text.alias("seq"))
+    out = pieces.where(whole).select("chrom", "chunk", "seq").unionByName(joined)
+    if reverse:
+        out = out.withColumn("rc", reverse_complement("seq"))
+    return out.where(~F.col("seq").rlike("^N+$")) if drop_n else out
+
+
+#: Chunk numbers whose sizes are added up in one task.
+RUN = 1024
+
+
+def random_cuts(sizes, low: int, high: int, multiplier: int, seed=42) -> DataFrame:
+    """(chrom, k, start, end) of consecutive chunks with hashed lengths in low..high times a multiplier, up to the length (chrom, len).
+
+    Starts are prefix sums in two levels: numbers fall into runs, run totals give each run its first start, so a chromosome is many tasks.
+    """
+    step = low * multiplier
+    runs = sizes.where("len > 0").select("chrom", "len", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("len") - 1) / (step * RUN)))).alias("run"))
+    last = F.least(F.col("run") * RUN + RUN - 1, F.floor((F.col("len") - 1) / step))
+    numbers = runs.repartition("chrom", "run").select("chrom", "len", "run", F.explode(F.sequence(F.col("run") * RUN, last)).alias("k"))
     size = (F.lit(low) + F.floor(hash_uniform(seed, "chrom", "k") * (high - low + 1))) * multiplier
-    w = Window.partitionBy("chrom").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = rows.withColumn("size", size).withColumn("start", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("start") < F.col("len"))
-    piece = F.substring(F.col("seq"), (F.col("start") + 1).cast("int"), F.col("size").cast("int"))
-    return cuts.join(seqs, "chrom").select("chrom", "k", "start", piece.alias("seq")).where(~F.col("seq").rlike("^N+$"))
+    numbers = numbers.withColumn("size", size)
+    before = Window.partitionBy("chrom").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = stable(numbers.groupBy("chrom", "run").agg(F.sum("size").alias("total")).withColumn("first", F.coalesce(F.sum("total").over(before), F.lit(0))))
+    inside = Window.partitionBy("chrom", "run").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("first") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    placed = numbers.join(totals.select("chrom", "run", "first"), ["chrom", "run"]).withColumn("start", start).where(F.col("start") < F.col("len"))
+    return placed.select("chrom", F.col("k").cast("int").alias("k"), "start", F.least(F.col("start") + F.col("size"), F.col("len")).alias("end"))
+
+
+def chunk_random(tiles, width: int, low: int, high: int, multiplier: int, seed=42) -> DataFrame:
+    """seq_chunk_random: consecutive chunks with hashed lengths in low..high times a multiplier, all-N dropped, cut from tiles of ``width``."""
+    cuts = random_cuts(tile_lengths(tiles), low, high, multiplier, seed)
+    return extract(tiles, cuts, width).select("chrom", "k", "start", "seq").where(~F.col("seq").rlike("^N+$"))
 
 
 def to_tiles(seqs, width: int) -> DataFrame:

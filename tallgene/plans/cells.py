@@ -138,9 +138,9 @@ def _(t):
   FROM seqs, LATERAL (SELECT unnest(range(0, (length(seq) + 15) // 16)) AS i))
   SELECT chrom, chunk, seq FROM c WHERE NOT regexp_matches(seq, '^N+$')""")
 def _(t):
-    from tallgene.operators.sequence import chunk_fixed
+    from tallgene.operators.sequence import chunk_tiles
 
-    return fl.drop_all_n(chunk_fixed(t.seqs, 16, drop_n=False)).select("chrom", "chunk", "seq")
+    return fl.drop_all_n(chunk_tiles(t.tiles, 16, drop_n=False))
 
 
 @query("prj_move_targets", views("bexpr", "bobs") + """SELECT cell_id, label,

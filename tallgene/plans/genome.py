@@ -37,14 +37,14 @@ def _(t):
 
 @query("seq_chunk_fixed", S + ", " + chunk_cte("c", 128) + f" SELECT chrom, chunk, seq, {RC.format('seq')} AS rc FROM c WHERE NOT regexp_matches(seq, '^N+$')")
 def _(t):
-    return sq.chunk_fixed(t.seqs, 128, reverse=True).select("chrom", "chunk", "seq", "rc")
+    return sq.chunk_tiles(t.tiles, 128, reverse=True).select("chrom", "chunk", "seq", "rc")
 
 
 @query("seq_chunk_random", S + f""", k AS (SELECT chrom, seq, k, (1 + floor({hu(42, 'chrom', 'k')} * 4)) * 50 AS size FROM seqs, LATERAL (SELECT unnest(range(0, (length(seq) + 49) // 50)) AS k)),
   c AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY chrom ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM k)
   SELECT chrom, CAST(k AS INTEGER) AS k, start, substr(seq, start + 1, CAST(size AS BIGINT)) AS seq FROM c WHERE start < length(seq) AND NOT regexp_matches(substr(seq, start + 1, CAST(size AS BIGINT)), '^N+$')""")
 def _(t):
-    return sq.chunk_random(t.seqs, 1, 4, 50)
+    return sq.chunk_random(t.tiles, TILE, 1, 4, 50)
 
 
 ISL = """, run AS (SELECT chrom, seq, unnest(regexp_extract_all(seq, 'N+|[^N]+')) AS run, generate_subscripts(regexp_extract_all(seq, 'N+|[^N]+'), 1) AS i FROM seqs),
@@ -127,7 +127,7 @@ def _(t):
 @query("seq_match_merge", S + ", " + chunk_cte("c", 24) + """, l AS (SELECT DISTINCT seq, length(regexp_replace(seq, 'N', '', 'g')) AS label FROM c WHERE length(regexp_replace(seq, 'N', '', 'g')) > 6)
   SELECT chrom, chunk, seq, label FROM c JOIN l USING (seq) WHERE NOT regexp_matches(seq, '^N+$')""")
 def _(t):
-    c = sq.chunk_fixed(t.seqs, 24)
+    c = sq.chunk_tiles(t.tiles, 24)
     labelled = c.select("seq").distinct().withColumn("label", F.length(F.regexp_replace("seq", "N", "")).cast("bigint")).where("label > 6")
     return sq.match_merge(c.select("chrom", "chunk", "seq"), labelled)
 
@@ -167,7 +167,7 @@ def contacts(t):
 
 
 def chunks(t):
-    return sq.chunk_fixed(t.seqs, RES, drop_n=False).select("chrom", "chunk", "seq")
+    return sq.chunk_tiles(t.tiles, RES, drop_n=False)
 
 
 PAIR = """, pr AS (SELECT a.chrom, a.chunk AS bin1, b.chunk AS bin2, a.seq AS seq1, b.seq AS seq2, (coalesce(oe, 0) <> 0)::INT::DOUBLE AS label FROM c a JOIN c b ON a.chrom = b.chrom AND b.chunk = a.chunk + 2
@@ -266,7 +266,7 @@ SITE = FIXED + """, ex AS (SELECT chrom, pos + o AS pos, substr(allele, o + 1, 1
 
 def variants(t):
     c = F.col("chunk")
-    v = sq.chunk_fixed(t.seqs, STEP, drop_n=False).where(F.length("seq") == STEP).select(
+    v = sq.chunk_tiles(t.tiles, STEP, drop_n=False).where(F.length("seq") == STEP).select(
         "chrom", (c * STEP + 5).alias("pos"), "chunk", F.substring(F.col("seq"), F.lit(6), (1 + c % 3).cast("int")).alias("ref"))
     alt2 = F.when(c % 2 == 0, F.substring("ref", 1, 1)).otherwise(F.concat("ref", F.lit("TT")))
 
