@@ -238,12 +238,12 @@ def sample_n(df, n: int, keys: list[str], seed=42) -> DataFrame:
 
 def sample_n_per_group(df, n: int, group: str, keys: list[str], seed=42) -> DataFrame:
     """smp_n_per_group: exactly n per group, smaller groups dropped."""
-    return hash_ranks(df, [group], seed, keys, "_rn", total="_n").where((F.col("_n") >= n) & (F.col("_rn") <= n)).drop("_rn", "_n")
+    return hash_ranks(df, [group], seed, keys, "_rn", total="_n", upto=n).where(F.col("_n") >= n).drop("_rn", "_n")
 
 
 def sample_upto_n_per_group(df, n: int, group: str, keys: list[str], seed=42) -> DataFrame:
     """smp_upto_n_per_group."""
-    return hash_ranks(df, [group], seed, keys, "_rn").where(F.col("_rn") <= n).drop("_rn")
+    return hash_ranks(df, [group], seed, keys, "_rn", upto=n).drop("_rn")
 
 
 def sample_fraction(df, fraction: float, keys: list[str], seed=42) -> DataFrame:

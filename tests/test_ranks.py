@@ -106,3 +106,38 @@ def test_hot_name_gets_all_suffixes(spark):
     out = so.unique_cells(df, "pre", "c", "id")
     assert out.select("cell_name").distinct().count() == 900
     assert out.where("id = 897").first()["cell_name"] == "p_x-299"
+
+
+@pytest.mark.parametrize("bound", [1 << 16, 40, 3])
+def test_values_are_cut_by_their_order(skewed, spark, bound, monkeypatch):
+    monkeypatch.setattr(ranks, "BOUND", bound)
+    pdf, df = skewed
+    odd = [-1e300, -2.0, -1e-320, -0.0, 0.0, 5e-324, 1.0, 1.0000000000000002, 2.0, 1.9999999999999998, 1e300, float("inf"), float("-inf"), float("nan")]
+    rows = [(i, g, float(v)) for i, (g, v) in enumerate([*zip(pdf["g"], pdf["v"], strict=True), *(("a", v) for v in odd), *((None, v / 7) for v in range(-300, 300))])]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(5)
+    for by in (["g"], []):
+        got = ranks.value_ranks(df, by, "v", {"ids": F.col("id")}).collect()
+        groups = {}
+        for i, g, v in rows:
+            groups.setdefault(g if by else "all", []).append((v != v, 0.0 if v != v else v, i))
+        seen = 0
+        for r in got:
+            mine = groups[r["g"] if by else "all"]
+            v = (r["v"] != r["v"], 0.0 if r["v"] != r["v"] else r["v"])
+            before, here = [m for m in mine if m[:2] < v], [m for m in mine if m[:2] == v]
+            assert (r["n"], r["n_before"], r["n_total"], r["ids_before"]) == (len(here), len(before), len(mine), sum(m[2] for m in before))
+            seen += r["n"]
+        assert seen == len(rows)
+
+
+def test_other_types_have_ranks(spark):
+    df = spark.sql("SELECT id, date_add(date'1960-01-01', CAST(id AS INT)) AS d, CAST(id AS DECIMAL(9,2)) AS c, CAST(id - 5 AS INT) AS i FROM range(12)")
+    for c in "dci":
+        assert [r["n_before"] for r in ranks.value_ranks(df, [], c).orderBy(c).collect()] == list(range(12))
+
+
+def test_few_rows_are_ranked_to_take_few(skewed):
+    _, df = skewed
+    full = {(r["g"], r["id"]): r["rn"] for r in ranks.hash_ranks(df, ["g"], 3, ["id"]).collect()}
+    some = {(r["g"], r["id"]): r["rn"] for r in ranks.hash_ranks(df, ["g"], 3, ["id"], upto=5).collect()}
+    assert some == {k: v for k, v in full.items() if v <= 5}
