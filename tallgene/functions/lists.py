@@ -1,20 +1,28 @@
-"""Short reference lists (genes, labels, changed values) carried as one array value."""
+"""Every row next to every item of a list (genes, labels, changed values), whatever the length of either."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIST_LIMIT = 500_000
+from tallgene.functions.lineage import stable
 
+#: Items of a piece, and how many copies of a piece share the rows that meet it.
+PIECE, COPIES = 4096, 16
 
-def short_list(df: DataFrame, item: Column | str, distinct: bool = False, limit: int = LIST_LIMIT) -> Column:
-    """All items as one sorted array; a list longer than a gene universe can be is an error.
 
-    At most ``limit + 1`` items are ever brought together, whatever the size of ``df``.
+def beside(rows: DataFrame, items: DataFrame, *cols: str, distinct: bool = False) -> DataFrame:
+    """``rows`` with the columns ``cols`` of every row of ``items``; with ``distinct`` of their distinct values that are not null.
+
+    The list is a table of numbered pieces of about PIECE items. A row asks for every piece by number and meets it by an equi join, so no
+    value is longer than a piece; a piece has copies, of which a row meets one, so that no task gets all rows of a piece. Where the
+    list is short, Catalyst broadcasts it. An empty list gives no rows.
     """
-    c = F.col(item) if isinstance(item, str) else item
-    rows = df.select(c.alias("x"))
-    rows = (rows.distinct() if distinct else rows).limit(limit + 1)
-    items = F.array_sort(F.collect_list("x"))
-    return rows.select(F.when(F.count("*") > limit, F.raise_error(F.lit("reference list too long"))).otherwise(items)).scalar()
+    listed = items.select(*cols)
+    listed = stable(listed.where(" AND ".join(f"`{c}` IS NOT NULL" for c in cols)).distinct() if distinct else listed)
+    n = max(1, -(-listed.count() // PIECE))
+    pieces = listed.groupBy(F.pmod(F.xxhash64(*cols), F.lit(n)).alias("_piece")).agg(F.collect_list(F.struct(*cols)).alias("_items"))
+    copies = 1 if n == 1 else COPIES
+    table = pieces.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    asking = rows.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("_copy", F.pmod(F.xxhash64(*rows.columns), F.lit(copies)).cast("int"))
+    return asking.join(table, ["_piece", "_copy"]).select(*rows.columns, F.explode("_items").alias("_item")).select(*rows.columns, *[f"_item.{c}" for c in cols])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgene.functions.lineage import stable
-from tallgene.functions.lists import short_list
+from tallgene.functions.lists import beside
 from tallgene.functions.ranks import global_quantiles, quantiles_of_columns
 
 CONTROL = "Control"
@@ -198,10 +198,9 @@ def use_layer(expr, layer: str) -> DataFrame:
 def dense_rows(expr, cells, genes) -> DataFrame:
     """prj_dense_row: every gene for every cell, absent = 0.
 
-    The gene list (bounded by the genome) is carried as one array and exploded next to each cell,
-    so only rows of the dense result are ever made.
+    The gene list meets the cells in pieces, so only rows of the dense result are ever made.
     """
-    grid = cells.select("cell_id", F.explode(short_list(genes, "gene", distinct=True)).alias("gene"))
+    grid = beside(cells.select("cell_id"), genes, "gene", distinct=True)
     return grid.join(expr, ["cell_id", "gene"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 

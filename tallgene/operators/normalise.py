@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgene.functions.lists import short_list
+from tallgene.functions.lists import beside
 from tallgene.functions.rand import hash_uniform
 from tallgene.functions.ranks import global_quantiles, quantiles
 
@@ -154,7 +154,7 @@ def gene_moments(expr, cells) -> DataFrame:
 
 
 def zscore(expr, cells, genes, max_value: float = 10.0) -> DataFrame:
-    """nrm_zscore: dense z-scores on a short gene list (HVG), clipped above."""
+    """nrm_zscore: dense z-scores on a gene list (HVG), clipped above."""
     from tallgene.operators.filters import dense_rows
 
     listed = expr.join(genes.select("gene"), "gene", "left_semi")
@@ -167,9 +167,8 @@ def zscore(expr, cells, genes, max_value: float = 10.0) -> DataFrame:
 
 
 def fill_genes(cells, gene_values) -> DataFrame:
-    """Every cell next to every (gene, value) of a short gene list; the list travels as one array."""
-    items = short_list(gene_values, F.struct("gene", "value"))
-    return cells.select("cell_id", F.explode(items).alias("i")).select("cell_id", "i.gene", "i.value")
+    """Every cell next to every (gene, value) of a gene list."""
+    return beside(cells.select("cell_id"), gene_values, "gene", "value")
 
 
 def perturb_extreme(expr, cells, changes) -> DataFrame:

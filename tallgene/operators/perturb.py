@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallgene.functions.blocks import block_meetings
 from tallgene.functions.lineage import stable
-from tallgene.functions.lists import short_list
+from tallgene.functions.lists import beside
 from tallgene.functions.rand import hash_int, hash_uniform
 from tallgene.functions.ranks import hash_ranks, quantiles
 from tallgene.operators.stats import AVERAGE, plain_group_means
@@ -67,8 +67,7 @@ def expose_zeros(paired, mode: str, all_genes=None, cells=None, seed=42, prob: f
     if mode == "alternate":
         return paired.where(F.when(hash_uniform(seed, "cell_id") < prob, no_zeros).otherwise(label_nonzeros))
     if mode == "all":
-        genes = short_list(all_genes, "gene", distinct=True)
-        grid = cells.select("cell_id", F.explode(genes).alias("gene"))
+        grid = beside(cells.select("cell_id"), all_genes, "gene", distinct=True)
         return grid.join(paired, ["cell_id", "gene"], "left").fillna(0)
     raise ValueError(f"unknown mode {mode}")
 
@@ -94,7 +93,7 @@ def grouped_predictions(preds, truth, delta: bool = False) -> DataFrame:
     """prt_grouped_pred: perturbation x gene grid filled with the baseline, overwritten by mean predictions.
 
     Baseline is the train average if there is one, else Control; with ``delta`` the mean predicted
-    delta is added to it. The gene list travels as one array, so only grid rows are made.
+    delta is added to it. The gene list meets the perturbations in pieces, so only grid rows are made.
     """
     truth = stable(truth)
     value = "predicted_delta" if delta else "predicted"
@@ -104,8 +103,7 @@ def grouped_predictions(preds, truth, delta: bool = False) -> DataFrame:
         F.max(F.when(F.col("perturbation") == AVERAGE, F.col("mean"))).alias("_a"),
         F.coalesce(F.max(F.when(F.col("perturbation") == CONTROL, F.col("mean"))), F.lit(0.0)).alias("input"),
     ).select("gene", "input", F.when(has_avg, F.coalesce("_a", F.lit(0.0))).otherwise(F.col("input")).alias("baseline"))
-    genes = short_list(truth, "gene", distinct=True)
-    grid = mean.select("perturbation").distinct().select("perturbation", F.explode(genes).alias("gene"))
+    grid = beside(mean.select("perturbation").distinct(), truth, "gene", distinct=True)
     out = grid.join(base, "gene").join(mean, ["perturbation", "gene"], "left").join(
         truth.select("perturbation", "gene", F.col("mean").alias("label")), ["perturbation", "gene"], "left")
     predicted = F.col("baseline") + F.coalesce("_p", F.lit(0.0)) if delta else F.coalesce("_p", "baseline")

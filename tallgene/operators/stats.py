@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgene.functions.lineage import stable
-from tallgene.functions.lists import short_list
+from tallgene.functions.lists import beside
 from tallgene.functions.ranks import quantiles
 from tallgene.functions.tdist import t_quantile_975
 from tallgene.operators.variable_genes import residual_variance, standardized_variance, top_by_variance
@@ -251,10 +251,7 @@ def de_scores(expr, obs, col: str = "perturbation") -> DataFrame:
     sizes = stable(group_sizes(obs, [col]))
     ctrl = sums.where(F.col(col) == CONTROL).select("gene", F.col("s").alias("cs"), F.col("ss").alias("css"))
     n_ctrl = sizes.where(F.col(col) == CONTROL).select(F.max("n_cells")).scalar()
-    grid = (
-        sizes.where(F.col(col) != CONTROL)
-        .select(col, "n_cells", F.explode(short_list(sums, "gene", distinct=True)).alias("gene"))
-    )
+    grid = beside(sizes.where(F.col(col) != CONTROL).select(col, "n_cells"), sums, "gene", distinct=True)
     full = grid.join(sums.select(col, "gene", "s", "ss"), [col, "gene"], "left").join(ctrl, "gene", "left").fillna(0.0)
 
     def moments(s, ss, n):
@@ -297,8 +294,7 @@ def crosstab_sorted(obs, row: str, col: str) -> DataFrame:
     cols = n.groupBy(col).agg(F.count("*").alias("col_filled"))
     rows = rows.withColumn("row_rank", F.row_number().over(Window.orderBy(F.col("row_filled").desc(), row)))
     cols = cols.withColumn("col_rank", F.row_number().over(Window.orderBy(F.col("col_filled").desc(), col)))
-    listed = short_list(cols, F.struct(col, "col_rank"))
-    grid = rows.select(row, "row_rank", F.explode(listed).alias("i")).select(row, "row_rank", f"i.{col}", "i.col_rank")
+    grid = beside(rows.select(row, "row_rank"), cols, col, "col_rank")
     return grid.join(n, [row, col], "left").fillna(0, subset=["n"])
 
 
@@ -363,13 +359,19 @@ def feature_mutual_information(df, features: list[str], bins: int) -> DataFrame:
 
 
 def perturbation_distance(means, col: str = "perturbation") -> DataFrame:
-    """agg_pert_distance: 1 - correlation of a perturbation's mean profile with the control profile."""
+    """agg_pert_distance: 1 - correlation of a perturbation's mean profile with the control profile over all genes.
+
+    Absent genes are zeros: they add to the number of genes and to no sum, so profiles are never filled.
+    """
     means = stable(means)
     ctrl = means.where(F.col(col) == CONTROL).select("gene", F.col("mean").alias("c"))
-    groups = means.where(F.col(col) != CONTROL).select(col).distinct()
-    genes = short_list(means, "gene", distinct=True)
-    grid = groups.select(col, F.explode(genes).alias("gene")).join(means, [col, "gene"], "left").join(ctrl, "gene", "left")
-    return grid.fillna(0.0, ["mean", "c"]).groupBy(col).agg((1 - F.corr("mean", "c")).alias("distance"))
+    n = means.select(F.count_distinct("gene").cast("double")).scalar()
+    x, c = F.col("mean"), F.coalesce("c", F.lit(0.0))
+    sums = means.where(F.col(col) != CONTROL).join(ctrl, "gene", "left").groupBy(col).agg(
+        F.sum(x).alias("x"), F.sum(x * x).alias("xx"), F.sum(x * c).alias("xc"))
+    of_c = stable(ctrl.agg(F.struct(F.coalesce(F.sum("c"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0.0)).alias("ss")).alias("c"))).scalar()
+    spread = (n * F.col("xx") - F.col("x") * F.col("x")) * (n * of_c["ss"] - of_c["s"] * of_c["s"])
+    return sums.select(col, F.when(spread > 0, 1 - (n * F.col("xc") - F.col("x") * of_c["s"]) / F.sqrt(spread)).alias("distance"))
 
 
 def feature_regression(df, features: list[str], label: str, reg: float = 0.1, l1_ratio: float = 0.5) -> DataFrame:

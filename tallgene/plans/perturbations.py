@@ -48,7 +48,17 @@ def _(t):
     return out
 
 
-@query("prt_expose_zeros_all", views("pexpr", "pobs")[:-1] + ", " + PAIRED + """ SELECT cell_id, gene, coalesce(label, 0) AS label, coalesce(control, 0) AS control, coalesce(perturbed, 0) AS perturbed
+ONCE = [(f" {name} AS (", f" {name} AS MATERIALIZED (") for name in ("pexpr", "pobs", "pairs", "raw", "paired")]
+
+
+def once(sql: str) -> str:
+    """The tables that several steps read are made once."""
+    for name, held in ONCE:
+        sql = sql.replace(name, held, 1)
+    return sql
+
+
+@query("prt_expose_zeros_all", once(views("pexpr", "pobs")[:-1] + ", " + PAIRED) + """ SELECT cell_id, gene, coalesce(label, 0) AS label, coalesce(control, 0) AS control, coalesce(perturbed, 0) AS perturbed
   FROM pairs CROSS JOIN (SELECT DISTINCT gene FROM pexpr) LEFT JOIN paired USING (cell_id, gene)""")
 def _(t):
     return pt.expose_zeros(paired(t), "all", t.pexpr, t.pobs.where("perturbation <> 'Control'").select("cell_id"))
