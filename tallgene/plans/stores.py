@@ -180,8 +180,9 @@ def _(t):
     root = scratch_path(t.spark, "store")
     old, new = store_parts(t)
     both = "gene_symbol string, biosample_name string, price double, size int"
-    old.withColumn("size", F.lit(None).cast("int")).coalesce(1).write.parquet(f"{root}/in/a")
-    new.coalesce(1).write.parquet(f"{root}/in/b")
+    old.withColumn("size", F.lit(None).cast("int")).write.parquet(f"{root}/in/a")
+    jobs.datastore_stream(t.spark, f"{root}/in/*", both, f"{root}/store", f"{root}/ckpt")
+    new.write.parquet(f"{root}/in/b")
     return jobs.datastore_stream(t.spark, f"{root}/in/*", both, f"{root}/store", f"{root}/ckpt")
 
 
