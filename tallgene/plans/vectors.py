@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallgene.functions.rand import hash_int_sql
 from tallgene.operators import embed as em
 from tallgene.operators import examples as ex
 from tallgene.operators import harmonise as hz
@@ -56,13 +57,46 @@ def _(t):
     return rounded(em.knn(t.emb, 10, block=256), "distance", digits=5).select("vec_id", "neighbor", "distance", "rank")
 
 
-@query("emb_pca")
+def _top_axis(name: str, of: str, squarings: int = 24) -> str:
+    """SQL: unit vector ``name``.v of largest variance and its variance ``name``.l, by squaring a symmetric matrix (rows m of ``of``) again and again."""
+    return f"""{name}_p(i, m) AS (SELECT 0, m FROM {of} UNION ALL
+    SELECT i + 1, [[x / t FOR x IN r] FOR r IN m2] FROM (
+    SELECT i, [[list_dot_product(r, c) FOR c IN m] FOR r IN m] AS m2, pow(list_sum([q[j] FOR q, j IN m]), 2) AS t FROM {name}_p WHERE i < {squarings})),
+  {name}_c AS (SELECT unnest(m) AS r FROM {name}_p WHERE i = {squarings}),
+  {name}_u AS (SELECT arg_max(r, list_dot_product(r, r)) AS r FROM {name}_c),
+  {name} AS (SELECT [x / sqrt(list_dot_product(r, r)) FOR x IN r] AS v FROM {name}_u)"""
+
+
+PCA_SQL = views("emb").replace("WITH ", "WITH RECURSIVE ", 1) + """, d AS (SELECT vec_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM emb),
+  mu AS (SELECT i, avg(x) AS mu FROM d GROUP BY i), mul AS (SELECT list(mu ORDER BY i) AS mu FROM mu),
+  ce AS (SELECT vec_id, [x - mu[j] FOR x, j IN vec] AS z FROM emb, mul),
+  z AS (SELECT vec_id, unnest(z) AS z, generate_subscripts(z, 1) AS i FROM ce),
+  cv AS (SELECT a.i, b.i AS j, sum(a.z * b.z) / ((SELECT count(*) FROM emb) - 1) AS c FROM z a JOIN z b USING (vec_id) GROUP BY 1, 2),
+  cr AS (SELECT i, list(c ORDER BY j) AS r FROM cv GROUP BY i), m1 AS (SELECT list(r ORDER BY i) AS m FROM cr),
+  """ + _top_axis("a1", "m1") + """,
+  l1 AS (SELECT v, m, list_dot_product(v, [list_dot_product(r, v) FOR r IN m]) AS l FROM a1, m1),
+  m2 AS (SELECT [[c - l * v[i] * v[j] FOR c, j IN r] FOR r, i IN m] AS m FROM l1),
+  """ + _top_axis("a2", "m2") + """
+  SELECT vec_id, round(abs(list_dot_product(z, a1.v)), 4) AS pc1, round(abs(list_dot_product(z, a2.v)), 4) AS pc2 FROM ce, a1, a2"""
+
+
+@query("emb_pca", PCA_SQL)
 def _(t):
     out = em.pca(t.emb, 2)
     return out.select("vec_id", F.round(F.abs(F.col("pca")[0]), 4).alias("pc1"), F.round(F.abs(F.col("pca")[1]), 4).alias("pc2"))
 
 
-@query("emb_kmeans")
+def kmeans_sql(rounds: int = 20, k: int = 10) -> str:
+    """Common table expressions of Lloyd's rounds: ``k`` holds each vector's cluster."""
+    out = f""", c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY {hash_int_sql(0, 'vec_id')}, vec_id) - 1 AS INTEGER) AS cluster, vec AS c FROM emb QUALIFY cluster < {k})"""
+    near = "SELECT vec_id, any_value(vec) AS vec, arg_min(cluster, (list_dot_product(c, c) - 2 * list_dot_product(vec, c), cluster)) AS cluster FROM emb, {0} GROUP BY vec_id"
+    for i in range(rounds):
+        out += f""", k{i} AS MATERIALIZED ({near.format(f"c{i}")}), s{i} AS (SELECT cluster, d, avg(x) AS x FROM (SELECT cluster, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM k{i}) GROUP BY ALL),
+  c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(l, c) AS c FROM c{i} LEFT JOIN (SELECT cluster, list(x ORDER BY d) AS l FROM s{i} GROUP BY cluster) USING (cluster))"""
+    return out + f", k AS ({near.format(f'c{rounds}')})"
+
+
+@query("emb_kmeans", views("emb") + kmeans_sql() + " SELECT vec_id, label, k.cluster FROM emb JOIN k USING (vec_id)")
 def _(t):
     return em.kmeans(t.emb, 10).select("vec_id", "label", "cluster")
 
@@ -77,13 +111,46 @@ def _(t):
     return rounded(em.contingency_scores(rows), "ari", "nmi")
 
 
-@query("emb_adjusted_mutual_info")
+@query("emb_adjusted_mutual_info", """WITH c AS (SELECT l_returnflag AS l, l_linestatus AS c, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2),
+  a AS (SELECT l, sum(n) AS a FROM c GROUP BY 1), b AS (SELECT c, sum(n) AS b FROM c GROUP BY 1), t AS (SELECT sum(n) AS t FROM c),
+  mi AS (SELECT sum(n / t * ln(n * t / a / b)) AS mi FROM c JOIN a USING (l) JOIN b USING (c), t),
+  k AS (SELECT a, b, t, unnest(range(CAST(greatest(1, a + b - t) AS BIGINT), CAST(least(a, b) AS BIGINT) + 1))::DOUBLE AS k FROM a, b, t),
+  e AS (SELECT sum(k / t * (ln(k / a) + ln(t / b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1)
+    - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(t - a - b + k + 1))) AS emi FROM k),
+  h AS (SELECT ((SELECT sum(-a / t * ln(a / t)) FROM a, t) + (SELECT sum(-b / t * ln(b / t)) FROM b, t)) / 2 AS h)
+  SELECT round((mi - emi) / (h - emi), 6) AS ami FROM mi, e, h""")
 def _(t):
     rows = t.lineitem.select(F.col("l_returnflag").alias("label"), F.col("l_linestatus").alias("cluster"))
-    return em.adjusted_mutual_info(rows)
-
-
-@query("emb_batch_metrics")
+    return rounded(em.adjusted_mutual_info(rows), "ami")
+
+
+def sil_sql(column: str, within: str, name: str) -> str:
+    """Common table expressions of the silhouette by ``column``: ``name``(vec_id, own, v)."""
+    made = SIL.format(column, within).removeprefix(views("emb"))
+    for old in ("p", "ab", "sl"):
+        made = made.replace(f" {old} AS (", f" {name if old == 'sl' else name + old} AS (").replace(f"FROM {old} ", f"FROM {name + old} ").replace(f"FROM {old})", f"FROM {name + old})")
+    return made
+
+
+BATCH_SQL = views("emb").replace("WITH ", "WITH RECURSIVE ", 1) + kmeans_sql() + """, ct AS (SELECT label AS l, k.cluster AS c, count(*)::DOUBLE AS n FROM emb JOIN k USING (vec_id) GROUP BY 1, 2),
+  mt AS (SELECT *, sum(n) OVER (PARTITION BY l) AS a, sum(n) OVER (PARTITION BY c) AS b, sum(n) OVER () AS t FROM ct),
+  sc AS (SELECT sum(n * (n - 1) / 2) AS ij, max(t * (t - 1) / 2) AS al, sum(n / t * ln(n * t / (a * b))) AS mi, sum(-n / t * ln(a / t)) AS hl, sum(-n / t * ln(b / t)) AS hc,
+    (SELECT sum(x * (x - 1) / 2) FROM (SELECT sum(n) AS x FROM ct GROUP BY l)) AS i, (SELECT sum(x * (x - 1) / 2) FROM (SELECT sum(n) AS x FROM ct GROUP BY c)) AS j FROM mt)""" + (
+    sil_sql("label", "TRUE", "ls") + sil_sql("batch", "a.label = b.label", "bs")) + """,
+  bb AS (SELECT avg(v) AS asw_batch FROM (SELECT label, avg(1 - abs(v)) AS v FROM bs JOIN emb USING (vec_id) WHERE v IS NOT NULL GROUP BY 1)),
+  nn AS (SELECT vec_id, neighbor FROM (SELECT a.vec_id, b.vec_id AS neighbor, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.vec, b.vec), 9), b.vec_id) AS rank
+    FROM emb a JOIN emb b ON a.vec_id <> b.vec_id) WHERE rank <= 15),
+  ed AS (SELECT vec_id AS x, neighbor AS y FROM nn JOIN emb a USING (vec_id) JOIN emb b ON b.vec_id = neighbor WHERE a.label = b.label),
+  bo AS (SELECT x, y FROM ed UNION SELECT y, x FROM ed),
+  re AS (SELECT vec_id AS x, vec_id AS y FROM emb UNION SELECT re.x, bo.y FROM re JOIN bo ON bo.x = re.y),
+  co AS (SELECT x AS vec_id, min(y) AS comp FROM re GROUP BY 1),
+  gc AS (SELECT avg(share) AS graph_conn FROM (SELECT label, max(n) / sum(n) AS share FROM (SELECT label, comp, count(*) AS n FROM co JOIN emb USING (vec_id) GROUP BY 1, 2) GROUP BY 1)),
+  al AS (SELECT mi / ((hl + hc) / 2) AS nmi, (ij - i * j / al) / ((i + j) / 2 - i * j / al) AS ari, (SELECT (avg(v) + 1) / 2 FROM ls) AS asw_label, graph_conn, asw_batch FROM sc, gc, bb)
+  SELECT round(nmi, 3) AS nmi, round(ari, 3) AS ari, round(asw_label, 3) AS asw_label, round((nmi + ari + asw_label) / 3, 3) AS avg_bio, round(graph_conn, 3) AS graph_conn,
+    round(asw_batch, 3) AS asw_batch, round((graph_conn + asw_batch) / 2, 3) AS avg_batch FROM al"""
+
+
+@query("emb_batch_metrics", BATCH_SQL)
 def _(t):
     return em.batch_metrics(t.emb)
 
