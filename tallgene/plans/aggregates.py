@@ -1,8 +1,11 @@
 """Queries for aggregations and statistics."""
 
-from pyspark.sql import functions as F
+import math
+from itertools import accumulate
 
+from pyspark.sql import functions as F
 
+from tallgene.functions.rand import hash_uniform_sql
 from tallgene.operators import stats as st
 from tallgene.plans.bind import views
 from tallgene.plans.cells import QC_SQL, cell_qc
@@ -355,22 +358,42 @@ def _(t):
     return rounded(st.perturbation_distance(st.plain_group_means(t.pexpr, t.pobs, ["perturbation"])), "distance")
 
 
-@query("agg_feature_regression")
+def net_sql(rows: str, a: str, b: str, y: str, reg: float, run: str = "0", weight: str = "1.0") -> str:
+    """SELECT of (run, feature, coefficient) of the elastic net on two features; 400 rounds of coordinate descent."""
+    return f"""SELECT run, unnest(['{a}', '{b}']) AS feature, unnest([b1, b2]) AS coefficient FROM (
+    WITH RECURSIVE w AS (SELECT {run} AS run, ({a})::DOUBLE AS a, ({b})::DOUBLE AS b, ({y})::DOUBLE AS y, ({weight})::DOUBLE AS w FROM {rows}),
+      mu AS (SELECT run, sum(w) AS n, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * y) / sum(w) AS my FROM w GROUP BY run),
+      sd AS (SELECT run, any_value(n) AS n, sqrt(sum(w * (a - ma) * (a - ma)) / any_value(n)) AS sa, sqrt(sum(w * (b - mb) * (b - mb)) / any_value(n)) AS sb,
+        sum(w * (a - ma) * (b - mb)) / any_value(n) AS cab, sum(w * (a - ma) * (y - my)) / any_value(n) AS cay, sum(w * (b - mb) * (y - my)) / any_value(n) AS cby FROM w JOIN mu USING (run) GROUP BY run),
+      it AS (SELECT run, 0 AS i, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM sd UNION ALL
+        SELECT run, i + 1, c1, sign(cby / sb - g * c1) * greatest(0, abs(cby / sb - g * c1) - {reg} * 0.5) / (1 + {reg} * 0.5) FROM (
+          SELECT it.run, i, cby, sb, cab / sa / sb AS g, sign(cay / sa - cab / sa / sb * b2) * greatest(0, abs(cay / sa - cab / sa / sb * b2) - {reg} * 0.5) / (1 + {reg} * 0.5) AS c1
+          FROM it JOIN sd USING (run) WHERE i < 400))
+    SELECT run, b1, b2 FROM it WHERE i = 400)"""
+
+
+@query("agg_feature_regression", "SELECT feature, round(coefficient, 4) AS coefficient FROM (" + net_sql(
+    "(SELECT l_quantity AS quantity, l_discount AS discount, l_extendedprice AS price FROM lineitem)", "quantity", "discount", "price", 1.0) + ")")
 def _(t):
-    return st.feature_regression(features(t), ["quantity", "discount"], "price", reg=1.0)
+    return rounded(st.feature_regression(features(t), ["quantity", "discount"], "price", reg=1.0), "coefficient", digits=4)
 
 
-@query("agg_selection_frequency")
+KEY = "p_partkey"
+POISSON_CUTS = list(accumulate(math.exp(-1) / math.factorial(i) for i in range(18)))
+DRAWS = " UNION ALL ".join(f"SELECT {run} AS run, p_size, p_partkey % 13 AS k, p_retailprice, {' + '.join(f'({hash_uniform_sql(run, 0, KEY)} >= {c!r}::DOUBLE)::INT' for c in POISSON_CUTS)} AS times FROM part" for run in range(4))
+
+
+@query("agg_selection_frequency", "SELECT feature, round(avg(coefficient), 4) AS mean_coef, round(stddev_samp(coefficient), 4) AS std_coef, round(avg((coefficient <> 0)::INT), 6) AS nonzero_frac FROM ("
+       + net_sql(f"({DRAWS})", "p_size", "k", "p_retailprice", 0.5, "run", "times") + ") GROUP BY 1")
 def _(t):
+    from tallgene.operators.sampling import bootstrap
+
     fits = None
     for run in range(4):
-        from tallgene.operators.sampling import bootstrap
-
-        sample = bootstrap(t.part.select("p_partkey", "p_size", "p_retailprice", (F.col("p_partkey") % 13).alias("k")),
-                           1, seed=run, keys=["p_partkey"])
-        one = st.feature_regression(sample.withColumn("p_size", F.col("p_size").cast("double")), ["p_size", "k"], "p_retailprice", reg=0.5)
+        sample = bootstrap(t.part.select("p_partkey", "p_size", "p_retailprice", (F.col("p_partkey") % 13).alias("k")), 1, seed=run, keys=["p_partkey"])
+        one = st.feature_regression(sample, ["p_size", "k"], "p_retailprice", reg=0.5)
         fits = one if fits is None else fits.unionByName(one)
-    return st.selection_frequency(fits)
+    return rounded(rounded(st.selection_frequency(fits), "mean_coef", "std_coef", digits=4), "nonzero_frac")
 
 
 @query("agg_selection_frequency_table", """SELECT l_returnflag || l_linestatus AS feature, round(avg(l_discount - 0.05), 6) AS mean_coef,

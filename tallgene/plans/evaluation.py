@@ -177,6 +177,15 @@ def _(t):
     return rounded(rounded(out, "attribution"), "t", digits=5)
 
 
-@query("met_attr_significance")
-def _(t):
-    return mt.mean_attributions(attributions(t), least=0.01)
+@query("met_attr_significance", """WITH a AS (SELECT 'S' || l_suppkey AS gene, l_discount - 0.04 - (l_suppkey % 5) / 100 AS score FROM lineitem),
+  g AS (SELECT gene, avg(score) AS attribution, count(*) AS n, avg(score) / (stddev_samp(score) / sqrt(count(*))) AS t FROM a GROUP BY 1 HAVING count(*) > 1 AND stddev_samp(score) > 0),
+  x AS (SELECT *, (n - 1)::DOUBLE AS v, (n - 1) / (n - 1 + t * t) AS x FROM g),
+  w AS (SELECT gene, v, x, i, i * 0.002 AS w FROM x, (SELECT unnest(range(4001)) AS i)),
+  f AS (SELECT gene, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * CASE WHEN i > 0 THEN 2 * w * exp(-w * w) / sqrt(1 - x * exp(-2 * w * w / v)) WHEN x = 1 THEN sqrt(2 * v) ELSE 0 END) * 0.002 / 3 AS s FROM w GROUP BY 1),
+  p AS (SELECT x.*, v / 2 * ln(x) + ln(2 / v) + ln(s) - (lgamma(v / 2) + lgamma(0.5) - lgamma(v / 2 + 0.5)) AS lp FROM x JOIN f USING (gene))
+  SELECT gene, round(attribution, 6) AS attribution, n, round(t, 5) AS t, round(exp(lp), 6) AS p_value, round(-lp / ln(2), 3) AS neg_log2_p,
+    exp(lp) < 0.05 / count(*) OVER () AND abs(attribution) > 0.01 AS highlight FROM p""")
+def _(t):
+    """The twin integrates the tail of Student's t by Simpson's rule."""
+    out = mt.mean_attributions(attributions(t), least=0.01)
+    return rounded(rounded(rounded(out, "attribution", "p_value"), "t", digits=5), "neg_log2_p", digits=3)
\ No newline at end of file

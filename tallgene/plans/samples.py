@@ -80,7 +80,13 @@ def _(t):
     return sp.split_simulation(t.pobs, W2).select(*PO, "group")
 
 
-@query("spl_by_dataset_coverage")
+@query("spl_by_dataset_coverage", """WITH RECURSIVE c AS (SELECT source AS dataset, concat_ws('/', lang, length(text) % 5) AS t, count(*) AS n FROM documents GROUP BY ALL),
+  d AS (SELECT dataset, list(t) AS types, count(*) AS k, sum(n) AS n FROM c GROUP BY 1),
+  o AS (SELECT *, row_number() OVER (ORDER BY k, n, dataset) AS i FROM d),
+  f(i, dataset, split, train, dev) AS (SELECT 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[], []::VARCHAR[] UNION ALL
+    SELECT i, dataset, CASE WHEN go THEN 'dev' ELSE 'train' END, CASE WHEN go THEN train ELSE list_concat(train, types) END, CASE WHEN go THEN list_concat(dev, types) ELSE dev END FROM (
+      SELECT o.i, o.dataset, o.types, f.train, f.dev, list_has_all(f.train, o.types) AND NOT list_has_all(f.dev, o.types) AS go FROM f JOIN o ON o.i = f.i + 1))
+  SELECT dataset, split FROM f WHERE i > 0""")
 def _(t):
     rows = t.documents.select(F.col("source").alias("dataset"), F.concat_ws("/", "lang", F.length("text") % 5).alias("cell_type"))
     return sp.split_by_coverage(rows)
