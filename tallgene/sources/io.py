@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallgene.functions.lineage import stable
 from tallgene.functions.ranks import hash_ranks, value_ranks
 from tallgene.operators.metrics import softmax
 from tallgene.operators.sequence import cleanup
@@ -36,14 +37,33 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(offsets, ["f", "b"]).select((F.col("off") + F.col("m") - F.col("m0")).alias("line_no"), "value")
 
 
+#: Summaries that one task scans; three levels of it number more buckets than a long can.
+FAN = 1 << 17
+
+
+def carried(last: DataFrame, levels: int = 3) -> DataFrame:
+    """(_bk, _carry): the last non-null ``_last`` of the buckets before each, of (_bk, _last).
+
+    Buckets fall into runs of FAN. A run is scanned in a task of its own, its own last value is the summary that the same scan carries over
+    runs, and so on: no task sees more than FAN rows, whatever the length of the input.
+    """
+    inside = Window.partitionBy("_run").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = last.withColumn("_run", F.floor(F.col("_bk") / FAN))
+    here = dealt.withColumn("_carry", F.last("_last", ignorenulls=True).over(inside))
+    if levels == 1:
+        return here.select("_bk", "_carry")
+    runs = dealt.groupBy("_run").agg(F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_bk"))).alias("_last"))
+    above = carried(runs.select(F.col("_run").alias("_bk"), "_last"), levels - 1).select(F.col("_bk").alias("_run"), F.col("_carry").alias("_above"))
+    return here.join(above, "_run").select("_bk", F.coalesce("_carry", "_above").alias("_carry"))
+
+
 def carry_forward(rows, order: str, value: str) -> DataFrame:
     """Last non-null ``value`` at or before every row in ``order``: first over buckets of rows, then inside each bucket."""
     bucketed = rows.withColumn("_bk", F.floor(F.col(order) / LINES_PER_BUCKET))
-    last = bucketed.groupBy("_bk").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
-    before = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("_bk", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    summaries = stable(bucketed.groupBy("_bk").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last")))
+    carry = carried(summaries)
     inside = Window.partitionBy("_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return bucketed.join(carried, "_bk").withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(inside), "_carry")).drop("_bk", "_carry")
+    return bucketed.join(carry, "_bk").withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(inside), "_carry")).drop("_bk", "_carry")
 
 
 def running_offset(rows, group: str, order: str, size: Column) -> DataFrame:
