@@ -71,29 +71,51 @@ def _merge(best: tuple[np.ndarray, np.ndarray], rows: np.ndarray, scores: np.nda
     """Put candidates (queries x candidates) into the best k of ``rows``: higher score first, then smaller id."""
     s = np.concatenate([best[0][rows], scores], 1)
     i = np.concatenate([best[1][rows], np.broadcast_to(ids, scores.shape)], 1)
-    order = np.lexsort((i, -s), axis=1)[:, :k]
+    if s.dtype == object:
+        order = np.array([sorted(range(s.shape[1]), key=lambda c: (-a[c], b[c]))[:k] for a, b in zip(s, i, strict=True)])
+    else:
+        order = np.lexsort((i, -s), axis=1)[:, :k]
     best[0][rows], best[1][rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
+#: Above this bound of a sum of products float64 may round it; beyond 63 bits int64 overflows.
+ROUNDS, OVERFLOWS = 2.0**53, 2.0**62
+
+
+def exact_products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers held in float64: in float64 where that is exact, else in int64, else in integers of any size
+    that stop at the ends of 64 bits."""
+    bound = np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * queries.shape[1]
+    if bound < ROUNDS:
+        return queries @ data.T
+    if bound < OVERFLOWS:
+        return (queries.astype(np.int64) @ data.astype(np.int64).T).astype(object)
+    whole, most = np.frompyfunc(int, 1, 1), np.iinfo(np.int64).max
+    return np.frompyfunc(lambda s: max(-most, min(most, s)), 1, 1)(whole(queries) @ whole(data).T)
+
+
 def dual_search(queries: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Best scores and ids (queries x k); -inf where nothing reaches the query's floor. A query never meets its own id.
 
     Node pairs are taken best bound first. A pair is dropped when the bound of the two nodes, centers' product plus what the
-    radii can add, is below the worst of the k-th scores and floors in the query node; equal bounds are kept for ties.
+    radii can add, is below the worst of the k-th scores and floors in the query node; equal bounds are kept for ties. Bounds are float64 with
+    a margin for their rounding, scores are exact: of a type that holds Python's integers if float64 does not hold them.
     """
-    best = (np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max))
+    rounded = len(queries) and len(data) and np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * queries.shape[1] >= ROUNDS
+    best = (np.full((len(queries), k), -np.inf, object if rounded else float), np.full((len(queries), k), np.iinfo(np.int64).max))
     if not len(queries) or not len(data):
         return best
     qt, dt = CoverTree(queries), CoverTree(data)
 
     def worst(node: Node) -> float:
         own = qt.order[node.start : node.stop]
-        return float(np.maximum(best[0][own, -1], floors[own]).min())
+        return float(np.maximum(best[0][own, -1].astype(float), floors[own]).min())
 
     def bounds(q: Node, nodes: list[Node]) -> np.ndarray:
         centers, radii = np.stack([n.center for n in nodes]), np.array([n.radius for n in nodes])
-        top = centers @ q.center + q.radius * np.sqrt((centers**2).sum(1)) + radii * np.sqrt((q.center**2).sum()) + q.radius * radii
-        return top + np.abs(top) * 1e-9
+        lengths, length = np.sqrt((centers**2).sum(1)), np.sqrt((q.center**2).sum())
+        top = centers @ q.center + q.radius * lengths + radii * length + q.radius * radii
+        return top + (lengths + radii) * (length + q.radius) * 1e-9
 
     heap: list[tuple[float, int, Node, Node]] = [(-bounds(qt.root, [dt.root])[0], 0, qt.root, dt.root)]
     pushed = 1
@@ -103,9 +125,11 @@ def dual_search(queries: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, data
             continue
         if not q.children and not d.children:
             rows, found = qt.order[q.start : q.stop], dt.order[d.start : d.stop]
-            scores = queries[rows] @ data[found].T
-            scores[(q_ids[rows][:, None] == ids[found][None]) | (scores < floors[rows][:, None])] = -np.inf
-            better = (scores >= best[0][rows, -1][:, None]) & (scores > -np.inf)
+            scores = exact_products(queries[rows], data[found])
+            if rounded:
+                scores = scores.astype(object)
+            scores[(q_ids[rows][:, None] == ids[found][None]) | (scores < floors[rows][:, None]).astype(bool)] = -np.inf
+            better = ((scores >= best[0][rows, -1][:, None]) & (scores > -np.inf)).astype(bool)
             some, any_of = better.any(1), better.any(0)
             if some.any():
                 _merge(best, rows[some], scores[np.ix_(some, any_of)], ids[found][any_of], k)
@@ -134,7 +158,7 @@ def exact_top_k(vectors: DataFrame, is_query, *, k: int = 10, key: str = "vec_id
     """(query_id, rank, vec_id, score): the k highest integer inner products of every query row with all other rows.
 
     ``is_query`` is a condition on the column ``id``. Vectors of another length than a query's never meet it; ties go to the
-    smaller id; rows that repeat an id stay rows, and those of a query's id share one list; an empty table gives an empty result. Blocks of data meet
+    smaller id; scores are exact and stop at the ends of 64 bits; rows that repeat an id stay rows, and those of a query's id share one list; an empty table gives an empty result. Blocks of data meet
     blocks of queries by an equi join of block numbers, each pair one bounded dual-tree walk. Floors, each query's k-th score in one
     block, go along first, so that other blocks prune from the start and return few rows.
     """
@@ -150,8 +174,9 @@ def exact_top_k(vectors: DataFrame, is_query, *, k: int = 10, key: str = "vec_id
         out = []
         if len(left) and len(right):
             q_ids, ids = left["q"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
-            scores, found = dual_search(np.stack(left["qv"].to_list()), q_ids, left["floor"].to_numpy(float), np.stack(right["v"].to_list()), ids, k)
-            row, col = np.nonzero(scores > -np.inf)
+            floors = np.nextafter(left["floor"].to_numpy(float), -np.inf)  # a long may have been rounded up
+            scores, found = dual_search(np.stack(left["qv"].to_list()), q_ids, floors, np.stack(right["v"].to_list()), ids, k)
+            row, col = np.nonzero((scores > -np.inf).astype(bool))
             out = [pd.DataFrame({"query_id": q_ids[row], "vec_id": found[row, col], "score": scores[row, col].astype(np.int64)})]
         return out[0] if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
 

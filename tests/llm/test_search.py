@@ -107,3 +107,17 @@ def test_exact_top_k_repeated_ids_as_twin(spark, tmp_path, block):
     want = con.execute(queries.ORACLES["op8_exact_top_k"].replace("% 100", "% 30")).fetchall()
     got = cover_tree.exact_top_k(rows, F.col("id") % 30 == 0, k=10, block=block, query_block=3).select("query_id", "rank", "vec_id", "score")
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_scores_beyond_float64_are_exact(spark):
+    rng = np.random.default_rng(8)
+    for size in (1 << 16, 1 << 26, 1 << 34):  # products about 2**36, 2**56 and 2**72
+        rows = [(i, [float(v) for v in rng.integers(-size, size, 4)]) for i in range(300)]
+        rows += [(400 + j, [float(size - 1), float(size - 3), 0.0, float(j)]) for j in range(5)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in cover_tree.exact_top_k(df, F.col("id") % 100 == 0, k=10, scale=1, block=64).collect()}
+        most = 2**63 - 1
+        for q, v in rows:
+            if q % 100 == 0:
+                scored = sorted((-max(-most, min(most, sum(int(a) * int(b) for a, b in zip(v, w, strict=True)))), i) for i, w in rows if i != q)
+                assert [got[q, r + 1] for r in range(10)] == [(i, -s) for s, i in scored[:10]]
