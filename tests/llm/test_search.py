@@ -121,3 +121,25 @@ def test_scores_beyond_float64_are_exact(spark):
             if q % 100 == 0:
                 scored = sorted((-max(-most, min(most, sum(int(a) * int(b) for a, b in zip(v, w, strict=True)))), i) for i, w in rows if i != q)
                 assert [got[q, r + 1] for r in range(10)] == [(i, -s) for s, i in scored[:10]]
+
+
+@pytest.mark.parametrize("norms", ["one long", "log-normal"])
+def test_recall_with_uneven_norms(spark, norms):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2500, 24))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    if norms == "one long":
+        x[7] *= 10_000
+    else:
+        x *= rng.lognormal(0, 1, (len(x), 1))
+    x = x.astype(np.float32).astype(float)
+    rows = nndescent.nearest(_frame(spark, enumerate(x)), F.col("id") % 50 == 0, k=20, rounds=4).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for q in range(0, len(x), 50):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        recall.append(len(found[q] & set(np.argsort(-scores)[:20])) / 20)
+    assert np.mean(recall) >= 0.9
