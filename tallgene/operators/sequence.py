@@ -295,7 +295,8 @@ def variant_sites(variants) -> DataFrame:
     letter = F.substring(F.col("allele"), o + 1, F.lit(1))
     symbol = F.when((la > lr) & (o == lr - 1), F.concat(letter, F.lit("I"))).when(o < la, letter).otherwise(F.lit("DEL"))
     rows = one.select("chrom", "pos", "ref", "allele", "prob", at.alias("o")).select("chrom", (F.col("pos") + o).alias("pos"), symbol.alias("symbol"), "prob")
-    sums = rows.groupBy("chrom", "pos", "symbol").agg(F.sum("prob").alias("prob"))
+    # dealt by site once: sums per symbol and the site's total need no other exchange, and few rows of a task share a symbol
+    sums = rows.repartition("chrom", "pos").groupBy("chrom", "pos", "symbol").agg(F.sum("prob").alias("prob"))
     return scale_sites(sums)
 
 
