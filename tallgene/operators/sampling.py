@@ -210,6 +210,20 @@ def split_from_map(obs, mapping, gene: str) -> DataFrame:
     return joined.withColumn("split", F.when(F.col("_s") == "val", "dev").otherwise(F.col("_s"))).drop("_s")
 
 
+def split_from_parts(parts: dict[str, DataFrame], control: Column, rename: dict[str, str]) -> DataFrame:
+    """Parts one after the other with ``split``, a part's name, and ``split_for_test``, the same under the names of ``rename``.
+
+    Controls serve every split, so those of a part after the first belong to none: both columns are null. A null ``control`` is no control.
+    Columns that a part lacks are null there; repeated rows stay rows.
+    """
+    def marked(i: int, name: str) -> Column:
+        return F.lit(name) if i == 0 else F.when(~F.coalesce(control, F.lit(False)), F.lit(name))
+
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("split", marked(i, name)) for i, (name, df) in enumerate(parts.items())])
+    other = reduce(lambda acc, kv: F.when(F.col("split") == kv[0], F.lit(kv[1])).otherwise(acc), rename.items(), F.col("split"))
+    return rows.withColumn("split_for_test", other)
+
+
 def disjoint_check(obs, rename, col="perturbation") -> DataFrame:
     """spl_disjoint_check: names found in more than one split, before and after renaming, per pair of splits."""
     both = F.explode(F.array(F.struct(F.lit("before").alias("stage"), F.col(col).alias("p")),

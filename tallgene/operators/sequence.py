@@ -321,6 +321,28 @@ def site_matrix(tiles, variants) -> DataFrame:
     return touched.unionByName(certain)
 
 
+def token_variant_labels(chunks, sites, size: int) -> DataFrame:
+    """``chunks`` with ``labels``: 1 for every token that lies over a variant position of ``sites`` (chrom, pos), else 0.
+
+    ``chunks`` has chrom, chunk (number of a stretch of ``size`` bases), tokens and reverse: tokens of a reverse complement are laid from the
+    chunk's right end, also where the last chunk is short. A chunk meets its own positions, ``size`` at most, by one equi join. Repeated
+    sites count once; null tokens give null labels, no tokens none; a null flag means forward.
+    """
+    own = sites.groupBy("chrom", F.floor(F.col("pos") / size).alias("chunk")).agg(F.collect_set((F.col("pos") % size).cast("int")).alias("_places"))
+    length = F.aggregate("tokens", F.lit(0), lambda n, x: n + F.length(x))
+    places = F.coalesce("_places", F.array().cast("array<int>"))
+    laid = F.when(F.col("reverse"), F.transform(places, lambda p: F.col("_length") - 1 - p)).otherwise(places)
+
+    def step(done: Column, token: Column) -> Column:
+        end = done["at"] + F.length(token)
+        hit = F.exists("_laid", lambda p: (p >= done["at"]) & (p < end)).cast("int")
+        return F.struct(end.alias("at"), F.concat(done["labels"], F.array(hit)).alias("labels"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("labels"))
+    met = chunks.join(own, ["chrom", "chunk"], "left").withColumn("_length", length).withColumn("_laid", laid)
+    return met.withColumn("labels", F.aggregate("tokens", start, step)["labels"]).drop("_places", "_length", "_laid")
+
+
 def overlapping_variants(variants, width: int = 1_000_000) -> DataFrame:
     """Report of records that start inside an earlier record; the furthest end so far runs over stretches of the
     chromosome first, then inside a stretch, so a chromosome is not one sorted group."""

@@ -315,6 +315,26 @@ def _(t):
     return rounded(sq.variant_sites(fixed(t)), "prob")
 
 
+TOKEN = "A+|N+|[CGT]{1,4}"
+TOKENS = f""", tc AS (SELECT chrom, chunk, FALSE AS reverse, length(seq) AS len, regexp_extract_all(seq, '{TOKEN}') AS t FROM c WHERE NOT regexp_matches(seq, '^N+$')
+    UNION ALL SELECT chrom, chunk, TRUE, length(seq), regexp_extract_all({RC.format('seq')}, '{TOKEN}') FROM c WHERE NOT regexp_matches(seq, '^N+$')),
+  tk AS (SELECT chrom, chunk, reverse, len, unnest(t) AS token, generate_subscripts(t, 1) AS k FROM tc),
+  tp AS (SELECT *, sum(length(token)) OVER (PARTITION BY chrom, chunk, reverse ORDER BY k) AS upto FROM tk),
+  ta AS (SELECT *, chunk * 128 + CASE WHEN reverse THEN len - upto ELSE upto - length(token) END AS a FROM tp),
+  vs AS (SELECT DISTINCT chrom, pos, pos // 128 AS chunk FROM ts WHERE is_variant),
+  hit AS (SELECT DISTINCT chrom, chunk, reverse, k, 1 AS label FROM ta JOIN vs USING (chrom, chunk) WHERE pos >= a AND pos < a + length(token))
+  SELECT chrom, chunk, reverse, string_agg(token, ' ' ORDER BY k) AS tokens, string_agg(CAST(coalesce(label, 0) AS VARCHAR), '' ORDER BY k) AS labels
+  FROM ta LEFT JOIN hit USING (chrom, chunk, reverse, k) GROUP BY 1, 2, 3"""
+
+
+@query("var_token_labels", SITE + ", " + chunk_cte("c", 128) + TOKENS)
+def _(t):
+    both = F.explode(F.array(F.struct(F.lit(False).alias("reverse"), F.col("seq").alias("s")), F.struct(F.lit(True).alias("reverse"), F.col("rc").alias("s"))))
+    strands = sq.chunk_tiles(t.tiles, 128, reverse=True).select("chrom", "chunk", both.alias("b")).select("chrom", "chunk", "b.reverse", F.regexp_extract_all("b.s", F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    out = sq.token_variant_labels(strands, sq.variant_sites(fixed(t)).where("is_variant").select("chrom", "pos"), 128)
+    return out.select("chrom", "chunk", "reverse", F.array_join("tokens", " ").alias("tokens"), F.array_join(F.transform("labels", lambda x: x.cast("string")), "").alias("labels"))
+
+
 @query("var_overlaps", FIXED + """, w AS (SELECT chrom, pos, ref, max(pos + length(ref)) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto
   FROM (SELECT chrom, pos, ref FROM fx UNION ALL SELECT chrom, pos + 1, ref FROM fx)) SELECT chrom, pos, ref FROM w WHERE pos < upto""")
 def _(t):

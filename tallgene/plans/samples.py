@@ -131,6 +131,14 @@ def _(t):
     return sp.split_from_map(t.expr.select("cell_id", "gene"), m, "gene").select("cell_id", "gene", "split")
 
 
+@query("spl_from_parts", views("pobs") + """, s AS (SELECT cell_id, perturbation, CASE WHEN batch = 'F' THEN 'train' WHEN perturbation NOT LIKE '%Control%' THEN 'dev' END AS split FROM pobs)
+  SELECT *, CASE split WHEN 'dev' THEN 'test' ELSE split END AS split_for_test FROM s""")
+def _(t):
+    rows, first = t.pobs.select("cell_id", "perturbation", "batch"), F.col("batch") == "F"
+    parts = {"train": rows.where(first), "dev": rows.where(~first)}
+    return sp.split_from_parts({n: df.drop("batch") for n, df in parts.items()}, F.col("perturbation").contains("Control"), {"dev": "test"})
+
+
 @query("spl_disjoint_check", views("pobs") + """, b AS (SELECT DISTINCT batch AS split, 'before' AS stage, perturbation AS p FROM pobs UNION ALL
     SELECT DISTINCT batch, 'after', string_split(perturbation, '_')[1] FROM pobs)
   SELECT x.stage, x.split || '&' || y.split AS pair, count(*) AS n_shared FROM b x JOIN b y ON x.stage = y.stage AND x.p = y.p AND x.split < y.split GROUP BY 1, 2""")

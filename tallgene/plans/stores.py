@@ -78,9 +78,8 @@ def _(t):
     folder = scratch_path(t.spark, "dna")
     rows = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), "n_chars", "lang").join(t.seqs, "chrom").where(F.length("seq") > 0)
     # Files are named by the language's bytes in hex: null, empty names and slashes are no file names.
-    for (lang,) in rows.select("lang").distinct().collect():
-        name = "null" if lang is None else f"x{lang.encode().hex()}"
-        rows.where(F.col("lang").eqNullSafe(F.lit(lang))).select(F.col("seq").alias("dna"), F.col("n_chars").alias("label")).write.option("header", True).csv(f"{folder}/{name}.csv")
+    name = F.coalesce(F.concat(F.lit("x"), F.lower(F.hex(F.encode("lang", "UTF-8")))), F.lit("null"))
+    io.write_dna_csv(rows.select(F.col("seq").alias("dna"), F.col("n_chars").alias("label"), name.alias("split")), folder)
     lang = F.when(F.col("split") != "null", F.decode(F.unhex(F.substr("split", F.lit(2))), "UTF-8"))
     return io.read_dna_csv(t.spark, folder).select("sequence", "label", lang.alias("split"))
 

@@ -177,8 +177,8 @@ def read_gtf(spark: SparkSession, path: str, feature: str = "transcript") -> Dat
 
 def read_dna_csv(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """src_dna_csv: first column is the sequence whatever its name, all strings; split = file name, all when none is asked."""
-    rows = spark.read.option("header", True).option("inferSchema", False).option("multiLine", False).csv(f"{path}/{split or '*'}.csv")
-    name = F.regexp_extract(F.input_file_name(), "/([^/]+)\\.csv", 1)
+    rows = spark.read.option("header", True).option("inferSchema", False).option("multiLine", False).csv(f"{path}/{{file=,}}{split or '*'}.csv")
+    name = F.regexp_extract(F.input_file_name(), "/(?:file=)?([^/]+)\\.csv", 1)
     return rows.withColumnRenamed(rows.columns[0], "sequence").withColumn("split", name)
 
 
@@ -216,6 +216,11 @@ def write_split(df, path: str, split: str = "split") -> None:
     df.write.partitionBy(split).parquet(path)
 
 
+def write_dna_csv(df, path: str, split: str = "split") -> None:
+    """What ``read_dna_csv`` reads, all splits in one pass; names must be file names. Each task writes a file for every split it holds."""
+    df.withColumn("file", F.concat(split, F.lit(".csv"))).drop(split).write.partitionBy("file").option("header", True).csv(path)
+
+
 def result_tables(results, dictionary, classes: list[str]) -> dict[str, DataFrame]:
     """snk_results: tables to save from (cell_id, embedding, predicted_id, logits): embeddings, named predictions,
     logits and softmax probabilities."""
