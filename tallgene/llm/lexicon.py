@@ -27,8 +27,8 @@ from tallgene.llm.graph import most_frequent
 
 #: Words of the transducer and bytes of the longest: its file stays within a few MB at any corpus size.
 LEXICON_WORDS, WORD_BYTES = 50_000, 48
-#: A task reports a word once it has met it so often in 16 MB of text; rarer words cannot be among the most frequent.
-REPORT_AT, REPORT_BYTES = 8, 16_000_000
+#: A task reports every word it has met so often in 16 MB of text: at 1 all words, so that the sums cover all texts.
+REPORT_AT, REPORT_BYTES = 1, 16_000_000
 
 
 class Transducer:

@@ -98,3 +98,10 @@ def test_lexicon_is_built_from_the_corpus(spark, monkeypatch):
 def test_decode_leaves_out_unknown_ids(spark):
     got = lexicon.decode(spark.createDataFrame([(1, [0, 10**6, -1, 1]), (2, None), (3, [])], "doc_id long, ids array<int>"), WORD).collect()
     assert {r["doc_id"]: r["decoded"] for r in got} == {1: '! "', 2: "", 3: ""}
+
+
+def test_words_that_are_rare_in_every_slice_are_counted(spark):
+    rows = [(i, f"often often often rare{'' if i % 2 else ' other'}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    listed = lexicon.frequent_words(docs, public_tokenizers.path("word_bpe_49k.json"), 1000)
+    assert [w.strip("Ġ ") for w in listed].count("rare") == 1 and any("other" in w for w in listed)
