@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgene.functions.lineage import stable
-from tallgene.functions.lists import beside
+from tallgene.functions.lists import asking, numbered_pieces, piece_of, pieces_of
 from tallgene.functions.ranks import global_quantiles, quantiles_of_columns
 
 CONTROL = "Control"
@@ -198,10 +198,21 @@ def use_layer(expr, layer: str) -> DataFrame:
 def dense_rows(expr, cells, genes) -> DataFrame:
     """prj_dense_row: every gene for every cell, absent = 0.
 
-    The gene list meets the cells in pieces, so only rows of the dense result are ever made.
+    The gene list is cut into numbered pieces. A cell's entries meet it piece by piece, and the genes that a piece has beyond them are added
+    next to them, so that only entries are exchanged and dense rows are made where they are read. With one piece they stay dealt by cell.
     """
-    grid = beside(cells.select("cell_id"), genes, "gene", distinct=True)
-    return grid.join(expr, ["cell_id", "gene"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    listed, n = pieces_of(genes, "gene", distinct=True)
+    table = numbered_pieces(listed, n, "gene")
+    table = F.broadcast(table) if n == 1 else table  # one row of at most PIECE genes
+    others = [c for c in expr.columns if c not in ("cell_id", "gene")]
+    keys = ["cell_id"] if n == 1 else ["cell_id", "_piece"]
+    own = expr.join(listed, "gene", "left_semi").withColumn("_piece", piece_of(n, "gene"))
+    own = own.groupBy(*keys).agg(F.collect_list(F.struct("gene", *others)).alias("_own"))
+    asked = asking(cells.select("cell_id"), n).join(own, keys, "left").join(table, ["_piece", "_copy"])
+    asked = asked.withColumn("_own", F.coalesce("_own", F.array().cast(own.schema["_own"].dataType)))
+    zeros = F.transform(F.array_except("_items.gene", "_own.gene"), lambda g: F.struct(g.alias("gene"), *[F.lit(None).cast(expr.schema[c].dataType).alias(c) for c in others]))
+    rows = asked.select("cell_id", F.explode(F.concat("_own", zeros)).alias("_x")).select("cell_id", "_x.*")
+    return rows.withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
 def order_genes(expr, var, col: str, ascending: bool = False) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgene.functions.lineage import stable
+from tallgene.functions.lists import halving_steps, in_sorted
 from tallgene.functions.rand import hash_int, hash_uniform
 
 
@@ -19,7 +21,7 @@ def build_samples(rows, *fields: str, order: str = "gene") -> DataFrame:
     """arr_build: long rows to one row per cell, items in gene order."""
     fields = fields or ("value",)
     item = F.struct(F.col(order).alias("_o"), F.struct("gene", *fields).alias("x"))
-    return rows.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["x"]).alias("items"))
+    return rows.groupBy("cell_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda i: i["x"]).alias("items"))
 
 
 def item_rows(samples, *keep: str) -> DataFrame:
@@ -30,13 +32,13 @@ def item_rows(samples, *keep: str) -> DataFrame:
 def collect_rows(rows, *fields: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Inverse of :func:`item_rows`: items ordered by ``pos``."""
     item = F.struct("pos", F.struct("gene", *fields).alias("x"))
-    return rows.groupBy("cell_id", *keep).agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["x"]).alias("items"))
+    return rows.groupBy("cell_id", *keep).agg(F.transform(F.sort_array(F.collect_list(item)), lambda i: i["x"]).alias("items"))
 
 
 def sort_items(samples, key: Callable[[Column], Column], descending: bool = False) -> DataFrame:
     """Order items by a numeric key of the item, ties in the present order."""
     keyed = F.transform("items", lambda x, i: F.struct((-key(x) if descending else key(x)).alias("k"), i.alias("i"), x.alias("x")))
-    return samples.withColumn("items", F.transform(F.array_sort(keyed), lambda s: s["x"]))
+    return samples.withColumn("items", F.transform(F.sort_array(keyed), lambda s: s["x"]))
 
 
 def sort_by_value(samples) -> DataFrame:
@@ -243,7 +245,7 @@ def pad_random(samples, n: int, seed=0) -> DataFrame:
     nonzero = F.filter("items", lambda x: x["value"] > 0)
     zeros = F.filter("items", lambda x: x["value"] <= 0)
     keyed = F.transform(zeros, lambda x: F.struct(hash_int(seed, F.col("cell_id"), x["gene"]).alias("k"), x["gene"].alias("g"), x.alias("x")))
-    drawn = F.transform(F.array_sort(keyed), lambda s: s["x"])
+    drawn = F.transform(F.sort_array(keyed), lambda s: s["x"])
     need = F.greatest(F.lit(0), F.lit(n) - F.size(nonzero))
     return samples.withColumn("items", F.concat(nonzero, F.slice(drawn, F.lit(1), need)))
 
@@ -269,24 +271,39 @@ def pad_batchwise(rows, n: int, interleave: float | None = None, expressed_only:
     """arr_pad_batchwise: own nonzeros, zeros expressed in the batch (shuffled), other zeros (shuffled), cut to n.
 
     ``rows`` is the dense long form (cell_id, batch_id, gene, pos, value). With ``interleave`` the first two
-    are mixed at that ratio; with ``expressed_only`` a cell keeps only its nonzeros with that chance.
+    are mixed at that ratio; with ``expressed_only`` a cell keeps only its nonzeros with that chance. A cell is ordered as one array; it
+    meets the genes of its batch, not the batch's rows, so that rows that arrive dealt by cell are not exchanged again.
     """
-    seen = rows.where(F.col("value") > 0).select("batch_id", "gene").distinct().withColumn("_seen", F.lit(True))
-    tagged = rows.join(seen, ["batch_id", "gene"], "left").withColumn(
-        "_class", F.when(F.col("value") > 0, 0).when(F.col("_seen"), 1).otherwise(2))
-    key = F.when(F.col("_class") == 0, F.col("pos").cast("bigint")).otherwise(hash_int(seed, "cell_id", "gene"))
-    cell = Window.partitionBy("cell_id")
-    ranked = tagged.withColumn("_r", F.row_number().over(Window.partitionBy("cell_id", "_class").orderBy(key, "gene")) - 1)
-    if interleave is None:
-        order = [F.col("_class"), F.col("_r")]
-    else:
-        ranked = ranked.withColumns({"_na": F.count_if(F.col("_class") == 0).over(cell), "_nb": F.count_if(F.col("_class") == 1).over(cell)})
-        mixed = interleave_positions(F.col("_r"), F.col("_na"), F.col("_nb"), F.col("_class") == 0, interleave)
-        order = [F.when(F.col("_class") == 2, F.lit(1 << 45) + F.col("_r")).otherwise(mixed)]
-    out = ranked.withColumn("pos", F.row_number().over(cell.orderBy(*order)) - 1).where(F.col("pos") < n)
+    expressed = F.col("value") > 0
+    # what a cell expresses is small and read twice; the dense rows themselves stay with their cell
+    own = stable(rows.groupBy("cell_id", "batch_id").agg(F.collect_set(F.when(expressed, F.col("gene"))).alias("_own")))
+    seen = own.select("batch_id", F.explode("_own").alias("gene")).groupBy("batch_id").agg(F.sort_array(F.collect_set("gene")).alias("_seen"))
+    seen = seen.withColumn("_steps", halving_steps(F.col("_seen")))
+    told = own.select("cell_id", "batch_id").join(seen, "batch_id").groupBy("cell_id").agg(F.collect_list(F.struct("batch_id", "_seen", "_steps")).alias("_told"))
+    key = F.when(expressed, F.col("pos").cast("bigint")).otherwise(hash_int(seed, "cell_id", "gene"))
+    items = rows.withColumn("_key", key).groupBy("cell_id").agg(F.collect_list(F.struct("_key", "gene", "batch_id", "value")).alias("_items"))
+    unnamed = told.where("cell_id IS NULL").select("_told").scalar()  # rows without a cell are a cell, which a plain join would miss
+    met = items.join(told, "cell_id", "left").withColumn("_told", F.when(F.col("cell_id").isNull(), unnamed).otherwise(F.col("_told")))
+
+    def classed(x):
+        of_batch = F.exists("_told", lambda t: (t["batch_id"] == x["batch_id"]) & in_sorted(t["_seen"], t["_steps"], x["gene"]))
+        kind = F.when(x["value"] > 0, 0).when(of_batch, 1).otherwise(2)
+        return F.struct(kind.alias("c"), x["_key"].alias("k"), x["gene"].alias("gene"), x["batch_id"].alias("batch_id"), x["value"].alias("value"))
+
+    met = met.select("cell_id", F.sort_array(F.transform("_items", classed)).alias("_items"))
+    if interleave is not None:
+        met = met.withColumns({"_n0": F.size(F.filter("_items", lambda x: x["c"] == 0)), "_n1": F.size(F.filter("_items", lambda x: x["c"] == 1))})
+
+        def placed(x, i):
+            r = i.cast("bigint") - F.when(x["c"] == 0, 0).when(x["c"] == 1, F.col("_n0")).otherwise(F.col("_n0") + F.col("_n1"))
+            mixed = interleave_positions(r, F.col("_n0"), F.col("_n1"), x["c"] == 0, interleave)
+            return F.struct(F.when(x["c"] == 2, F.lit(1 << 45) + r).otherwise(mixed).alias("o"), x.alias("x"))
+
+        met = met.withColumn("_items", F.transform(F.sort_array(F.transform("_items", placed)), lambda s: s["x"]))
+    out = met.select("cell_id", F.posexplode(F.slice("_items", 1, max(n, 0))).alias("pos", "x"))
     if expressed_only is not None:
-        out = out.where((hash_uniform(f"{seed}e", "cell_id") >= expressed_only) | (F.col("_class") == 0))
-    return out.select("cell_id", "batch_id", "pos", "gene", "value")
+        out = out.where((hash_uniform(f"{seed}e", "cell_id") >= expressed_only) | (F.col("x.c") == 0))
+    return out.select("cell_id", "x.batch_id", "pos", "x.gene", "x.value")
 
 
 def add_datastore_field(rows, store, feature: str, out: str, log: bool = False) -> DataFrame:
