@@ -57,7 +57,7 @@ def _windows(ranked: DataFrame, by: list[str]) -> DataFrame:
 def _tile_moments(by: list[str]):
     def run(targets: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
         if not len(targets) or not len(sources):
-            return pd.DataFrame({**{c: [] for c in by}, "_r": [], **{m: [] for m in MOMENTS}})
+            return targets[[*by, "_r"]].head(0).assign(**{m: 0.0 for m in MOMENTS})  # keys keep their types: Arrow turns no empty numbers into text
         d = sources["r_x"].to_numpy()[None] - targets["x"].to_numpy()[:, None]
         h = targets["h"].to_numpy()[:, None]
         u = np.divide(d, h, out=np.where(d == 0, 0.0, 2.0), where=h > 0)
@@ -143,7 +143,7 @@ def standardized_variance(expr: DataFrame, obs: DataFrame, batch: Sequence[str]
 def _zero_sums(by: list[str], theta: float):
     def run(genes: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         if not len(genes) or not len(totals):
-            return pd.DataFrame({**{c: [] for c in by}, "gene": [], "z1": [], "z2": []})
+            return genes[[*by, "gene"]].head(0).assign(z1=0.0, z2=0.0)
         mu = genes["p"].to_numpy()[:, None] * totals["r_total"].to_numpy()[None]
         z = np.minimum(np.sqrt(mu / (1 + mu / theta)), totals["r_limit"].to_numpy()[None])
         cells = totals["r_cells"].to_numpy(float)

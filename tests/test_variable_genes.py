@@ -84,3 +84,13 @@ def test_top_genes_and_empty_tables(spark, counts):
         assert stats.highly_variable_genes(expr.limit(0), obs.limit(0), flavor=flavor, n_top_genes=7).count() == 0
         with pytest.raises(ValueError, match="n_top_genes"):
             stats.highly_variable_genes(expr, obs, flavor=flavor)
+
+
+@pytest.mark.parametrize("batch", [[], ["batch"]])
+def test_tiles_without_genes_or_totals(spark, counts, batch, monkeypatch):
+    """With tiles of one row many tiles are empty on one side."""
+    expr, obs = tables(spark, counts[:12, :9])
+    want = {r["gene"]: r["variance_norm"] for r in variable_genes.residual_variance(expr, obs, batch).collect()}
+    monkeypatch.setattr(variable_genes, "TILE", 1)
+    got = {r["gene"]: r["variance_norm"] for r in variable_genes.residual_variance(expr, obs, batch).collect()}
+    assert got == pytest.approx(want) and len(got) == len(want) > 0
