@@ -1,6 +1,7 @@
 """Chunks cut from tiles against chunks of whole sequences."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +65,26 @@ def test_no_tiles(spark, texts):
 def test_only_border_pieces_are_exchanged(spark, texts):
     plan = sq.chunk_tiles(tiles(spark, texts, 64), 16)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and "Window" not in plan and "Join" not in plan
+
+
+def test_site_matrix_exchanges_no_bases(spark, texts, monkeypatch):
+    """Variants across the borders of tiles and stretches, repeated and without a chromosome, against sums over single positions."""
+    monkeypatch.setattr(sq, "STRETCH", 7)
+    text = texts["a"][:60]
+    variants = [("a", 5, text[5:9], [(text[5:9], 0.5), ("T", 0.25), (text[5:9] + "GG", 0.25)]), ("a", 8, text[8], [(text[8], 0.5), ("T", 0.5)]),
+                ("a", 8, text[8], [(text[8], 1.0)]), (None, 2, "A", [("A", 0.5), ("C", 0.5)])]
+    v = spark.createDataFrame(variants, "chrom string, pos long, ref string, alleles array<struct<allele string, prob double>>")
+    cut = [("a", i, s, text[s:e]) for i, (s, e) in enumerate([(0, 6), (6, 20), (20, 21), (21, 60)])] + [(None, 0, 0, "ACA")]
+    out = sq.site_matrix(spark.createDataFrame(cut, "chrom string, tile long, start long, seq string"), v)
+    sums = {}
+    for c, pos, ref, alleles in variants:
+        for allele, p in alleles:
+            for o in range(len(ref)):
+                s = allele[o] + "I" if len(allele) > len(ref) and o == len(ref) - 1 else allele[o] if o < len(allele) else "DEL"
+                sums.setdefault((c, pos + o), {}).setdefault(s, []).append(p)
+    want = {(c, at, s, round(sum(p) / sum(map(sum, by.values())), 9)) for (c, at), by in sums.items() for s, p in by.items()}
+    want |= {("a", i, b, 1.0) for i, b in enumerate(text) if ("a", i) not in sums} | {(None, i, b, 1.0) for i, b in enumerate("ACA")}
+    got = [(r["chrom"], r["pos"], r["symbol"], round(r["prob"], 9)) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(chrom#\d+, pos#", plan)
