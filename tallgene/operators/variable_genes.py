@@ -6,6 +6,7 @@ histogram of cell totals (``pearson_residuals``). No table of cells by genes is
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,6 +20,8 @@ from tallgene.functions.ranks import meet
 #: Genes or distinct totals that meet in one task.
 TILE = 1024
 MOMENTS = ["s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2"]
+#: Power sums of x, and of y by powers of x, that a node of tiles keeps: those of a moment and of the tricube's polynomial. Largest node: 2 ** LEVELS tiles.
+POWERS, Y_POWERS, LEVELS = 14, 12, 10
 
 
 def _schema(df: DataFrame, cols: Sequence[str], more: str) -> str:
@@ -74,11 +77,91 @@ def _tile_moments(by: list[str]):
     return run
 
 
+def _shifted(a: np.ndarray, b: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Sums of (a v + b) ** p by p and point, from the ``sums`` of v ** p, one row for all points or one each."""
+    n = sums.shape[-1]
+    left, right = np.ones((n, len(a))), np.ones((n, len(a)))
+    for p in range(1, n):
+        left[p], right[p] = left[p - 1] * a, right[p - 1] * b
+    left *= sums.T if sums.ndim > 1 else sums[:, None]
+    return np.array([sum(math.comb(p, m) * left[m] * right[p - m] for m in range(p + 1)) for p in range(n)])
+
+
+NODE = "c double, r double, px array<double>, py array<double>"
+
+
+def _node(keys: pd.DataFrame, low: float, high: float, sums) -> pd.DataFrame:
+    center = (low + high) / 2
+    px, py = sums(center, (high - low) / 2 or 1.0)
+    return keys.head(1).assign(c=center, r=(high - low) / 2, px=[px], py=[py])
+
+
+def _tile_sums(keys: list[str]):
+    """A tile's power sums about the middle of its x, in units of half its width, so that no power is beyond 1."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        x, y = part["x"].to_numpy(), part["y"].to_numpy()
+
+        def sums(center: float, width: float):
+            v = ((x - center) / width)[None] ** np.arange(POWERS)[:, None]
+            return v.sum(1), (v[:Y_POWERS] * y).sum(1)
+
+        return _node(part[keys], x.min(), x.max(), sums)
+
+    return run
+
+
+def _node_sums(keys: list[str]):
+    """The power sums of a node from those of its tiles."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        c, r = part["c"].to_numpy(), part["r"].to_numpy()
+
+        def sums(center: float, width: float):
+            return tuple(_shifted(r / width, (c - center) / width, np.vstack(part[col])).sum(1) for col in ("px", "py"))
+
+        return _node(part[keys], (c - r).min(), (c + r).max(), sums)
+
+    return run
+
+
+def _far_moments(by: list[str]):
+    """Moments of targets over nodes that lie inside all their windows, on one side of them: there the tricube is a polynomial of the distance."""
+    def run(targets: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        if not len(targets) or not len(nodes):
+            return targets[[*by, "_r"]].head(0).assign(**{m: 0.0 for m in MOMENTS})
+        x, h = targets["x"].to_numpy(), targets["h"].to_numpy()
+        h = np.where(h > 0, h, 1.0)
+        sums = {m: np.zeros(len(x)) for m in MOMENTS}
+        for c, r, side, px, py in zip(*(nodes[f"r_{k}"] for k in ("c", "r", "_side", "px", "py")), strict=True):
+            for name, powers, n in (("s", px, 5), ("t", py, 3)):
+                u = _shifted(r / h, (c - x) / h, np.asarray(powers))
+                for k in range(n):
+                    sums[f"{name}{k}"] += u[k] - 3 * side * u[k + 3] + 3 * u[k + 6] - side * u[k + 9]
+        return pd.DataFrame({**{c: targets[c].to_numpy() for c in by}, "_r": targets["_r"].to_numpy(), **sums})
+
+    return run
+
+
+def _halves(first: Column, last: Column, side: int) -> Column:
+    """Nodes (side, level, node) that make up the tiles first..last: where a border is odd at a level, its node stands alone there."""
+    found = []
+    for level in range(LEVELS + 1):
+        low, high = F.ceil(first / (1 << level)), F.floor((last + 1) / (1 << level))
+        at = lambda c: F.array(F.struct(F.lit(side).alias("_side"), F.lit(level).alias("_level"), c.cast("long").alias("_node")))  # noqa: B023, E731
+        none = F.array().cast("array<struct<_side:int,_level:int,_node:bigint>>")
+        if level == LEVELS:
+            found.append(F.when(low < high, F.transform(F.sequence(low, high - 1), lambda c: at(c)[0])).otherwise(none))
+        else:
+            found += [F.when((low < high) & (edge % 2 == 1), at(c)).otherwise(none) for edge, c in ((low, low), (high, high - 1))]
+    return F.concat(*found)
+
+
 def local_quadratic(points: DataFrame, by: Sequence[str], key: str, span: float) -> DataFrame:
     """``points`` (by, key, x, y) with ``fit``: local quadratic regression of y on x at every point, tricube weights over its q = span * n nearest.
 
-    Points are ranked by x within a group and cut into tiles of TILE; a tile meets those that its windows reach and gets weighted
-    moments back, so no pair of points becomes a row. Windows with fewer than three distinct x fall back to a line or a mean.
+    Points are ranked by x within a group and cut into tiles of TILE. A tile meets itself and the tiles that the ends of its windows fall into,
+    a number in proportion to the tiles, and gets weighted moments back. What lies between is inside all its windows and on one side, where the weight is
+    a polynomial of the distance: few nodes of 2 ** level tiles stand for it by their power sums. No pair of points becomes a row.
+    Windows with fewer than three distinct x fall back to a line or a mean.
     """
     by = list(by)
     order = Window.partitionBy(*by).orderBy("x", key)
@@ -86,13 +169,26 @@ def local_quadratic(points: DataFrame, by: Sequence[str], key: str, span: float)
     ranked = points.select(*by, key, "x", "y", (F.row_number().over(order) - 1).cast("long").alias("_r"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("_n"))
     ranked = stable(ranked.withColumn("_q", q.cast("long")))
     windows = stable(_windows(ranked.select(*by, "_r", "x", "y", "_q"), by).withColumn("_t", F.floor(F.col("_r") / TILE)))
-    reach = windows.groupBy(*by, "_t").agg(F.floor(F.min("_lo") / TILE).alias("_first"), F.floor(F.max("_hi") / TILE).alias("_last"))
-    pairs = stable(reach.select(*by, "_t", F.explode(F.sequence("_first", "_last")).alias("_u")))
+    reach = stable(windows.groupBy(*by, "_t").agg(*[F.floor(f(c) / TILE).alias(n) for f, c, n in (
+        (F.min, "_lo", "_first"), (F.max, "_lo", "_from"), (F.min, "_hi", "_to"), (F.max, "_hi", "_last"))]))
+    t, first, last = F.col("_t"), F.col("_from") + 1, F.col("_to") - 1
+    ends = F.array_distinct(F.concat(F.sequence("_first", "_from"), F.array("_t"), F.sequence("_to", "_last")))
+    pairs = reach.select(*by, "_t", F.explode(F.when(first > last, F.sequence("_first", "_last")).otherwise(ends)).alias("_u"))
     targets = meet(windows.select(*by, "_t", "_r", "x", "h"), pairs, [*by, "_t"])
-    sources = meet(ranked.select(*by, F.floor(F.col("_r") / TILE).alias("_u"), "x", "y"), pairs, [*by, "_u"])
+    cut = ranked.select(*by, F.floor(F.col("_r") / TILE).alias("_u"), "x", "y")
+    sources = meet(cut, pairs, [*by, "_u"])
     keys = [*by, "_t", "_u"]
-    moments = _meetings(targets, sources, keys).applyInPandas(_tile_moments(by), _schema(ranked, [*by, "_r"], ", ".join(f"{m} double" for m in MOMENTS)))
-    sums = moments.groupBy(*by, "_r").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+    schema = _schema(ranked, [*by, "_r"], ", ".join(f"{m} double" for m in MOMENTS))
+    near = _meetings(targets, sources, keys).applyInPandas(_tile_moments(by), schema)
+    tiles = cut.groupBy(*by, "_u").applyInPandas(_tile_sums([*by, "_u"]), _schema(cut, [*by, "_u"], NODE))
+    above = F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("_level"), F.floor(F.col("_u") / F.pow(F.lit(2.0), k)).alias("_node"))))
+    tiles = tiles.withColumn("_of", above).select(*by, "_of.*", "c", "r", "px", "py")
+    node = [*by, "_level", "_node"]
+    nodes = tiles.groupBy(*node).applyInPandas(_node_sums(node), _schema(tiles, node, NODE))
+    halves = F.concat(_halves(first, F.least(last, t - 1), -1), _halves(F.greatest(first, t + 1), last, 1))
+    inside = meet(reach.select(*by, "_t", F.explode(halves).alias("_h")).select(*by, "_t", "_h.*"), nodes, node).select(*by, "_t", "_side", "c", "r", "px", "py")
+    far = _meetings(windows.select(*by, "_t", "_r", "x", "h"), inside, [*by, "_t"]).applyInPandas(_far_moments(by), schema)
+    sums = near.unionByName(far).groupBy(*by, "_r").agg(*[F.sum(m).alias(m) for m in MOMENTS])
     return meet(ranked.select(*by, key, "_r"), sums, [*by, "_r"]).select(*by, key, _intercept().alias("fit"))
 
 

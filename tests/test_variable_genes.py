@@ -38,6 +38,34 @@ def test_local_quadratic(spark, n, monkeypatch):
         assert r["fit"] == pytest.approx(want[r["batch"], r["gene"]], rel=1e-6, abs=1e-6)
 
 
+def test_local_quadratic_meets_few_tiles(spark, monkeypatch):
+    """Tiles inside a window come as sums of nodes: the points that meet one another follow the points, not the windows."""
+    monkeypatch.setattr(variable_genes, "TILE", 8)
+    monkeypatch.setattr(variable_genes, "LEVELS", 3)
+    rng = np.random.default_rng(5)
+    met, tile_moments = spark.sparkContext.accumulator(0), variable_genes._tile_moments
+
+    def counted(by):
+        inner = tile_moments(by)
+
+        def run(targets, sources):
+            met.add(1)
+            return inner(targets, sources)
+
+        return run
+
+    monkeypatch.setattr(variable_genes, "_tile_moments", counted)
+    x = np.concatenate([rng.normal(size=500), np.full(60, 0.25), rng.normal(size=40) * 1e-7 + 3])
+    y = np.sin(x) + rng.normal(size=600)
+    rows = [(f"g{i}", float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    got = variable_genes.local_quadratic(spark.createDataFrame(rows, "gene string, x double, y double"), [], "gene", 0.5).collect()
+    want = loess(x, y, 0.5)
+    assert len(got) == 600
+    for r in got:
+        assert r["fit"] == pytest.approx(want[int(r["gene"][1:])], rel=1e-6, abs=1e-6)
+    assert met.value < 75 * 12  # 75 tiles; all that windows reach would be 75 * 38
+
+
 @pytest.fixture(scope="module")
 def counts():
     rng = np.random.default_rng(3)
