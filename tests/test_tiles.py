@@ -88,3 +88,36 @@ def test_site_matrix_exchanges_no_bases(spark, texts, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(chrom#\d+, pos#", plan)
+
+
+def test_short_ends_are_cut_without_the_others(spark, texts):
+    """Only the first and the last piece of a tile go to the exchange: its side of the plan cuts no list of pieces."""
+    plan = sq.chunk_tiles(tiles(spark, texts, 64), 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_alleles_are_made_once(spark):
+    """No filter on the size of the alleles makes them a second time; empty and null lists have no rows."""
+    rows = [("a", 1, "0.5"), ("a", 2, "."), (None, 3, "0.25")]
+    v = spark.createDataFrame(rows, "chrom string, pos long, f string").select("chrom", "pos", sq.fix_reference(F.array(F.lit("A"), F.lit("C")), F.array(F.lit(0.5), F.col("f").try_cast("double"))).alias("alleles"))
+    out = sq.each_allele(v, "chrom", "pos")
+    assert {(r["pos"], r["allele"], r["prob"]) for r in out.collect()} == {
+        (1, "A", 0.5), (1, "C", 0.5), (2, "A", 0.5), (3, "A", 0.5), (3, "C", 0.25)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("zip_with") == 1
+    none = spark.createDataFrame([("a", []), ("b", None)], "chrom string, alleles array<struct<allele string, prob double>>")
+    assert sq.each_allele(none, "chrom").count() == 0
+
+
+def test_pairs_are_drawn_where_the_sites_are(spark):
+    v = spark.createDataFrame([("a", 1020 + i, "ACG", [("ACG", 0.5), ("T", 0.5)]) for i in range(0, 60, 3)], "chrom string, pos long, ref string, alleles array<struct<allele string, prob double>>")
+    out = sq.draw_allele_pairs(sq.variant_sites(v, binned=True))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, sq.draw_allele_pairs(sq.variant_sites(v)).collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_overlaps_exchange_rows_once(spark):
+    v = spark.createDataFrame([("a", 5, "ACG"), ("a", 6, "A"), ("a", 2_000_000, "A"), ("a", 1_999_999, "AC"), ("b", 7, "A")], "chrom string, pos long, ref string")
+    out = sq.overlapping_variants(v)
+    assert sorted(map(tuple, out.collect())) == [("a", 6, "A"), ("a", 2_000_000, "A")]
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]

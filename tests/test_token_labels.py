@@ -61,3 +61,11 @@ def test_dna_csv_round_trip(spark, tmp_path):
     (tmp_path / "plain").mkdir()
     (tmp_path / "plain" / "test.csv").write_text("seq,label\nGG,0\n")
     assert [tuple(r) for r in io.read_dna_csv(spark, f"{tmp_path}/plain").collect()] == [("GG", "0", "test")]
+
+
+def test_token_labels_of_null_tokens(spark):
+    chunks = [("c", 0, False, ["AC", None, "G"]), ("c", 0, True, ["AC", None, "G"]), ("d", 0, True, ["AC", None]), ("c", 0, False, ["ACG", None])]
+    rows = spark.createDataFrame([(*c, i) for i, c in enumerate(chunks)], "chrom string, chunk long, reverse boolean, tokens array<string>, i int")
+    out = sq.token_variant_labels(rows, spark.createDataFrame([("c", 1)], "chrom string, pos long"), 10)
+    assert {r["i"]: r["labels"] for r in out.collect()} == {0: [1, 0, None], 1: [None, None, None], 2: [0, 0], 3: [1, 0]}
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
