@@ -17,10 +17,15 @@ def _col(k) -> Column:
     return k if isinstance(k, Column) else F.col(k)
 
 
+def hash_text(seed, *keys) -> Column:
+    """The 13 hexadecimal digits of :func:`hash_int`, which sort as the number does."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[_col(k).cast("string") for k in keys])
+    return F.substring(F.md5(text), 1, 13)
+
+
 def hash_int(seed, *keys) -> Column:
     """52-bit integer hash of (seed, keys) as bigint."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[_col(k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    return F.conv(hash_text(seed, *keys), 16, 10).cast("bigint")
 
 
 def hash_uniform(seed, *keys) -> Column:

@@ -195,12 +195,8 @@ def use_layer(expr, layer: str) -> DataFrame:
     return expr.select("cell_id", "gene", F.col(layer).alias("value"))
 
 
-def dense_rows(expr, cells, genes) -> DataFrame:
-    """prj_dense_row: every gene for every cell, absent = 0.
-
-    The gene list is cut into numbered pieces. A cell's entries meet it piece by piece, and the genes that a piece has beyond them are added
-    next to them, so that only entries are exchanged and dense rows are made where they are read. With one piece they stay dealt by cell.
-    """
+def _dense_lists(expr, cells, genes):
+    """Rows (cell_id, ..), the column that lists a piece's genes with the cell's entries and nulls for absent ones, and the number of pieces."""
     listed, n = pieces_of(genes, "gene", distinct=True)
     table = numbered_pieces(listed, n, "gene")
     table = F.broadcast(table) if n == 1 else table  # one row of at most PIECE genes
@@ -211,8 +207,27 @@ def dense_rows(expr, cells, genes) -> DataFrame:
     asked = asking(cells.select("cell_id"), n).join(own, keys, "left").join(table, ["_piece", "_copy"])
     asked = asked.withColumn("_own", F.coalesce("_own", F.array().cast(own.schema["_own"].dataType)))
     zeros = F.transform(F.array_except("_items.gene", "_own.gene"), lambda g: F.struct(g.alias("gene"), *[F.lit(None).cast(expr.schema[c].dataType).alias(c) for c in others]))
-    rows = asked.select("cell_id", F.explode(F.concat("_own", zeros)).alias("_x")).select("cell_id", "_x.*")
-    return rows.withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return asked, F.concat("_own", zeros), n
+
+
+def dense_rows(expr, cells, genes) -> DataFrame:
+    """prj_dense_row: every gene for every cell, absent = 0.
+
+    The gene list is cut into numbered pieces. A cell's entries meet it piece by piece, and the genes that a piece has beyond them are added
+    next to them, so that only entries are exchanged and dense rows are made where they are read. With one piece they stay dealt by cell.
+    """
+    asked, full, _ = _dense_lists(expr, cells, genes)
+    return asked.select("cell_id", F.explode(full).alias("_x")).select("cell_id", "_x.*").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def dense_samples(expr, cells, genes) -> DataFrame:
+    """The dense rows of every distinct cell as one sample (cell_id, items), items in gene order: lists that are never rows in between."""
+    asked, full, n = _dense_lists(expr, cells.select("cell_id").distinct(), genes)
+    items = F.transform(full, lambda x: F.struct(x["gene"].alias("gene"), F.coalesce(x["value"], F.lit(0.0)).alias("value")))
+    lists = asked.select("cell_id", items.alias("items"))
+    if n > 1:
+        lists = lists.groupBy("cell_id").agg(F.flatten(F.collect_list("items")).alias("items"))
+    return lists.select("cell_id", F.sort_array("items").alias("items"))
 
 
 def order_genes(expr, var, col: str, ascending: bool = False) -> DataFrame:

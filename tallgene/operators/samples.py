@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallgene.functions.lineage import stable
 from tallgene.functions.lists import halving_steps, in_sorted
-from tallgene.functions.rand import hash_int, hash_uniform
+from tallgene.functions.rand import hash_int, hash_text, hash_uniform
 
 
 def build_samples(rows, *fields: str, order: str = "gene") -> DataFrame:
@@ -26,7 +29,9 @@ def build_samples(rows, *fields: str, order: str = "gene") -> DataFrame:
 
 def item_rows(samples, *keep: str) -> DataFrame:
     """Samples back to long rows with the position of every item."""
-    return samples.select("cell_id", *keep, F.posexplode("items").alias("pos", "i")).select("cell_id", *keep, "pos", "i.*")
+    # the outer form: the plain one first asks whether there are items, and for that makes the whole list of a transform a second time
+    made = samples.select("cell_id", *keep, F.posexplode_outer("items").alias("pos", "i")).where("pos IS NOT NULL")
+    return made.select("cell_id", *keep, "pos", "i.*")
 
 
 def collect_rows(rows, *fields: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -135,19 +140,34 @@ def _log_factorial(n: Column) -> Column:
     return n * F.log(n) - n + F.log(n * 6.283185307179586) / 2 + 1 / (12 * n) - 1 / (360 * n * n * n)
 
 
-def _inverse(first: Column, low: Column, high: Column, ratio, u: Column) -> Column:
-    """Number of values from ``low`` on whose distribution value is at most ``u``, plus ``low``: terms follow from ``first`` by ``ratio(k)``.
+def _inverse(ratio: Callable) -> Callable:
+    """Number of values from ``low`` on whose distribution value is at most ``u``, plus ``low``, as a function of the columns first, low, high, u and more.
 
-    The window from low to high leaves tails below the resolution of a draw.
+    Terms follow from ``first`` by ``ratio(k, more..)``; a row leaves the rounds when its draw is passed. The window from low to high leaves
+    tails below the resolution of a draw. Rows with a null have null.
     """
-    start = F.struct(first.alias("p"), first.alias("c"), (low + F.when(first <= u, 1).otherwise(0)).alias("k"))
-
-    def step(acc, i):
-        p = acc["p"] * ratio(i)
-        return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), (acc["k"] + F.when(acc["c"] + p <= u, 1).otherwise(0)).alias("k"))
-
-    steps = F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(steps, start, step)["k"]
+    @F.pandas_udf(T.LongType())
+    def run(columns: pd.DataFrame) -> pd.Series:
+        out = pd.Series(pd.array([None] * len(columns), dtype="Int64"))
+        here = columns.notna().all(axis=1).to_numpy()
+        p, low, high, u, *more = columns[here].to_numpy(np.float64).T
+        p, c, at, k = p.copy(), p.copy(), low.copy(), low + (p <= u)
+        going = np.flatnonzero((c <= u) & (at < high))
+        while len(going):
+            at[going] += 1
+            p[going] = p[going] * ratio(at[going], *[m[going] for m in more])
+            c[going] += p[going]
+            under = c[going] <= u[going]
+            k[going] += under
+            going = going[under & (at[going] < high[going])]
+        out[here] = k.astype(np.int64)
+        return out
+
+    return lambda first, low, high, u, *more: run(F.struct(*[x.cast("double").alias(f"c{i}") for i, x in enumerate((first, low, high, u, *more))]))
+
+
+_binomial_inverse = _inverse(lambda k, n, q: (n - k + 1) / k * q / (1 - q))
+_poisson_inverse = _inverse(lambda k, rate: rate / k)
 
 
 def _window(mean: Column, sd: Column) -> tuple[Column, Column]:
@@ -163,7 +183,7 @@ def binomial(n: Column, p: Column, u: Column) -> Column:
     low, high = _window(mean, F.sqrt(mean * (1 - q)))
     at_low = _log_factorial(n) - _log_factorial(low) - _log_factorial(n - low) + low * F.log(q) + (n - low) * F.log(1 - q)
     first = F.when(low == 0, F.exp(n * F.log1p(-q))).otherwise(F.exp(at_low))
-    drawn = F.least(n.cast("bigint"), _inverse(first, low, F.least(high, n.cast("bigint")), lambda k: (n - k + 1) / k * q / (1 - q), v))
+    drawn = F.least(n.cast("bigint"), _binomial_inverse(first, low, F.least(high, n.cast("bigint")), v, n, q))
     return F.when((n < 1) | (p <= 0), F.lit(0)).when(p >= 1, n).when(p <= 0.5, drawn).otherwise(n - drawn)
 
 
@@ -185,7 +205,8 @@ def rda_downsample(samples, threshold: float | None, normalized_sum=10000.0, max
     else:
         thin = (F.col("_raw") >= threshold) & (hash_uniform(f"{seed}g", "cell_id") < 0.5)
         rows = rows.withColumns({"_thin": thin, "_b": beta_2_2(seed, "cell_id")})
-        drawn = binomial(F.col("raw"), F.col("_b"), hash_uniform(seed, "cell_id", "gene")).cast("double")
+        # only thinned cells are drawn; others reach no round
+        drawn = binomial(F.when(F.col("_thin"), F.col("raw")), F.col("_b"), hash_uniform(seed, "cell_id", "gene")).cast("double")
         rows = rows.withColumn("inp", F.when(F.col("_thin"), drawn).otherwise(F.col("raw")))
     rows = rows.withColumn("_in", F.sum("inp").over(cell))
     total = F.when(F.col("_raw") == 0, F.lit(1.0)).otherwise(F.col("_raw"))
@@ -220,7 +241,7 @@ def poisson(rate: Column, u: Column) -> Column:
     """Poisson draw by inverse distribution of one uniform draw; terms start near the mean where that is large, so none underflows."""
     low, high = _window(rate, F.sqrt(rate))
     first = F.when(low == 0, F.exp(-rate)).otherwise(F.exp(low * F.log(rate) - rate - _log_factorial(low)))
-    return _inverse(first, low, high, lambda k: rate / k, u)
+    return _poisson_inverse(first, low, high, u, rate)
 
 
 def poisson_downsample(samples, renoise: float = 0.6, max_length: int | None = None, log: bool = True, seed=0) -> DataFrame:
@@ -244,7 +265,7 @@ def pad_random(samples, n: int, seed=0) -> DataFrame:
     """arr_pad_random: all nonzero items, then random zeros up to n."""
     nonzero = F.filter("items", lambda x: x["value"] > 0)
     zeros = F.filter("items", lambda x: x["value"] <= 0)
-    keyed = F.transform(zeros, lambda x: F.struct(hash_int(seed, F.col("cell_id"), x["gene"]).alias("k"), x["gene"].alias("g"), x.alias("x")))
+    keyed = F.transform(zeros, lambda x: F.struct(hash_text(seed, F.col("cell_id"), x["gene"]).alias("k"), x["gene"].alias("g"), x.alias("x")))
     drawn = F.transform(F.sort_array(keyed), lambda s: s["x"])
     need = F.greatest(F.lit(0), F.lit(n) - F.size(nonzero))
     return samples.withColumn("items", F.concat(nonzero, F.slice(drawn, F.lit(1), need)))

@@ -6,6 +6,7 @@ from tallgene.functions.rand import hash_int_sql as hi
 from tallgene.functions.rand import hash_uniform_sql as hu
 from tallgene.operators import samples as sm
 from tallgene.operators import stats as st
+from tallgene.operators.filters import dense_rows, dense_samples
 from tallgene.plans.bind import views
 from tallgene.plans.registry import query, rounded
 
@@ -130,11 +131,9 @@ def _(t):
     return rounded(rows(sm.poisson_downsample(smp(t))), "value", "label")
 
 
-def dense(t):
-    from tallgene.operators.filters import dense_rows
-
+def dense(t, make=dense_rows):
     cells = t.lineitem.select(F.col("l_orderkey").cast("string").alias("cell_id")).distinct()
-    return dense_rows(t.pexpr, cells, t.part.select(F.col("p_brand").alias("gene")))
+    return make(t.pexpr, cells, t.part.select(F.col("p_brand").alias("gene")))
 
 
 DENSE = views("pexpr")[:-1] + """, dense AS (SELECT cell_id, gene, coalesce(value, 0) AS value FROM (SELECT DISTINCT cell_id FROM pexpr)
@@ -143,7 +142,7 @@ DENSE = views("pexpr")[:-1] + """, dense AS (SELECT cell_id, gene, coalesce(valu
 
 @query("arr_pad_random", DENSE + f"SELECT * FROM ({numbered('dense', 'CASE WHEN value > 0 THEN 0 ELSE 1 END, CASE WHEN value > 0 THEN 0 ELSE ' + hi(0, 'cell_id', 'gene') + ' END, gene')}) WHERE pos < 12 OR value > 0")
 def _(t):
-    return rows(sm.pad_random(sm.build_samples(dense(t)), 12))
+    return rows(sm.pad_random(dense(t, dense_samples), 12))
 
 
 BATCHED = DENSE + f""", b AS (SELECT cell_id, CAST(cell_id AS BIGINT) // 4 AS batch_id, gene, value, row_number() OVER (PARTITION BY cell_id ORDER BY gene) - 1 AS p FROM dense),
