@@ -41,14 +41,22 @@ def field_frame(batches, vocab, samples=None) -> DataFrame:
     return out if samples is None else out.join(samples, "sample_id", "left")
 
 
+#: Copies of a class name, of which a row meets one.
+COPIES = 256
+
+
 def label_frame(preds, dictionary) -> DataFrame:
-    """met_label_frame: class ids to names; the silent id -100 gets its own name."""
-    out = preds
+    """met_label_frame: class ids to names; the silent id -100 gets its own name.
+
+    Most rows may have one class, so every name has COPIES copies and a row meets one of them by its hash: no task gets all rows of a class.
+    """
+    out = preds.withColumn("_copy", F.pmod(F.xxhash64(*preds.columns), F.lit(COPIES)).cast("int"))
     for col in ("predicted", "label"):
         names = dictionary.select(F.col("label_id").alias(f"{col}_id"), F.col("label").alias(f"_{col}"))
-        out = out.join(names, f"{col}_id", "left").withColumn(
+        names = names.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+        out = out.join(names, [f"{col}_id", "_copy"], "left").withColumn(
             col, F.when(F.col(f"{col}_id") == IGNORE, F.lit(SILENCED)).otherwise(F.col(f"_{col}"))).drop(f"_{col}")
-    return out
+    return out.drop("_copy")
 
 
 def gene_errors(pred, score: str | None = None) -> DataFrame:
