@@ -77,6 +77,19 @@ def test_dense_samples_are_the_dense_rows(spark, piece, monkeypatch):
     assert piece < 5 or "Generate explode(concat" not in plan(out)
 
 
+def test_text_is_dealt_by_its_length(spark, monkeypatch):
+    monkeypatch.setattr(sq, "HELD", 1)
+    seqs = spark.createDataFrame([(c, "".join("ACGT"[(i * i + len(c)) % 4] for i in range(n))) for c, n in (("a", 95), ("bb", 40), ("ccc", 0))], "chrom string, seq string")
+    tiles = sq.to_tiles(seqs, 10)
+    cuts = spark.createDataFrame([("a", 3, 9), ("a", 8, 95), ("a", 10, 20), ("bb", 0, 40), ("bb", 39, 60), ("ccc", 0, 5), ("d", 0, 5)], "chrom string, start long, end long")
+    out = sq.extract(tiles, cuts, 10, sq.tile_lengths(tiles))
+    text = dict(map(tuple, seqs.collect()))
+    got = {tuple(r) for r in out.collect()}
+    assert got == {(c, a, b, text[c][a:b]) for c, a, b in map(tuple, cuts.collect()) if text.get(c, "")[a:b]}
+    assert got == {tuple(r) for r in sq.extract(tiles, cuts, 10).collect()}
+    assert out.rdd.getNumPartitions() == 14
+
+
 def counted(first, low, high, u, ratio):
     p = c = first
     k = low + (c <= u)
