@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallgene.functions.lineage import scratch_path
 from tallgene.llm import jaccard, lexicon, mixing, pii, queries, toxicity
 from tallgene.llm.batches import short_batches
+from tallgene.llm.graph import kept
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +39,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids, their number and digests of ids and of the text they decode to."""
+    """doc_id, source, ids, their number and digests of ids and of the text they decode to. Ids are written between encoding and decoding, as a
+    task of both would hold two Python workers, and an executor keeps as many as it has had at once."""
     short_batches(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = lexicon.encode(docs, path, lexicon.build_lexicon(docs, path), keep=("doc_id", "source"))
+    encoded = kept(lexicon.encode(docs, path, lexicon.build_lexicon(docs, path), keep=("doc_id", "source")), "encoded")
     return queries.digests(lexicon.decode(encoded, path, keep=("doc_id", "source", "ids")), "doc_id", "source", "ids")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tallgene.llm.batches import text_slices
+from tallgene.llm.batches import frugal, text_slices
 from tallgene.llm.graph import KeyFilter, components, kept, most_frequent
 from tallgene.llm.hashing import MIX, Words, joined, mix, runs
 
@@ -80,7 +80,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
                     parts, size = [], 0
         yield report(parts)
 
-    rows = docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(frugal(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     top = most_frequent(rows.where(F.col("n") >= 2 * LOCAL), HOT).select("s").toPandas()["s"]
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     rows.append((doc, len(s), int(keys[0]), int(keys[1]), sketch.tobytes(), prefix.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "n", "k1", "k2", "sketch", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sketch binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, n long, k1 long, k2 long, sketch binary, prefix array<long>")
 
 
 def regions(signed: DataFrame, reps: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_ids(part), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "s"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, s array<long>").where(F.size("s") > 0)
+    return rows.mapInArrow(frugal(run), "doc_id long, s array<long>").where(F.size("s") > 0)
 
 
 def join_large(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -329,14 +329,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
     described = members.join(sizes, "pivot").join(signed.where("n > 0").select("doc_id", "n", "sketch"), "doc_id").select("pivot", "doc_id", "n", "sketch", "m")
     possible = described.where(F.col("m") <= REGION).select("pivot", "doc_id", "n", "sketch").repartition("pivot").sortWithinPartitions("pivot")
-    cells = kept(possible.mapInArrow(_possible, "cell long, members array<long>, weight long").dropDuplicates(["cell"]), "cells")
+    cells = kept(possible.mapInArrow(frugal(_possible), "cell long, members array<long>, weight long").dropDuplicates(["cell"]), "cells")
     small = cells.where(F.col("weight") <= CELL).select(F.col("cell").alias("pivot"), F.explode("members").alias("doc_id"))
     heavy = cells.where(F.col("weight") > CELL).select(F.array_min("members").alias("pivot"), F.explode("members").alias("doc_id"))
     crowded = members.join(sizes.where(F.col("m") > REGION).select("pivot"), "pivot", "left_semi")
     large = kept(heavy.unionByName(crowded).distinct(), "cells")
     sets = set_table(docs, small.select("doc_id").unionByName(large.select("doc_id")).distinct())
     ready = small.join(sets, "doc_id").select("pivot", "doc_id", "s").repartition("pivot").sortWithinPartitions("pivot")
-    links = ready.mapInArrow(_joined, "a long, b long")
+    links = ready.mapInArrow(frugal(_joined), "a long, b long")
     if not large.isEmpty():
         links = links.unionByName(join_large(large, kept(sets.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), "sets")))
     found = components(links)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallgene.llm import bpe
-from tallgene.llm.batches import slices, text_slices, texts_of
+from tallgene.llm.batches import frugal, slices, text_slices, texts_of
 from tallgene.llm.graph import most_frequent
 
 #: Words of the transducer and bytes of the longest: its file stays within a few MB at any corpus size.
@@ -159,7 +159,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, words: int, text: str = "te
                     size = 0
         yield report()
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long")
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(frugal(run), "word string, n long")
     return [r["word"] for r in most_frequent(rows.groupBy("word").agg(F.sum("n").alias("n")), words).collect()]
 
 
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str, *, keep: tuple[str, .
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*part.schema.names[:-1], "ids"])
 
     slim = docs.select(*keep, F.col(text).alias("__text"))
-    return slim.mapInArrow(run, T.StructType([*slim.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return slim.mapInArrow(frugal(run), T.StructType([*slim.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, vocabulary: str, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -253,7 +253,7 @@ def decode(encoded: DataFrame, vocabulary: str, *, keep: tuple[str, ...] = ("doc
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pc.binary_join(lists, " ")], names=[*part.schema.names[:-1], "decoded"])
 
     slim = encoded.select(*keep, F.col("ids").alias("__ids"))
-    return slim.mapInArrow(run, T.StructType([*slim.schema.fields[:-1], T.StructField("decoded", T.StringType())]))
+    return slim.mapInArrow(frugal(run), T.StructType([*slim.schema.fields[:-1], T.StructField("decoded", T.StringType())]))
 
 
 def _kept_ids(lists: pa.ListArray, table: pa.Array) -> tuple[np.ndarray, np.ndarray]:
