@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,11 @@ SHINGLE, NEAR = 5, 0.25
 CLASSES = 64
 #: A shingle is put last in the order of prefixes if it is among the HOT most frequent of those seen LOCAL times in a slice of SLICE shingles.
 HOT, LOCAL, SLICE = 1 << 18, 4, 1 << 20
-#: Members of a region that one task compares by sketches and shingles of a cell that one task joins; what is larger is joined pivot by
-#: pivot over all tasks, so many pivots a round and so many parts a region.
+#: Members of a region that one task compares by sketches and shingles of a cell that one task joins; larger cells are joined pivot by
+#: pivot over all tasks, so many pivots a round and so many parts a cell.
 REGION, CELL, PIVOTS, SALTS = 4096, 2_000_000, 64, 32
+#: A larger region is compared in blocks of so many members, dealt by bands of sizes: sizes of linked sets differ by a third at most, less than a band.
+BLOCK, BAND = 2048, 1.34
 #: Members that meet one by one, and bytes of text that are shingled together.
 LEAF, TEXT = 32, 1_000_000
 # ASCII white space ends words, A-Z are lower-cased; byte 255, which UTF-8 never has, stands for byte 0.
@@ -145,17 +148,20 @@ def _by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         yield held
 
 
-def may_link(n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+def may_link(n: np.ndarray, sketches: list[bytes], side: np.ndarray | None = None) -> np.ndarray:
     """Members x members: whether sizes and class counts allow a link. Sizes of linked sets differ by a third at most; class counts
     differ by no more in sum than the symmetric difference, which a link bounds by a seventh of both sizes. Sketches of
-    two widths are compared at the smaller one, as the classes of the wider one fold onto it."""
+    two widths are compared at the smaller one, as the classes of the wider one fold onto it. Members of one ``side`` other than 0 are not compared."""
     out = np.zeros((len(n), len(n)), bool)
     width = np.array([len(x) for x in sketches])
     for level in np.unique(width):
         rows = np.flatnonzero((width == level) | (width == 2 * level))
         counts = np.stack([np.frombuffer(sketches[i], np.uint8).astype(np.int16).reshape(-1, level).sum(0) for i in rows])
         for at in np.flatnonzero(width[rows] == level):
-            fits = np.flatnonzero((4 * n[rows] >= 3 * n[rows[at]]) & (4 * n[rows[at]] >= 3 * n[rows]))
+            fits = (4 * n[rows] >= 3 * n[rows[at]]) & (4 * n[rows[at]] >= 3 * n[rows])
+            if side is not None and side[rows[at]]:
+                fits &= side[rows] != side[rows[at]]
+            fits = np.flatnonzero(fits)
             apart = np.abs(counts[fits] - counts[at]).sum(1)
             ok = rows[fits[7 * apart <= n[rows[fits]] + n[rows[at]]]]
             out[rows[at], ok] = out[ok, rows[at]] = True
@@ -163,29 +169,62 @@ def may_link(n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
     return out
 
 
+def _connected(near: np.ndarray) -> Iterator[np.ndarray]:
+    """Members (as flags) of every component of two or more."""
+    open_ = near.any(1)
+    while open_.any():
+        cell = np.zeros(len(near), bool)
+        front = np.zeros(len(near), bool)
+        front[np.argmax(open_)] = True
+        while front.any():
+            cell |= front
+            front = near[front].any(0) & ~cell
+        open_ &= ~cell
+        yield cell
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cells of every region: members that are connected by pairs that may be linked. A cell is named by its members' hash, as the
     same documents meet in the regions of many pivots."""
     for region in _by_region(batches):
         ids, n = np.array(region["doc_id"], np.int64), np.array(region["n"], np.int64)
-        near = may_link(n, region["sketch"])
-        open_ = near.any(1)
-        cells = []
-        while open_.any():
-            cell = np.zeros(len(ids), bool)
-            front = np.zeros(len(ids), bool)
-            front[np.argmax(open_)] = True
-            while front.any():
-                cell |= front
-                front = near[front].any(0) & ~cell
-            open_ &= ~cell
-            cells.append((np.sort(ids[cell]), int(n[cell].sum())))
+        cells = [(np.sort(ids[cell]), int(n[cell].sum())) for cell in _connected(may_link(n, region["sketch"]))]
         if cells:
             names = [int(mix(mix(c.view(np.uint64)) + np.arange(len(c), dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64)) for c, _ in cells]
             columns = [pa.array(names, pa.int64()), pa.array([c for c, _ in cells], pa.list_(pa.int64())), pa.array([w for _, w in cells], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["cell", "members", "weight"])
 
 
+def _possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of two blocks that meet, or of one that meets itself: each member of a component of pairs that may be linked with its first one."""
+    for room in _by_region(batches):
+        ids = np.array(room["doc_id"], np.int64)
+        cells = [ids[cell] for cell in _connected(may_link(np.array(room["n"], np.int64), room["sketch"], np.array(room["side"])))]
+        if cells:
+            pairs = [pa.array(np.concatenate(x), pa.int64()) for x in ([np.full(len(c) - 1, c[0]) for c in cells], [c[1:] for c in cells])]
+            yield pa.RecordBatch.from_arrays(pairs, names=["a", "b"])
+
+
+def crowded_cells(described: DataFrame) -> DataFrame:
+    """(pivot, doc_id, weight): cells of regions too large for a task, named by their smallest member, and the shingles of each.
+
+    Members are dealt by band of size and by hash into blocks, and a block meets those of its own and of the next band, so all pairs that sizes
+    allow are compared, in tasks of two blocks whatever the region's size. A meeting returns fewer pairs than it has members.
+    """
+    rows = described.select("pivot", "doc_id", "n", "sketch", F.floor(F.log("n") / math.log(BAND)).alias("band"))
+    parts = kept(rows.groupBy("pivot", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "bands")
+    own = rows.join(parts, ["pivot", "band"]).withColumn("block", F.struct("band", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"))).drop("parts")
+    asked = own.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))).join(parts, ["pivot", "band"])
+    other = asked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("other", F.struct("band", F.col("other").alias("part")))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2)
+    rooms = other.select(F.xxhash64("pivot", low, high).alias("pivot"), "doc_id", "n", "sketch", side.alias("side"))
+    pairs = rooms.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(frugal(_possible_pairs), "a long, b long")
+    found = components(pairs).join(described.groupBy("doc_id").agg(F.max("n").alias("n")), F.col("node") == F.col("doc_id"))
+    found = kept(found.select(F.col("component").alias("pivot"), "doc_id", "n"), "crowded")
+    return found.join(found.groupBy("pivot").agg(F.sum("n").alias("weight")), "pivot").select("pivot", "doc_id", "weight")
+
+
 class Cells:
     """Joins the members of one region: union-find over members, distances by set intersection."""
 
@@ -278,9 +317,9 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def join_large(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of regions too large for a task. Rounds: up to PIVOTS members of a region that are not known to be connected with its
-    first pivot meet all members, spread over SALTS parts of the region, until each has met all or is connected. Pairs of
-    connected members need no test, so a region of copies ends after few rounds, whatever its size."""
+    """Links of cells too large for a task. Rounds: up to PIVOTS members of a cell that are not known to be connected with its
+    first pivot meet all members, spread over SALTS parts of the cell, until each has met all or is connected. Pairs of
+    connected members need no test, so a cell of copies ends after few rounds, whatever its size."""
     spark = members.sparkSession
     state = kept(members.withColumns({"main": F.col("doc_id") == F.col("pivot"), "done": F.lit(False)}), "large")
     links = spark.createDataFrame([], "a long, b long")
@@ -314,7 +353,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     random would not separate them. Pivots are drawn where documents meet: equal sets are one node; of every shingle that prefixes
     share, the smallest document is a pivot and its holders are its region (``regions``); the prefixes are the rarest quarter of a set, so passages
     that many documents share do not make regions. Members whose class counts put them too far from all others leave, and what is left of a
-    region falls into cells of documents that may be near each other; a cell that several regions have is kept once. Cells are joined
+    region falls into cells of documents that may be near each other; a cell that several regions have is kept once. Regions too large for a
+    task are compared block by block (``crowded_cells``). Cells are joined
     recursively around pivots with triangle-inequality windows (``Cells``), large ones over all tasks (``join_large``), and the links'
     components are found by star rounds.
 
@@ -332,8 +372,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     cells = kept(possible.mapInArrow(frugal(_possible), "cell long, members array<long>, weight long").dropDuplicates(["cell"]), "cells")
     small = cells.where(F.col("weight") <= CELL).select(F.col("cell").alias("pivot"), F.explode("members").alias("doc_id"))
     heavy = cells.where(F.col("weight") > CELL).select(F.array_min("members").alias("pivot"), F.explode("members").alias("doc_id"))
-    crowded = members.join(sizes.where(F.col("m") > REGION).select("pivot"), "pivot", "left_semi")
-    large = kept(heavy.unionByName(crowded).distinct(), "cells")
+    crowded = described.where(F.col("m") > REGION)
+    if not sizes.where(F.col("m") > REGION).isEmpty():
+        more = kept(crowded_cells(crowded), "cells")
+        small = small.unionByName(more.where(F.col("weight") <= CELL).drop("weight"))
+        heavy = heavy.unionByName(more.where(F.col("weight") > CELL).drop("weight"))
+    large = kept(heavy.distinct(), "cells")
     sets = set_table(docs, small.select("doc_id").unionByName(large.select("doc_id")).distinct())
     ready = small.join(sets, "doc_id").select("pivot", "doc_id", "s").repartition("pivot").sortWithinPartitions("pivot")
     links = ready.mapInArrow(frugal(_joined), "a long, b long")

@@ -65,6 +65,19 @@ def test_join_matches_brute_force(spark, monkeypatch, limits):
     assert sorted(got, key=str) == brute(rows)
 
 
+def test_crowded_regions_are_compared_in_blocks(spark, monkeypatch):
+    """Unlike documents of one region were joined pivot by pivot, in rounds that grow with the region."""
+    for name, value in {"REGION": 20, "BLOCK": 8, "LOCAL": 1 << 20}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard, "join_large", lambda *a: pytest.fail("rounds over a region of unlike documents"))
+    rng = random.Random(3)
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([30, 45, 60, 200]))) + " " + shared) for i in range(90)]
+    rows += [(100 + i, rows[3 * i][1] + " more") for i in range(20)] + [(200, rows[3][1]), (3, rows[8][1])]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == brute(rows)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_components(docs).count() == 0
