@@ -195,18 +195,20 @@ def read_fileset(parts: dict[str, tuple[DataFrame, DataFrame]], join_obs: str =
 
 
 def read_predictions(spark: SparkSession, folder: str, dims: int, classes: list[str]) -> DataFrame:
-    """src_pred_csv: embeddings, predictions, logits and probabilities joined by cell."""
-    vec = ", ".join(f"e{i} double" for i in range(dims))
-    emb = spark.read.schema(f"cell_id string, {vec}").csv(f"{folder}/embeddings.csv").select(
-        "cell_id", F.array(*[F.col(f"e{i}") for i in range(dims)]).alias("embedding"))
-    pred = spark.read.schema("cell_id string, prediction string").option("header", True).csv(f"{folder}/predictions.csv")
-    cols = ", ".join(f"c{i} double" for i in range(len(classes)))
-
+    """src_pred_csv: embeddings, predictions, logits and probabilities joined by cell. Plain columns are exchanged, arrays are made behind the joins."""
     def scores(name):
-        table = spark.read.schema(f"cell_id string, {cols}").option("header", True).csv(f"{folder}/{name}.csv")
-        return table.select("cell_id", F.array(*[F.col(f"c{i}") for i in range(len(classes))]).alias(name))
+        cols = ", ".join(f"{name}{i} double" for i in range(len(classes)))
+        return spark.read.schema(f"cell_id string, {cols}").option("header", True).csv(f"{folder}/{name}.csv").withColumn(f"_{name}", F.lit(True))
+
+    def array(name, n):
+        return F.array(*[F.col(f"{name}{i}") for i in range(n)])
 
-    return emb.join(pred, "cell_id", "left").join(scores("logits"), "cell_id", "left").join(scores("probabilities"), "cell_id", "left")
+    vec = ", ".join(f"e{i} double" for i in range(dims))
+    emb = spark.read.schema(f"cell_id string, {vec}").csv(f"{folder}/embeddings.csv")
+    pred = spark.read.schema("cell_id string, prediction string").option("header", True).csv(f"{folder}/predictions.csv")
+    met = emb.join(pred, "cell_id", "left").join(scores("logits"), "cell_id", "left").join(scores("probabilities"), "cell_id", "left")
+    return met.select("cell_id", array("e", dims).alias("embedding"), "prediction", *[
+        F.when(F.col(f"_{name}"), array(name, len(classes))).alias(name) for name in ("logits", "probabilities")])
 
 
 # sinks -----------------------------------------------------------------------------------------------
@@ -237,13 +239,18 @@ def result_tables(results, dictionary, classes: list[str]) -> dict[str, DataFram
     }
 
 
+#: Lines of a result file at most: it is compressed, so that one task reads it.
+LINES = 1 << 20
+
+
 def write_results(tables: dict[str, DataFrame], folder: str) -> None:
+    """Tables of :func:`result_tables` as compressed CSV, which any CSV reader of Spark opens by its name."""
     for name, df in tables.items():
         flat = df
         if name == "embeddings":
             dims = df.select(F.max(F.size("embedding"))).first()[0]
             flat = df.select("cell_id", *[F.col("embedding")[i].alias(str(i)) for i in range(dims)])
-        flat.write.option("header", name != "embeddings").csv(f"{folder}/{name}.csv")
+        flat.write.option("header", name != "embeddings").option("compression", "gzip").option("maxRecordsPerFile", LINES).csv(f"{folder}/{name}.csv")
 
 
 def chunk_index(rows, row_id: str, size: int) -> DataFrame:
