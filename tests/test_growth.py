@@ -1,8 +1,77 @@
 """What grew too fast with the input: each test failed or took a form that grows before the change it names."""
 
+import numpy as np
+import pytest
+
+from tallgene.functions import blocks, metric
+from tallgene.operators import embed
 from tallgene.sources import io
 
 
+def vectors(spark, ids, x, labels=None):
+    rows = [(int(i), None if labels is None else labels[n], x[n].tolist()) for n, i in enumerate(ids)]
+    return spark.createDataFrame(rows, "vec_id long, label string, vec array<double>")
+
+
+def test_neighbours_of_one_ball_meet_in_yards(spark, monkeypatch):
+    """emb_knn_graph: where every point reaches every cell, its vector was copied once for each cell."""
+    asked, plain = [], metric.visits
+    monkeypatch.setattr(metric, "visits", lambda cells, first, k, **how: asked.append(how) or plain(cells, first, k, **how))
+    monkeypatch.setattr(metric, "YARD_ROWS", 64)
+    monkeypatch.setattr(metric, "TILE", (7, 11))
+    monkeypatch.setattr(metric, "PENDING", 40)
+    rng = np.random.default_rng(6)
+    x, ids = np.round(rng.normal(size=(500, 8))), rng.permutation(3000)[:500]  # whole numbers, so many distances are the same
+    got = {(r["vec_id"], r["rank"]): (r["neighbor"], round(r["distance"], 6)) for r in embed.knn(vectors(spark, ids, x), 6, block=16).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {}
+    for a in range(500):
+        near = sorted((round(d[a, b], 9), int(ids[b])) for b in range(500) if b != a)[:6]
+        want |= {(int(ids[a]), r + 1): (i, round(v, 6)) for r, (v, i) in enumerate(near)}
+    assert got == want
+    assert asked == [{"counted": True}]
+
+
+def test_yards_meet_once(spark):
+    """emb_silhouette: every distance was worked out in both directions."""
+    rows = spark.range(200).toDF("id")
+    met = blocks.block_meetings(rows, "id", 8, lambda a, b: a.head(1).assign(n=len(a) * len(b))[["id", "n"]], "id long, n long", 16, mutual=True)
+    assert 200 * 200 / 2 < sum(r["n"] for r in met.collect()) < 0.75 * 200 * 200
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_silhouettes_against_all_distances(spark, monkeypatch, within):
+    monkeypatch.setattr(embed, "TILE", (5, 9))
+    monkeypatch.setattr(embed, "YARD_ROWS", 16)
+    rng = np.random.default_rng(9)
+    n = 150
+    x = rng.normal(size=(n, 3)) + rng.integers(0, 3, n)[:, None]
+    labels = [None if i % 31 == 5 else f"l{rng.integers(0, 4)}" for i in range(n)]
+    labels[17] = "alone"
+    part = [None if i % 29 == 3 else f"p{i % 3}" for i in range(n)]
+    ids = np.r_[np.arange(n - 4), [3, 3, 8, 20]]  # some rows share an id, and are at distance 0
+    rows = spark.createDataFrame([(int(ids[i]), labels[i], part[i], x[i].tolist()) for i in range(n)], "vec_id long, label string, part string, vec array<double>")
+    got = {(r["vec_id"], r["label"]): r["silhouette"] for r in embed.silhouette_samples(rows, "label", "part" if within else None, block=8).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    d[ids[:, None] == ids[None]] = 0
+    sums = {}
+    for i in range(n):
+        for j in range(n):
+            if labels[j] is not None and (not within or part[i] == part[j]):
+                s = sums.setdefault((int(ids[i]), labels[i]), {}).setdefault(labels[j], [0.0, 0])
+                s[0], s[1] = s[0] + d[i, j], s[1] + 1
+    assert got.keys() == sums.keys()
+    for key, per in sums.items():
+        own, others = per.get(key[1]), [s / m for label, (s, m) in per.items() if label != key[1] and key[1] is not None]
+        if not others:
+            assert got[key] is None
+        elif own and own[1] == 1:
+            assert got[key] == 0
+        elif own:
+            a, b = own[0] / (own[1] - 1), min(others)
+            assert got[key] == pytest.approx((b - a) / max(a, b), abs=1e-9)
+
+
 def test_result_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
     """src_pred_csv wrote plain text, eight times the input, and exchanged arrays."""
     monkeypatch.setattr(io, "LINES", 2)
