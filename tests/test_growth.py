@@ -5,6 +5,8 @@ import pytest
 
 from tallgene.functions import blocks, metric
 from tallgene.operators import embed
+from tallgene.operators import sequence as sq
+from tallgene.plans.catalogue import QUERIES
 from tallgene.sources import io
 
 
@@ -87,3 +89,28 @@ def test_result_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
     assert out.schema["logits"].dataType.simpleString() == "array<double>"
     below = out._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
     assert "array(" not in below
+
+
+def test_labels_of_inner_nodes_list_the_leaves_below(spark):
+    """mat_label_ontology asked for leaves alone, so the closure of the ontology changed none of its rows."""
+    class Tables:
+        part = spark.createDataFrame([(k, f"n{k}", "SMALL", f"Brand#{k % 2 + 1}", 5) for k in range(6)], "p_partkey long, p_name string, p_type string, p_brand string, p_size int")
+        lineitem = spark.createDataFrame([(1, 1, 3, 25, "N"), (2, 1, 3, 25, "R"), (64, 1, 3, 1, "A"), (65, 1, 3, 25, "A")], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string")
+
+    got = {r["l_orderkey"]: (r["leaf_ids"], r["has_leaves"]) for r in QUERIES["mat_label_ontology"](Tables).collect()}
+    assert got == {1: ("0,2,4", 1), 2: ("", 0), 64: ("1,3,5", 1), 65: ("3", 1)}
+
+
+def test_sites_of_a_stretch_are_made_at_once(spark):
+    """var_sample_pairs_replaced, var_sample_sites: each letter of an allele was a row that was sorted twice."""
+    rows = [("c", 1022, "ACG", [("ACG", 0.5), ("A", 0.25), ("ACGTT", 0.25)]), ("c", 1023, "C", [("C", 1.0), ("é", None)]), ("c", 5, "", [("", 1.0)]), ("c", 9, "G", []), ("d", 7, "T", [(None, 0.5), ("G", 0.5)]), ("d", None, "T", [("T", 1.0)])]
+    v = spark.createDataFrame(rows, "chrom string, pos long, ref string, alleles array<struct<allele string, prob double>>")
+    got = {(r["chrom"], r["pos"], r["symbol"]): (r["prob"], r["is_variant"]) for r in sq.variant_sites(v).collect()}
+    assert got == {
+        ("c", 1022, "A"): (1.0, False), ("c", 1023, "C"): (1.75 / 2, True), ("c", 1023, "DEL"): (0.25 / 2, True), ("c", 1023, "é"): (None, True),
+        ("c", 1024, "G"): (0.5, True), ("c", 1024, "GI"): (0.25, True), ("c", 1024, "DEL"): (0.25, True),
+        ("c", 5, "DEL"): (1.0, False), ("c", 4, ""): (1.0, False), ("d", 7, "DEL"): (0.5, True), ("d", 7, "G"): (0.5, True), ("d", None, "T"): (1.0, False)}
+    whole = sq.variant_sites(v, binned=True)
+    assert {(r["chrom"], r["pos"], x["symbol"]): (x["prob"], r["is_variant"]) for r in whole.collect() for x in r["a"]} == got
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Window" not in plan and plan.count("_whole_sites_of") == 1
